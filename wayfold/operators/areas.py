@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from wayfold.functions import geo
 from wayfold.operators import tracks
+from wayfold.session import cut
 
 AREA_CELL, COUNTRY_CELL = 0.05, 1.0
 COUNTRY_SAMPLES = 60
@@ -43,7 +44,7 @@ def cell_index(rings: DataFrame, size: float = AREA_CELL, outer_only: bool = Fal
     one equi-join on the cell and an expression over that row."""
     if outer_only:
         rings = rings.filter("ring = 0")
-    edges = ring_edges(rings)
+    edges = cut(ring_edges(rings))
     lo, hi = F.least("alat", "blat"), F.greatest("alat", "blat")
     banded = edges.select("*", F.explode(F.sequence(geo.cell(lo, size), geo.cell(hi, size))).alias("cy"))
     poly = ["code", "ordinal", "poly"]
@@ -59,7 +60,7 @@ def cell_index(rings: DataFrame, size: float = AREA_CELL, outer_only: bool = Fal
     per_cell = per_ring.groupBy(*poly, "cx", "cy").agg(
         F.bool_or("touched").alias("touched"), F.bool_or((F.col("ring") == 0) & F.col("odd")).alias("inside"),
         F.bool_or((F.col("ring") > 0) & F.col("odd")).alias("in_hole"))
-    usable = per_cell.filter(F.col("touched") | (F.col("inside") & ~F.col("in_hole")))
+    usable = cut(per_cell.filter(F.col("touched") | (F.col("inside") & ~F.col("in_hole"))))
     parts = (pairs.join(usable.filter("touched").select(*poly, "cx", "cy"), [*poly, "cx", "cy"], "left_semi")
              .groupBy(*poly, "cx", "cy", "ring").agg(F.collect_list(F.struct("alat", "alon", "blat", "blon")).alias("edges"))
              .groupBy(*poly, "cx", "cy").agg(F.collect_list(F.struct("ring", "edges")).alias("rings")))
@@ -101,10 +102,11 @@ def track_countries(points: DataFrame, country_index: DataFrame, samples: int =
 
 def region_counts(visited: DataFrame, areas: DataFrame) -> DataFrame:
     """Visited and total areas per athlete and country, with countries not visited at all."""
+    visited = cut(visited.select("athlete_id", "code").distinct())
     country = F.substring_index("code", ":", 1).alias("country")
     totals = areas.select("code").distinct().groupBy(country).agg(F.count(F.lit(1)).alias("total"))
     every = totals.agg(F.collect_list(F.struct("country", "total")).alias("c")).scalar()  # one entry per country of the world
-    seen = visited.select("athlete_id", "code").distinct().groupBy("athlete_id", country).agg(F.count(F.lit(1)).alias("seen"))
+    seen = visited.groupBy("athlete_id", country).agg(F.count(F.lit(1)).alias("seen"))
     frame = visited.select("athlete_id").distinct().withColumn("c", F.explode(every)).select("athlete_id", "c.country", "c.total")
     out = frame.join(seen, ["athlete_id", "country"], "left").withColumn("visited", F.coalesce("seen", F.lit(0)))
     return out.select("athlete_id", "country", "visited", "total", (F.col("visited") / F.greatest("total", F.lit(1)) * 100).alias("pct"))
@@ -163,7 +165,6 @@ def nearest_unvisited_area(starts: DataFrame, rings: DataFrame, visited: DataFra
         out = found if out is None else out.unionByName(found)
         if size >= 360:
             return out
-        from wayfold.session import cut
         pending = cut(pending.join(found, ["athlete_id", "location_id"], "left_anti"))
         if pending.isEmpty():
             return out

@@ -42,33 +42,43 @@ def neighbours(df: DataFrame, keys: Sequence[str], columns: dict[str, tuple[str,
 _FOLD = {"sum": F.sum, "max": F.max, "min": F.min}
 
 
-def running(df: DataFrame, keys: Sequence[str], order: Sequence, values: dict[str, tuple[Column, str]], bucket: Column,
-            backward: bool = False, exclusive: bool = False) -> DataFrame:
+def running(df: DataFrame, keys: Sequence[str], order: Sequence, values: dict[str, tuple], bucket: Column,
+            backward: bool = False, exclusive: bool = False, totals: bool = False) -> DataFrame:
     """Running sum, max or min of each group in ``order``.
 
-    ``bucket`` must be non-decreasing in ``order`` (for ``backward``: read from the far end); only
-    one row per bucket crosses buckets."""
+    ``values`` maps names to (expression, how) or (expression, how, reading backward). ``bucket``
+    must be non-decreasing in ``order``; only one row per bucket crosses buckets. With ``totals``
+    the group's total comes along as ``<name>_total``. ``df`` is read twice: once for one narrow
+    partial aggregate per bucket, once for the rows."""
     base = df.withColumn("_bucket", bucket)
     names = list(values)
-    base = base.select("*", *[expr.alias(f"_v_{n}") for n, (expr, _) in values.items()])
-    step = Window.partitionBy(*keys).orderBy(F.col("_bucket").desc() if backward else F.col("_bucket"))
-    carried = (base.groupBy(*keys, "_bucket").agg(*[_FOLD[how](f"_v_{n}").alias(f"_b_{n}") for n, (_, how) in values.items()])
-               .select(*keys, "_bucket", *[_FOLD[how](f"_b_{n}").over(step.rowsBetween(Window.unboundedPreceding, -1)).alias(f"_c_{n}")
-                                           for n, (_, how) in values.items()]))
-    keyed = carried.select(*[F.col(k).alias(f"_k_{k}") for k in keys], F.col("_bucket").alias("_k_bucket"), *[f"_c_{n}" for n in names])
+    back = {n: v[2] if len(v) > 2 else backward for n, v in values.items()}
+    base = base.select("*", *[v[0].alias(f"_v_{n}") for n, v in values.items()])
+    fold = {n: _FOLD[v[1]] for n, v in values.items()}
+
+    def across(n):
+        step = Window.partitionBy(*keys).orderBy(F.col("_bucket").desc() if back[n] else F.col("_bucket"))
+        return fold[n](f"_b_{n}").over(step.rowsBetween(Window.unboundedPreceding, -1)).alias(f"_c_{n}")
+
+    sums = base.groupBy(*keys, "_bucket").agg(*[fold[n](f"_v_{n}").alias(f"_b_{n}") for n in names])
+    whole = [fold[n](f"_b_{n}").over(Window.partitionBy(*keys)).alias(f"{n}_total") for n in names] if totals else []
+    carried = sums.select(*[F.col(k).alias(f"_k_{k}") for k in keys], F.col("_bucket").alias("_k_bucket"), *map(across, names), *whole)
     match = F.col("_bucket").eqNullSafe(F.col("_k_bucket"))
     for k in keys:
         match = match & (F.col(k) == F.col(f"_k_{k}"))
-    inner = Window.partitionBy(*keys, "_bucket").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1 if exclusive else 0)
-    joined = base.join(keyed, match, "left")
-
-    def combined(name, how):
-        local, carry = _FOLD[how](f"_v_{name}").over(inner), F.col(f"_c_{name}")
-        if how == "sum":
+    joined = base.join(carried, match, "left")
+
+    def combined(n):
+        ends = [o if isinstance(o, Column) else F.col(o) for o in order]
+        frame = Window.partitionBy(*keys, "_bucket").orderBy(*ends)
+        inside = frame.rowsBetween(1 if exclusive else 0, Window.unboundedFollowing) if back[n] and not backward else \
+            frame.rowsBetween(Window.unboundedPreceding, -1 if exclusive else 0)
+        local, carry = fold[n](f"_v_{n}").over(inside), F.col(f"_c_{n}")
+        if values[n][1] == "sum":
             return F.coalesce(local, F.lit(0)) + F.coalesce(carry, F.lit(0))
-        return F.greatest(local, carry) if how == "max" else F.least(local, carry)
+        return F.greatest(local, carry) if values[n][1] == "max" else F.least(local, carry)
 
-    return joined.select(*df.columns, *[combined(n, how).alias(n) for n, (_, how) in values.items()])
+    return joined.select(*df.columns, *[combined(n).alias(n) for n in names], *([f"{n}_total" for n in names] if totals else []))
 
 
 def ordinals(df: DataFrame, keys: Sequence[str], order: Sequence, bucket: Column, name: str = "ord",

@@ -113,15 +113,14 @@ def bbox(points: DataFrame, keys: Sequence[str] = TRACK) -> DataFrame:
 
 def _with_walked(segs: DataFrame, keys: Sequence[str], metres: str = "metres") -> DataFrame:
     return ordered.running(segs, keys, ["seq"], {"walked": (F.col(metres), "sum")}, F.floor(F.col("seq") / ordered.BLOCK),
-                           exclusive=True)
+                           exclusive=True, totals=True)
 
 
 def midpoint(points: DataFrame, keys: Sequence[str] = TRACK) -> DataFrame:
     """The point at half the length of each line."""
-    segs = _with_walked(segments(points, keys), keys)
-    half = segs.groupBy(*keys).agg((F.sum("metres") / 2).alias("half"))
-    at = F.when(F.col("metres") > 0, (F.col("half") - F.col("walked")) / F.col("metres"))
-    hit = (segs.join(half, list(keys)).filter((F.col("walked") + F.col("metres") >= F.col("half")) & (F.col("metres") > 0))
+    segs = _with_walked(segments(points, keys), keys).withColumn("half", F.col("walked_total") / 2)
+    at = (F.col("half") - F.col("walked")) / F.col("metres")
+    hit = (segs.filter((F.col("walked") + F.col("metres") >= F.col("half")) & (F.col("metres") > 0))
            .groupBy(*keys).agg(F.min_by(F.struct((F.col("lat") + (F.col("lat2") - F.col("lat")) * at).alias("lat"),
                                                  (F.col("lon") + (F.col("lon2") - F.col("lon")) * at).alias("lon")), "seq").alias("p")))
     last = points.groupBy(*keys).agg(F.max_by(F.struct("lat", "lon"), "seq").alias("last"))

@@ -7,6 +7,17 @@ import tempfile
 from pyspark.sql import DataFrame, SparkSession
 
 
+def builder(app: str = "wayfold") -> SparkSession.Builder:
+    """Session settings the jobs are written for; the master and sizes are the caller's."""
+    return (SparkSession.builder.appName(app)
+            .config("spark.sql.session.timeZone", "UTC")
+            .config("spark.sql.adaptive.enabled", "true")
+            .config("spark.sql.adaptive.skewJoin.enabled", "true")
+            # Plans have thousands of column expressions; recording a call site for each would
+            # dominate the time to build them.
+            .config("spark.python.sql.dataFrameDebugging.enabled", "false"))
+
+
 def prepare(spark: SparkSession) -> SparkSession:
     """All timestamps are UTC instants; local days always use an explicit zone argument."""
     if spark.conf.get("spark.sql.session.timeZone") != "UTC":

@@ -2,8 +2,8 @@
 
 from pyspark.sql import functions as F
 
-from wayfold.functions import activity as fa
-from wayfold.operators import climbs, polyline, tracks
+from wayfold.operators import climbs, polyline
+from wayfold.session import cut
 from workload import fixtures as fx
 from workload.registry import query
 
@@ -61,8 +61,12 @@ SMOOTH_SQL = """smoothed AS (SELECT line_id, i, lat, lon, name, (coalesce(lag(el
   FROM filled WHERE elev IS NOT NULL WINDOW w AS (PARTITION BY line_id ORDER BY i))"""
 
 
+def sampled(spark, sf):
+    return cut(climbs.resample(road_points(spark, sf)))
+
+
 def profile(spark, sf):
-    samples = climbs.resample(road_points(spark, sf))
+    samples = sampled(spark, sf)
     return climbs.smooth(climbs.fill_flat(climbs.with_elevation(samples, elevation(spark, sf, samples), RASTER)))
 
 
@@ -74,14 +78,14 @@ def trk_resample(spark, sf):
 
 @query("jn_elevation", fx.oracle("SELECT line_id, i, round(elev, 4) AS elev FROM profiles", ROADS_SQL, SAMPLES_SQL, HEIGHTS_SQL))
 def jn_elevation(spark, sf):
-    samples = climbs.resample(road_points(spark, sf))
+    samples = sampled(spark, sf)
     out = climbs.with_elevation(samples, elevation(spark, sf, samples), RASTER)
     return out.select("line_id", F.col("i").cast("bigint").alias("i"), F.round("elev", 4).alias("elev"))
 
 
 @query("trk_fill_flat", fx.oracle("SELECT line_id, i, round(elev, 4) AS elev FROM filled WHERE elev IS NOT NULL", ROADS_SQL, SAMPLES_SQL, HEIGHTS_SQL, FILLED_SQL))
 def trk_fill_flat(spark, sf):
-    samples = climbs.resample(road_points(spark, sf))
+    samples = sampled(spark, sf)
     out = climbs.fill_flat(climbs.with_elevation(samples, elevation(spark, sf, samples), RASTER))
     return out.select("line_id", F.col("i").cast("bigint").alias("i"), F.round("elev", 4).alias("elev"))
 
@@ -126,8 +130,8 @@ RATED_CTES = (*PROFILE_CTES, CLIMBS_SQL, RATED_SQL)
 
 
 def rated(spark, sf):
-    samples = profile(spark, sf)
-    return climbs.metrics(climbs.find(samples), samples), samples
+    samples = cut(profile(spark, sf))
+    return climbs.metrics(cut(climbs.find(samples)), samples), samples
 
 
 @query("win_steepest_200m", fx.oracle("SELECT line_id, reverse, start, round(gain, 3) AS gain, round(avg, 3) AS avg, round(steep, 3) AS max, cat FROM rated WHERE cat IS NOT NULL", *RATED_CTES, recursive=True))
@@ -169,7 +173,7 @@ meaned AS (SELECT line_id, list(v ORDER BY i) AS m, count(*) AS n FROM (SELECT l
 fold(line_id, m, n, k, total, low) AS (SELECT line_id, m, n, 1::BIGINT, 0e0, m[1] FROM meaned
   UNION ALL SELECT line_id, m, n, k + 1, CASE WHEN m[k + 1] - low > 3 THEN total + m[k + 1] - low ELSE total END, CASE WHEN m[k + 1] - low > 3 OR m[k + 1] < low THEN m[k + 1] ELSE low END FROM fold WHERE k < n)""", recursive=True))
 def trk_ascent(spark, sf):
-    samples = climbs.resample(road_points(spark, sf))
+    samples = sampled(spark, sf)
     heights = climbs.with_elevation(samples, elevation(spark, sf, samples), RASTER, drop_lines=False)
     return climbs.ascent(heights).withColumn("ascent", F.round("ascent", 4))
 
