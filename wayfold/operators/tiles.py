@@ -171,3 +171,34 @@ def densest_center(points: DataFrame, keys=KEY, zoom: int = 10) -> DataFrame:
                .agg(F.count(F.lit(1)).alias("n"), F.avg("lat").alias("lat"), F.avg("lon").alias("lon")))
     return (buckets.groupBy(*keys).agg(F.max(F.struct("n", (-F.col("b")).alias("neg"), "lat", "lon")).alias("m"))
             .select(*keys, F.col("m.n").alias("points"), F.col("m.lat").alias("lat"), F.col("m.lon").alias("lon")))
+
+
+# Fixed value: margin of the focus region as a share of its size.
+FOCUS_MARGIN = 0.06
+
+
+def focus_region(tiles: DataFrame, country_index: DataFrame, aspect: float, keys=KEY) -> DataFrame:
+    """Region around the tiles of the country holding the largest cluster, else around all tiles.
+
+    Bounds are fractional tile positions (Web Mercator is linear in them), widened by a margin and
+    stretched to ``aspect`` (width / height)."""
+    from wayfold.operators import areas
+    keys = list(keys)
+    tiles = cut(tiles.select(*keys, "x", "y").distinct())
+    homes = max_cluster(tiles, keys).select(*keys, geo.tile_lat("center_y").alias("lat"), geo.tile_lon("center_x").alias("lon"))
+    home = areas.located(homes, country_index, areas.COUNTRY_CELL).select(*keys, F.substring_index("code", ":", 1).alias("country"))
+    centers = tiles.select(*keys, "x", "y", geo.tile_lat(F.col("y") + 0.5).alias("lat"), geo.tile_lon(F.col("x") + 0.5).alias("lon"))
+    inside = (areas.located(centers, country_index, areas.COUNTRY_CELL).withColumn("country", F.substring_index("code", ":", 1))
+              .join(home, [*keys, "country"], "left_semi").select(*keys, "x", "y", "country"))
+
+    def bounds(rows):
+        return rows.agg(F.min("x").alias("w"), (F.max("x") + 1).alias("e"), F.min("y").alias("n"), (F.max("y") + 1).alias("s"))
+
+    local = bounds(inside.groupBy(*keys, "country"))
+    every = bounds(tiles.groupBy(*keys))
+    pick = every.select(*keys, F.struct("w", "e", "n", "s").alias("all")).join(local.select(*keys, "country", F.struct("w", "e", "n", "s").alias("home")), keys, "left")
+    shown = pick.withColumn("b", F.coalesce("home", "all"))
+    width, height = (F.col("b.e") - F.col("b.w")) * (1 + 2 * FOCUS_MARGIN), (F.col("b.s") - F.col("b.n")) * (1 + 2 * FOCUS_MARGIN)
+    half_w, half_h = F.greatest(width, height * aspect) / 2, F.greatest(height, width / aspect) / 2
+    cx, cy = (F.col("b.e") + F.col("b.w")) / 2, (F.col("b.s") + F.col("b.n")) / 2
+    return shown.select(*keys, "country", geo.tile_lat(cy - half_h).alias("north"), geo.tile_lat(cy + half_h).alias("south"), geo.tile_lon(cx - half_w).alias("west"), geo.tile_lon(cx + half_w).alias("east"))
