@@ -96,7 +96,7 @@ def fn_quality(spark, sf):
 
 @query("fn_details_text", fx.oracle("""
 SELECT activity_id, concat_ws(' · ', CASE WHEN s >= 3600 THEN printf('%d:%02d:%02d', r // 3600, r // 60 % 60, r % 60) ELSE printf('%d:%02d', r // 60, r % 60) END,
-  CASE WHEN distance_m > 0 THEN printf('%.1f km', round((distance_m / 1000)::DECIMAL(18,7), 1)::DOUBLE) END, CASE WHEN avg_power_w > 0 THEN printf('%.0f W', avg_power_w) WHEN distance_m > 0 THEN printf('%.1f km/h', distance_m / s * 3.6e0) END) AS details
+  CASE WHEN distance_m > 0 THEN printf('%.1f km', round((distance_m / 1000)::DECIMAL(18,7), 1)::DOUBLE) END, CASE WHEN avg_power_w > 0 THEN printf('%.0f W', avg_power_w) WHEN distance_m > 0 THEN printf('%.1f km/h', round((distance_m / s * 3.6e0)::DECIMAL(18,9), 1)::DOUBLE) END) AS details
 FROM (SELECT *, round_even(s, 0)::BIGINT AS r FROM (SELECT *, CASE WHEN moving_s > 0 THEN moving_s ELSE elapsed_s END AS s FROM fx_activities))""", A))
 def fn_details_text(spark, sf):
     acts = fx.activities(spark, sf)

@@ -82,8 +82,8 @@ def agg_challenge_done(spark, sf):
     return progress.challenge_done(share, items, visits, both)
 
 
-# Candidate routes: the tracks of the last activity week as routes of their athlete.
-PLAN_SQL = """plan_points AS (SELECT athlete_id, activity_id AS route_id, seq, lat + 0.02e0 AS lat, lon + 0.01e0 AS lon FROM fx_points WHERE activity_id % 10 = 4)""" + ",\n" + fx.d_dense(
+# Candidate routes: every track, moved aside, as a route of its athlete.
+PLAN_SQL = """plan_points AS (SELECT athlete_id, activity_id AS route_id, seq, lat + 0.02e0 AS lat, lon + 0.01e0 AS lon FROM fx_points)""" + ",\n" + fx.d_dense(
     "plan", "plan_points", "CASE WHEN d > 20 AND d <= 5000 THEN ceil(d / 20e0) END", "athlete_id, route_id")
 PLAN_D = fx.d_segment_distance("pl.lat", "pl.lon", "p.lat", "p.lon", "p.lat2", "p.lon2")
 PASSED_SQL = f"""passed AS (SELECT DISTINCT athlete_id, route_id, 'tile' AS kind, {fx.d_tile_key('lat', 'lon')}::VARCHAR AS id FROM plan
@@ -95,7 +95,7 @@ PLAN_CTES = (P, AR, fx.PLACES_SQL, fx.ACTIVITY_TILES_SQL, PLAN_SQL, PASSED_SQL)
 
 def plan(spark, sf):
     points = fx.points(spark, sf)
-    lines = points.filter(F.col("activity_id") % 10 == 4).select("athlete_id", F.col("activity_id").alias("route_id"), "seq", (F.col("lat") + 0.02).alias("lat"), (F.col("lon") + 0.01).alias("lon"))
+    lines = points.select("athlete_id", F.col("activity_id").alias("route_id"), "seq", (F.col("lat") + 0.02).alias("lat"), (F.col("lon") + 0.01).alias("lon"))
     index = cut(areas.cell_index(fx.area_rings(spark, sf)))
     known = (tracks.tiles(points).select("athlete_id", F.lit("tile").alias("kind"), F.col("tile_key").cast("string").alias("id"))
              .unionByName(areas.track_areas(points, index).select("athlete_id", F.lit("area").alias("kind"), F.col("code").alias("id"))).distinct())
@@ -111,7 +111,7 @@ def set_new_things(spark, sf):
 SELECT * FROM (SELECT DISTINCT athlete_id, route_id, 'place' AS kind, (route_id * 7 % 100)::VARCHAR AS id FROM plan_points UNION SELECT DISTINCT athlete_id, route_id, 'area', 'C2:12' FROM plan_points) t
 WHERE NOT EXISTS (SELECT 1 FROM passed p WHERE p.route_id = t.route_id AND p.kind = t.kind AND p.id = t.id)""", *PLAN_CTES))
 def set_target_missed(spark, sf):
-    wanted = fx.point_activities(spark, sf).filter(F.col("activity_id") % 10 == 4).select("athlete_id", F.col("activity_id").alias("route_id"), F.explode(F.array(
+    wanted = fx.point_activities(spark, sf).select("athlete_id", F.col("activity_id").alias("route_id"), F.explode(F.array(
         F.struct(F.lit("place").alias("kind"), (F.col("activity_id") * 7 % 100).cast("string").alias("id")), F.struct(F.lit("area").alias("kind"), F.lit("C2:12").alias("id")))).alias("t"))
     return routes.missed_targets(wanted.select("athlete_id", "route_id", "t.kind", "t.id"), plan(spark, sf)[0])
 
