@@ -43,13 +43,14 @@ def components(edges: DataFrame, keys: Sequence[str]) -> DataFrame:
 
 
 def count_to_end(nodes: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """Nodes on the path from each node to the end of its chain, itself included.
+    """Nodes on the path from each node to the end of its chain (itself included), and that end.
 
-    ``nodes`` has (keys..., node, next); ``next`` is null at the end. Pointers double each round."""
+    ``nodes`` has (keys..., node, next); ``next`` is null at the end and chains have no cycles.
+    Pointers double each round."""
     keys = list(keys)
-    state = cut(nodes.select(*keys, "node", F.col("next").alias("ptr"), F.lit(1).cast("bigint").alias("steps")))
+    state = cut(nodes.select(*keys, "node", F.col("next").alias("ptr"), F.lit(1).cast("bigint").alias("steps"), F.col("node").alias("last")))
     while not state.filter("ptr is not null").isEmpty():
-        ahead = state.select(*keys, F.col("node").alias("ptr"), F.col("ptr").alias("ptr2"), F.col("steps").alias("more"))
+        ahead = state.select(*keys, F.col("node").alias("ptr"), F.col("ptr").alias("ptr2"), F.col("steps").alias("more"), F.col("last").alias("far"))
         state = cut(state.join(ahead, [*keys, "ptr"], "left")
-                    .select(*keys, "node", F.col("ptr2").alias("ptr"), (F.col("steps") + F.coalesce("more", F.lit(0))).alias("steps")))
-    return state.select(*keys, "node", "steps")
+                    .select(*keys, "node", F.col("ptr2").alias("ptr"), (F.col("steps") + F.coalesce("more", F.lit(0))).alias("steps"), F.coalesce("far", "last").alias("last")))
+    return state.select(*keys, "node", "steps", "last")

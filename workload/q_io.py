@@ -103,14 +103,15 @@ def src_csv_gpx_catalog(spark, sf):
     nation.select(F.col("n_name").alias("name"), F.when(n % 2 == 0, "a").otherwise("b").alias("start"), F.lit("3, 7.5").alias("lengths_km"), F.when(n % 5 == 0, 5.0).otherwise(7.5).alias("longest_km"), F.lit(52.0).alias("lat"), F.lit(5.0).alias("lon"),
                   F.lit("https://example.org").alias("url"), F.format_string("gpx/f=%s/t.gpx", n).alias("gpx")) \
         .write.option("header", True).csv(f"{path}/csv")
-    doc = F.concat(F.lit('<gpx><trk><type>'), F.when(n % 4 == 0, "other").otherwise("mainRoute"), F.lit('</type><trkseg><trkpt lat="52.1" lon="5.1"/><trkpt lat="52.2" lon="5.2"/></trkseg></trk><trk><type>other</type><trkseg><trkpt lat="1" lon="1"/></trkseg></trk></gpx>'))
-    nation.select(doc.alias("value"), n.cast("string").alias("f")).repartition("f").write.partitionBy("f").text(f"{path}/gpx")
+    doc = F.concat(F.lit("<gpx><metadata><name>"), n.cast("string"), F.lit("</name></metadata><trk><type>"), F.when(n % 4 == 0, "other").otherwise("mainRoute"),
+                   F.lit('</type><trkseg><trkpt lat="52.1" lon="5.1"/><trkpt lat="52.2" lon="5.2"/></trkseg></trk><trk><type>other</type><trkseg><trkpt lat="1" lon="1"/></trkseg></trk></gpx>'))
+    nation.select("n_nationkey", doc.alias("value")).repartitionByRange(25, "n_nationkey").select("value").write.text(f"{path}/gpx")
     # Spark names part files itself; give the catalogue the names it chose.
-    named = spark.read.text(f"{path}/gpx").select(F.col("f").cast("string").alias("f"), F.element_at(F.split(F.col("_metadata.file_path"), "/"), -1).alias("file")).distinct()
+    named = spark.read.text(f"{path}/gpx").select(F.regexp_extract("value", r"<name>(\d+)<", 1).alias("f"), F.element_at(F.split(F.col("_metadata.file_path"), "/"), -1).alias("file")).distinct()
     rows = spark.read.option("header", True).csv(f"{path}/csv")
     (rows.withColumn("f", F.regexp_extract("gpx", r"f=(\d+)", 1)).join(named, "f").withColumn("gpx", F.concat(F.lit("gpx/"), "file")).drop("f", "file")
      .write.option("header", True).csv(f"{path}/named"))
-    trails, points = gpx.read_trails(spark, f"{path}/named", f"{path}/gpx/*")
+    trails, points = gpx.read_trails(spark, f"{path}/named", f"{path}/gpx")
     return trails.join(points.groupBy("file").agg(F.count(F.lit(1)).alias("points")), "file").select("name", "points", "start")
 
 
