@@ -36,10 +36,32 @@ def propagate_min(edges: DataFrame, keys: Sequence[str]) -> DataFrame:
 
 
 def components(edges: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """Connected components: each node on an edge with the smallest node of its component."""
-    both = edges.select(*keys, F.explode(F.array(F.struct(F.col("src").alias("a"), F.col("dst").alias("b")),
-                                                 F.struct(F.col("dst").alias("a"), F.col("src").alias("b")))).alias("e"))
-    return propagate_min(both.select(*keys, F.col("e.a").alias("src"), F.col("e.b").alias("dst")), keys)
+    """Connected components: each node on an edge with the smallest node of its component.
+
+    Every round hooks labels onto their smallest neighbouring label, follows labels twice and
+    replaces edges by edges between labels, so the edges melt away geometrically."""
+    keys = list(keys)
+    both = F.array(F.struct(F.col("src").alias("a"), F.col("dst").alias("b")), F.struct(F.col("dst").alias("a"), F.col("src").alias("b")))
+    edges = cut(edges.select(*keys, F.explode(both).alias("e")).select(*keys, "e.a", "e.b").filter("a <> b").distinct())
+    labels = edges.groupBy(*keys, F.col("a").alias("node")).agg(F.min("b").alias("low")).select(*keys, "node", F.least("node", "low").alias("label"))
+
+    def followed(rows):
+        via = rows.select(*keys, F.col("node").alias("label"), F.col("label").alias("far"))
+        return rows.join(via, [*keys, "label"], "left").select(*keys, "node", F.coalesce("far", "label").alias("label"))
+
+    labels = cut(followed(cut(labels)))
+    while True:
+        at_a = labels.select(*keys, F.col("node").alias("a"), F.col("label").alias("la"))
+        at_b = labels.select(*keys, F.col("node").alias("b"), F.col("label").alias("lb"))
+        edges = cut(edges.join(at_a, [*keys, "a"]).join(at_b, [*keys, "b"]).filter("la <> lb").select(*keys, F.col("la").alias("a"), F.col("lb").alias("b")).distinct())
+        hooks = edges.filter("a < b").groupBy(*keys, F.col("b").alias("node")).agg(F.min("a").alias("low"))
+        hooked = cut(labels.join(hooks, [*keys, "node"], "left").select(*keys, "node", F.least("label", "low").alias("label")))
+        flat = followed(hooked)
+        if edges.isEmpty():
+            moved = flat.join(hooked.withColumnRenamed("label", "old"), [*keys, "node"]).filter("label <> old")
+            if moved.isEmpty():
+                return hooked
+        labels = cut(flat)
 
 
 def count_to_end(nodes: DataFrame, keys: Sequence[str]) -> DataFrame:

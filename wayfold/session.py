@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -41,7 +42,11 @@ def checkpoint_dir(spark: SparkSession) -> str:
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """Materialise ``df`` reliably, so that iterative operators keep a short lineage and a lost
-    executor never restarts them from the first round."""
-    checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    """Writes ``df`` to the shared checkpoint folder and reads it back.
+
+    Iterative operators keep a short plan, a lost executor never restarts them from the first
+    round, and the files' sizes tell the optimizer which sides are small enough to broadcast."""
+    spark = df.sparkSession
+    path = f"{checkpoint_dir(spark)}/wayfold-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
