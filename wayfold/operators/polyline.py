@@ -9,33 +9,26 @@ from wayfold.operators import ordered
 
 # Fixed values of the format: printable offset, continuation bit, bits per chunk and the scale.
 OFFSET, MORE, BITS, SCALE = 63, 0x20, 5, 1e5
+# Fixed pattern: characters with the continuation bit, then one without.
+CHUNK = r"[\x5f-\x7f]*[\x3f-\x5e]"
 
 
 def decode(df: DataFrame, column: str = "encoded", keys=("athlete_id", "activity_id")) -> DataFrame:
     """Points (keys..., seq from 0, lat, lon); a truncated tail is ignored.
 
-    Bytes become signed deltas inside the row; the running position over deltas is summed in
-    blocks of the line."""
+    A pattern cuts the string into chunks that become signed deltas inside the row; the running
+    position over deltas is summed in blocks of the line."""
     keys = list(keys)
-    codes = F.transform(F.filter(F.split(F.col(column), ""), lambda c: c != ""), lambda c: F.ascii(c) - OFFSET)
-    rows = df.filter(F.col(column).isNotNull()).select(*keys, codes.alias("codes"))
-    ends = F.filter(F.transform("codes", lambda c, i: F.when(c < MORE, i)), lambda i: i.isNotNull())
-    rows = rows.withColumn("ends", ends)
-    starts = F.transform("ends", lambda e, j: F.when(j == 0, F.lit(0)).otherwise(F.element_at("ends", j) + 1))
-    rows = rows.withColumn("starts", starts)
-
-    def value(e, j):
-        first = F.element_at("starts", j + 1)
-        chunk = F.slice("codes", first + 1, e - first + 1)
-        total = F.aggregate(chunk, F.struct(F.lit(0).cast("bigint").alias("v"), F.lit(1).cast("bigint").alias("unit")),
-                            lambda acc, c: F.struct((acc["v"] + c.bitwiseAND(MORE - 1) * acc["unit"]).alias("v"), (acc["unit"] * MORE).alias("unit")),
+    def value(chunk):
+        total = F.aggregate(F.filter(F.split(chunk, ""), lambda c: c != ""), F.struct(F.lit(0).cast("bigint").alias("v"), F.lit(1).cast("bigint").alias("unit")),
+                            lambda acc, c: F.struct((acc["v"] + (F.ascii(c) - OFFSET).bitwiseAND(MORE - 1) * acc["unit"]).alias("v"), (acc["unit"] * MORE).alias("unit")),
                             lambda acc: acc["v"])
         return F.when(total % 2 == 1, -((total + 1) / 2).cast("bigint")).otherwise((total / 2).cast("bigint"))
 
-    deltas = rows.select(*keys, F.transform("ends", value).alias("deltas"))
-    pairs = (deltas.filter(F.size("deltas") >= 2)
-             .select(*keys, "deltas", F.explode(F.sequence(F.lit(0), F.floor(F.size("deltas") / 2).cast("int") - 1)).alias("seq"))
-             .select(*keys, "seq", F.element_at("deltas", F.col("seq") * 2 + 1).alias("dlat"), F.element_at("deltas", F.col("seq") * 2 + 2).alias("dlon")))
+    deltas = F.transform(F.regexp_extract_all(F.col(column), F.lit(CHUNK), F.lit(0)), value)
+    rows = df.filter(F.col(column).isNotNull()).select(*keys, deltas.alias("deltas"))
+    both = F.arrays_zip(F.filter("deltas", lambda d, i: i % 2 == 0).alias("dlat"), F.filter("deltas", lambda d, i: i % 2 == 1).alias("dlon"))
+    pairs = rows.select(*keys, both.alias("b")).select(*keys, F.posexplode("b").alias("seq", "p")).select(*keys, "seq", "p.dlat", "p.dlon").filter("dlon is not null")
     summed = ordered.running(pairs, keys, ["seq"], {"ilat": (F.col("dlat"), "sum"), "ilon": (F.col("dlon"), "sum")}, F.floor(F.col("seq") / ordered.BLOCK))
     return summed.select(*keys, "seq", (F.col("ilat") / SCALE).alias("lat"), (F.col("ilon") / SCALE).alias("lon"))
 
