@@ -54,6 +54,18 @@ def src_activity_stream(spark, sf):
     return feed.read_streams(spark, path).select("activity_id", F.col("seq").cast("bigint").alias("seq"), F.round("lat", 6).alias("lat"), "t_off", "alt")
 
 
+ENCODED_SQL = """scaled AS (SELECT athlete_id, activity_id, seq, round_even(lat * 1e5, 0)::BIGINT AS a, round_even(lon * 1e5, 0)::BIGINT AS o FROM fx_points),
+deltas AS (SELECT athlete_id, activity_id, seq * 2 + k.k AS p, CASE k.k WHEN 0 THEN a - coalesce(lag(a) OVER w, 0) ELSE o - coalesce(lag(o) OVER w, 0) END AS d
+  FROM scaled, (VALUES (0), (1)) k(k) WINDOW w AS (PARTITION BY activity_id, k.k ORDER BY seq)),
+groups AS (SELECT *, greatest(1, (length(bin(z)) + 4) // 5) AS n FROM (SELECT *, CASE WHEN d < 0 THEN -2 * d - 1 ELSE 2 * d END AS z FROM deltas)),
+chars AS (SELECT athlete_id, activity_id, p, g, chr(((z // (32 ** g)::BIGINT) % 32 + 63 + CASE WHEN g < n - 1 THEN 32 ELSE 0 END)::INTEGER) AS c FROM (SELECT *, unnest(range(n)) AS g FROM groups))"""
+
+
+@query("trk_encode_polyline", fx.oracle("SELECT athlete_id, activity_id, string_agg(c, '' ORDER BY p, g) AS encoded FROM chars GROUP BY 1, 2", P, ENCODED_SQL))
+def trk_encode_polyline(spark, sf):
+    return polyline.encode(fx.points(spark, sf))
+
+
 @query("trk_decode_polyline", fx.oracle("""
 SELECT activity_id, seq - 1 AS seq, round(round_even(lat * 1e5, 0) / 1e5, 6) AS lat, round(round_even(lon * 1e5, 0) / 1e5, 6) AS lon FROM fx_points""", P))
 def trk_decode_polyline(spark, sf):
