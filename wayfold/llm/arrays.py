@@ -54,7 +54,8 @@ def split_words(texts: pa.Array, lower: bool = True) -> tuple[np.ndarray, np.nda
 
     Returns the number of words of each text, the words of all texts as positions in the list of
     distinct words, and that list. A null text has none."""
-    texts = pc.fill_null(texts.cast(pa.large_string()), "")
+    # Copied first: lower-casing a slice that starts far into its array garbles bytes.
+    texts = pa.concat_arrays([pc.fill_null(texts.cast(pa.large_string()), "")])
     if lower:
         texts = pc.ascii_lower(texts)
     parts = pc.ascii_split_whitespace(texts)
