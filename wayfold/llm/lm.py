@@ -34,7 +34,7 @@ by_value(__name__)
 START, END, FIRST = 0, 1, 2
 #: Weight of the longer context, bytes of text in a slice, text bytes per shard, and the count
 #: above which a context is split.
-WEIGHT, SLICE, SHARD, HOT = 0.15, 16 << 20, 20 << 20, 2_000_000
+WEIGHT, SLICE, SHARD, HOT = 0.15, 12 << 20, 10 << 20, 2_000_000
 MODEL = -1
 SCHEMA = "kind string, block bigint, shard int, body array<binary>"
 ARROW = pa.schema([("kind", pa.string()), ("block", pa.int64()), ("shard", pa.int32()), ("body", pa.list_(pa.binary()))])
@@ -112,12 +112,13 @@ def _serve_words(shards: int):
                     if c:
                         sums[w] = sums.get(w, 0) + c
         table = sums if known is None else known
-        ids = {w: FIRST + i * shards + s for i, w in enumerate(sorted(table))}
+        # Frequent words get small ids, which pack best.
+        order = sorted(table, key=lambda w: (-table[w], w))
+        ids = {w: FIRST + i * shards + s for i, w in enumerate(order)}
         out = []
         for block, words in lists:
             if block != MODEL:
                 out.append(("answer1", block, s, [pack(np.array([ids.get(w, -1) for w in words], np.int64)), pack(np.array([table.get(w, 0) for w in words], np.int64))]))
-        order = sorted(table)
         counts = np.array([table[w] for w in order], np.int64)
         out.append(("model", MODEL, s, [zstandard.compress(b"\n".join(order), 1), pack(counts), np.array([len(order), counts.sum()], np.int64).tobytes()]))
         return pa.Table.from_batches([_rows(out)])
@@ -152,7 +153,11 @@ def _serve(order: int, weight: float):
             for j, kind in enumerate((np.int64, np.int32, np.uint16)):
                 columns[order + j].append(unpack(b[order + j], kind))
             sizes.append(len(columns[0][-1]))
-        columns = [np.concatenate(c) if c else np.empty(0, np.int64) for c in columns]
+        asks = [k for k, _ in asks]
+        del bodies
+        for j, parts in enumerate(columns):
+            columns[j] = np.concatenate(parts) if parts else np.empty(0, np.int64)
+            parts.clear()
         first, inverse = _distinct(columns[:order])
         rows = np.stack([c[first] for c in columns[:order]], axis=1)
         if given is None:
@@ -173,7 +178,7 @@ def _serve(order: int, weight: float):
         counts = np.zeros(len(rows), np.int32)
         counts[there] = np.minimum(unpack(given[1], np.int64)[place[there]], 2 ** 31 - 1)
         out, begin = [], 0
-        for (block, _), n in zip(asks, sizes):
+        for block, n in zip(asks, sizes):
             own = inverse[begin:begin + n]
             begin += n
             out.append((f"answer{order}", block, s, [pack(codes[own]), pack(counts[own])]))
@@ -202,7 +207,7 @@ def _with_words(rows):
                 inner = np.ones(len(stream), bool)
                 inner[ends - sizes - 2] = inner[ends - 1] = False
                 stream[inner] = local[at + 2]
-                yield _rows([("state", row["block"], None, [pack(v) for v in (ids, null, train, sizes, stream, gid[rank], count[rank])])])
+                yield _rows([("state", row["block"], None, [pack(v) for v in (ids, null, train, sizes, stream, np.diff(gid[rank], prepend=0), count[rank])])])
 
     return run
 
@@ -214,6 +219,7 @@ class _Slice:
     def __init__(self, body, total: int, kinds: int, weight: float):
         kind = (np.int64, np.uint8, np.uint8, np.int32, np.int32, np.int64, np.int64)
         self.ids, self.null, self.train, self.sizes, self.stream, self.gid, self.count = (unpack(b, k) for b, k in zip(body, kind))
+        self.gid = np.cumsum(self.gid)
         ends = np.cumsum(self.sizes + 2)
         self.first, self.weight, self.length = ends - self.sizes - 2, weight, 1
         self.starts = np.zeros(len(self.stream), bool)
@@ -307,7 +313,7 @@ def score(docs: DataFrame, teach: Column | None = None, order: int = 3, weight:
     model (``order`` 2 or more) learns from the rows where ``teach`` holds (all by default), or is
     read from the folder ``model`` that an earlier call wrote as ``save``. Rows that repeat an id are
     separate texts. With nothing to learn from, every token is unknown: log10(1) = 0 each (the code
-    grid makes it -1/4096). An empty table gives no rows."""
+    grid makes it -1/512). An empty table gives no rows."""
     spark = docs.sparkSession
     given = spark.read.parquet(model) if model else None
     rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text", F.coalesce(F.lit(False) if model else F.lit(True) if teach is None else teach, F.lit(False)).alias("train"))
@@ -331,6 +337,8 @@ def score(docs: DataFrame, teach: Column | None = None, order: int = 3, weight:
     facts = (total, kinds, weight)
     states = put(_joined(texts.filter("kind = 'state'"), [words]).mapInArrow(_with_words(train_docs), SCHEMA))
     drop(texts)
+    if not save:
+        drop(words)
     levels, answers = [words], []
     for level in range(2, order + 1):
         asks = _joined(states, answers).mapInArrow(_asking(level, shards, hot, facts), SCHEMA)
@@ -340,6 +348,5 @@ def score(docs: DataFrame, teach: Column | None = None, order: int = 3, weight:
         for level, part in enumerate(levels, 1):
             part.filter("kind = 'model'").withColumn("kind", F.lit(f"level{level}")).write.mode("append").parquet(save)
         spark.createDataFrame([("facts", 0, 0, [str(v).encode() for v in (shards, train_docs, order, weight)])], SCHEMA).write.mode("append").parquet(save)
-    drop(words)
     done = _joined(states, answers).mapInArrow(_finish(order, shards, hot, facts), "doc_id bigint, train boolean, n_tokens bigint, n_known bigint, base_score double, score double")
     return done.withColumn("train_tokens", F.lit(total).cast("bigint"))

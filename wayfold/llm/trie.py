@@ -8,8 +8,8 @@ from wayfold.llm.arrays import by_value
 
 by_value(__name__)
 
-#: Values decoded at once, and steps of a quantised log10 probability per decade (16 bits reach 1e-15.99).
-STRIDE, GRID = 4096, 4096
+#: Values decoded at once, and steps of a quantised log10 probability per decade.
+STRIDE, GRID = 4096, 512
 
 
 def quantise(log10_p: np.ndarray) -> np.ndarray:
