@@ -31,7 +31,7 @@ def pack(values: np.ndarray) -> bytes:
     """A number column as bytes: equal byte positions side by side, then zstd."""
     values = np.ascontiguousarray(values)
     planes = values.view(np.uint8).reshape(-1, values.dtype.itemsize).T if len(values) else values.view(np.uint8)
-    return zstandard.compress(np.ascontiguousarray(planes).tobytes(), 1)
+    return zstandard.compress(np.ascontiguousarray(planes).tobytes(), 3)
 
 
 def unpack(data: bytes, dtype) -> np.ndarray:

@@ -34,7 +34,7 @@ by_value(__name__)
 START, END, FIRST = 0, 1, 2
 #: Weight of the longer context, bytes of text in a slice, text bytes per shard, and the count
 #: above which a context is split.
-WEIGHT, SLICE, SHARD, HOT = 0.15, 12 << 20, 10 << 20, 2_000_000
+WEIGHT, SLICE, SHARD, HOT = 0.15, 16 << 20, 16 << 20, 2_000_000
 MODEL = -1
 SCHEMA = "kind string, block bigint, shard int, body array<binary>"
 ARROW = pa.schema([("kind", pa.string()), ("block", pa.int64()), ("shard", pa.int32()), ("body", pa.list_(pa.binary()))])
@@ -248,16 +248,17 @@ class _Slice:
             # Rows ascend, so differences of the leading ids compress best.
             parts.append((s, [pack(np.diff(rows[own, j], prepend=0)) for j in range(rows.shape[1])] + [pack(around[own]), pack(counts[own].astype(np.int32)), pack(self.code[one[own]])]))
             order.append(own)
-        place = np.empty(len(first), np.int64)
-        place[np.concatenate(order) if order else []] = np.arange(len(first))
-        self.at = np.full(len(self.stream), -1, np.int64)  # the position's n-gram in the order of the answers
-        self.at[asks] = place[inverse]
+        self.order = np.concatenate(order) if order else np.empty(0, np.int64)
+        self.at = np.full(len(self.stream), -1, np.int64)  # the position's n-gram; they ascend by their ids
+        self.at[asks] = inverse
         return parts
 
     def answer(self, bodies) -> None:
         """Takes the codes and counts of the last question's n-grams in; unseen ones back off."""
-        codes = np.concatenate([np.empty(0, np.uint16)] + [unpack(b[0], np.uint16) for b in bodies])
-        self.count = np.concatenate([np.empty(0, np.int64)] + [unpack(b[1], np.int32) for b in bodies])
+        codes, self.count = np.empty(len(self.order), np.uint16), np.empty(len(self.order), np.int64)
+        if bodies:
+            codes[self.order] = np.concatenate([unpack(b[0], np.uint16) for b in bodies])
+            self.count[self.order] = np.concatenate([unpack(b[1], np.int32) for b in bodies])
         found = self.at >= 0
         found[found] = codes[self.at[found]] > 0
         backed = np.minimum(self.code + np.int64(round(-math.log10(1 - self.weight) * GRID)) * self.has, 65535)
