@@ -45,7 +45,8 @@ def near_copy_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def mixture_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """A mixture of the sources as even as possible without reading a document twice."""
-    return mixing.mix(docs, budget_share=MIX_BUDGET, max_repeats=1.0).select(*docs.columns)
+    whole = docs.select("doc_id", "source", "text", F.struct(*docs.columns).alias("row"))  # whatever else the columns are called
+    return mixing.mix(whole, budget_share=MIX_BUDGET, max_repeats=1.0).select("row.*")
 
 
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

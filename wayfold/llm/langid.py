@@ -91,7 +91,7 @@ def train(docs: DataFrame, sample_docs: int = SAMPLE_DOCS, words: int = WORDS, g
     About ``sample_docs`` documents of each language are taken by a hash of the id, and the most
     frequent ``words`` words and ``grams`` n-grams of each length and language are kept: these are
     the model's documented bounds, so it stays small however large the corpus is."""
-    known = docs.filter("lang is not null")
+    known = docs.select("doc_id", "text", "lang").filter("lang is not null")
     sizes = known.groupBy("lang").agg(F.count("*").alias("n"))
     draw = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 20)) < (F.lit(sample_docs) / F.col("n")) * (1 << 20)
     tokens = (known.join(sizes, "lang").filter(draw).select("lang", F.explode(letters(F.col("text"))).alias("key")).filter("key <> ''")

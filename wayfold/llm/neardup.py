@@ -7,8 +7,9 @@ that only share a set of shingles. Texts with an equal sketch are candidates; a
 verified by aligning the shared shingles in a band around the diagonal.
 
 Equal texts count once. In each bucket all texts are compared with the most central one first;
-what these links leave in different groups is compared pair by pair, so a group of thousands of
-near copies costs one comparison each and no link between groups is lost.
+what these links leave in different groups is compared inside the bucket's tasks, which return the
+links that join groups and no list of pairs. A group of thousands of near copies costs one
+comparison each that way, and no link between groups is lost.
 """
 
 from __future__ import annotations
@@ -31,8 +32,10 @@ by_value(__name__)
 #: Words in a shingle, least similarity, sketches of a text, shingles in a sketch. Two texts at the
 #: least similarity share a sketch with a chance of about 0.64; all 12 miss with 5e-6.
 SHINGLE, SIMILAR, SKETCHES, SAMPLED = 5, 0.8, 12, 2
-#: Groups in a bucket above which its pairs must share a second sketch, ids broadcast at most.
-CROWD, BROADCAST = 64, 500_000
+#: Sketches that texts of different groups must share to be compared (7.7 are expected at the least
+#: similarity, fewer than 3 with a chance of 0.001), texts of a bucket compared in one piece, ids
+#: broadcast at most.
+SHARED, PIECE, BROADCAST = 3, 1024, 500_000
 MIX, MIX2, LABEL = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9), np.uint64(0xD6E8FEB86659FD93)
 
 
@@ -60,7 +63,7 @@ def shingles(words: np.ndarray, sizes: np.ndarray, width: int) -> tuple[np.ndarr
         seen = place - np.maximum.accumulate(np.where(same, 0, place))
         label = np.empty(len(h), np.uint64)
         label[order] = seen.astype(np.uint64)
-        h = mixed(h + label * LABEL)
+        h = np.where(label > 0, mixed(h + label * LABEL), h)
     return h, counts
 
 
@@ -147,12 +150,12 @@ def sketched(docs: DataFrame, width: int, number: int) -> DataFrame:
     return docs.mapInArrow(run, "doc_id bigint, key binary, n bigint, sketch array<bigint>")
 
 
-def verified(pairs: DataFrame, docs: DataFrame, width: int, least: float) -> DataFrame:
-    """The pairs (a, b) whose texts are near copies. Only texts that stand in a pair are moved."""
-    pairs = put(pairs)
-    ids = put(pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct())
+def texts_of(ids: DataFrame, docs: DataFrame) -> DataFrame:
+    """doc_id and w (a 32-bit hash of each word) of the documents named in ``ids``, one row each.
+    Only these texts are moved."""
+    ids = put(ids.distinct())
     few = ids.count() <= BROADCAST
-    wanted = docs.join(F.broadcast(ids) if few else ids, "doc_id", "left_semi").dropDuplicates(["doc_id"]) if not few else docs.join(F.broadcast(ids), "doc_id", "left_semi")
+    wanted = docs.join(F.broadcast(ids) if few else ids, "doc_id", "left_semi")
 
     def hashed(batches):
         for batch in batches:
@@ -161,12 +164,22 @@ def verified(pairs: DataFrame, docs: DataFrame, width: int, least: float) -> Dat
                 small, ends = (words >> np.uint64(32)).astype(np.uint32), np.cumsum(sizes)
                 yield pa.RecordBatch.from_pydict({"doc_id": part.column("doc_id"), "w": pa.array([small[e - n:e].tobytes() for e, n in zip(ends, sizes)], pa.binary())})
 
-    texts = put(wanted.mapInArrow(hashed, "doc_id bigint, w binary").dropDuplicates(["doc_id"]))
+    return put(wanted.mapInArrow(hashed, "doc_id bigint, w binary").dropDuplicates(["doc_id"]))
+
+
+def words_of(data: bytes) -> np.ndarray:
+    return np.frombuffer(data, np.uint32).astype(np.uint64)
+
+
+def verified(pairs: DataFrame, docs: DataFrame, width: int, least: float) -> DataFrame:
+    """The pairs (a, b) whose texts are near copies."""
+    pairs = put(pairs)
+    texts = texts_of(pairs.select(F.explode(F.array("a", "b")).alias("doc_id")), docs)
 
     def check(batches):
         for batch in batches:
             a, b = batch.column("wa").to_pylist(), batch.column("wb").to_pylist()
-            good = [similar(np.frombuffer(x, np.uint32).astype(np.uint64), np.frombuffer(y, np.uint32).astype(np.uint64), width, least) for x, y in zip(a, b)]
+            good = [similar(words_of(x), words_of(y), width, least) for x, y in zip(a, b)]
             yield pa.RecordBatch.from_arrays([batch.column(c).filter(pa.array(good, pa.bool_())) for c in ("a", "b")], names=["a", "b"])
 
     both = (pairs.join(texts.select(F.col("doc_id").alias("a"), F.col("w").alias("wa")), "a")
@@ -174,6 +187,71 @@ def verified(pairs: DataFrame, docs: DataFrame, width: int, least: float) -> Dat
     return put(both.mapInArrow(check, "a bigint, b bigint"))
 
 
+def common(rows: list[np.ndarray], left: np.ndarray, right: np.ndarray) -> np.ndarray:
+    """Numbers of common shingles of the texts ``left`` with the texts ``right``: products of their
+    0/1 rows, some thousand shingles at a time."""
+    flat = np.concatenate(rows)
+    owner = np.repeat(np.arange(len(rows)), [len(r) for r in rows])
+    _, code, times = np.unique(flat, return_inverse=True, return_counts=True)
+    shared = np.flatnonzero(times[code] > 1)
+    shared = shared[np.argsort(code[shared], kind="stable")]
+    name = np.cumsum(np.concatenate(([0], np.diff(code[shared]) > 0))) if len(shared) else shared
+    out = np.zeros((len(left), len(right)), np.float32)
+    for begin in range(0, int(name[-1]) + 1 if len(name) else 0, 4096):
+        lo, hi = np.searchsorted(name, [begin, begin + 4096])
+        x = np.zeros((len(rows), 4096), np.float32)
+        x[owner[shared[lo:hi]], name[lo:hi] - begin] = 1
+        out += x[left] @ x[right].T
+    return out
+
+
+def joining(ids, labels, sketch, words, place: int, sides, width: int, least: float) -> list[tuple[int, int]]:
+    """Links that join the groups of one bucket (or of two pieces of it, told apart by ``sides``).
+
+    Looked at are pairs of different groups that share ``SHARED`` sketches, this bucket's being the
+    first of them. Once two groups are joined, no more of their pairs are."""
+    n = len(ids)
+    root = {int(x): int(x) for x in labels}
+
+    def top(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    pairs = []
+    counts = np.zeros(n, np.int64)
+    rows: list = []
+    for begin in range(0, n, 256):
+        block = slice(begin, min(n, begin + 256))
+        agree = np.zeros((block.stop - begin, n), np.int8)
+        early = np.zeros(agree.shape, bool)
+        for t in range(sketch.shape[1]):
+            same = sketch[block, t][:, None] == sketch[:, t][None, :]
+            agree += same
+            if t < place:
+                early |= same
+        mask = (agree >= SHARED) & ~early & (labels[block][:, None] != labels[None, :])
+        mask &= (ids[block][:, None] < ids[None, :]) if sides is None else (~sides[block][:, None] & sides[None, :])
+        i = np.flatnonzero(mask.any(1))
+        j = np.flatnonzero(mask.any(0))
+        if not len(i):
+            continue
+        if not rows:
+            rows = [shingles(w, np.array([len(w)]), width)[0] for w in words]
+            counts = np.array([len(r) for r in rows])
+        both = common(rows, i + begin, j)
+        alike = both / (counts[i + begin][:, None] + counts[j][None, :] - both)
+        a, b = np.nonzero(mask[np.ix_(i, j)] & (alike >= least - 1e-6))
+        pairs += zip((-alike[a, b]).tolist(), (i[a] + begin).tolist(), j[b].tolist())
+    out = []
+    for _, a, b in sorted(pairs):
+        x, y = top(int(labels[a])), top(int(labels[b]))
+        if x != y and similar(words[a], words[b], width, least):
+            root[max(x, y)] = min(x, y)
+            out.append((int(ids[a]), int(ids[b])))
+    return out
+
+
 def classes(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", width: int = SHINGLE, least: float = SIMILAR, number: int = SKETCHES) -> DataFrame:
     """One row per row of ``docs``: doc_id, class_id (smallest id reached over links) and kept (the
     row's id is its class).
@@ -197,18 +275,22 @@ def classes(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", width:
     stars = members.join(centre, ["i", "s"]).filter((F.col("rep") != F.col("hub")) & close(F.col("n"), F.col("hn"))).select(F.col("hub").alias("a"), F.col("rep").alias("b")).distinct()
     edges = verified(stars, docs, width, least)
     labels = components(edges.select(F.col("a").alias("src"), F.col("b").alias("dst")), [])
-    # Second round: pairs of a bucket whose texts are still in different groups.
-    placed = members.join(labels.select(F.col("node").alias("rep"), "label"), "rep", "left").join(centre, ["i", "s"]).withColumn("label", F.coalesce("label", "rep"))
-    open_ = placed.groupBy("i", "s").agg(F.approx_count_distinct("label").alias("g"), F.min("label").alias("lo"), F.max("label").alias("hi")).filter("lo <> hi").select("i", "s", "g")
-    rest = placed.filter("rep <> hub").join(open_, ["i", "s"])
-    second = F.when(F.col("g") > CROWD, F.filter(F.transform("sketch", lambda v, j: F.struct(j.alias("j"), v.alias("v"))), lambda x: x["j"] != F.col("i"))).otherwise(
-        F.array(F.struct(F.lit(-1).alias("j"), F.lit(0).cast("bigint").alias("v"))))
-    rest = put(rest.select("i", "s", "rep", "n", "label", "sketch", F.explode(second).alias("x")).select("i", "s", "x.j", "x.v", "rep", "n", "label", "sketch"))
-    left = rest.select("i", "s", "j", "v", F.col("rep").alias("a"), F.col("n").alias("na"), F.col("label").alias("la"), F.col("sketch").alias("sa"))
-    right = rest.select("i", "s", "j", "v", F.col("rep").alias("b"), F.col("n").alias("nb"), F.col("label").alias("lb"), F.col("sketch").alias("sb"))
-    earlier = F.exists(F.arrays_zip(F.slice("sa", F.lit(1), F.col("i")).alias("x"), F.slice("sb", F.lit(1), F.col("i")).alias("y")), lambda z: z["x"] == z["y"])
-    more = left.join(right, ["i", "s", "j", "v"]).filter((F.col("a") < F.col("b")) & (F.col("la") != F.col("lb")) & close(F.col("na"), F.col("nb")) & ~earlier).select("a", "b").distinct()
-    extra = verified(more, docs, width, least)
+    # Second round, inside buckets whose texts are still in different groups; large ones in pieces.
+    placed = members.join(labels.select(F.col("node").alias("rep"), "label"), "rep", "left").withColumn("label", F.coalesce("label", "rep"))
+    open_ = placed.groupBy("i", "s").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.count("*").alias("c")).filter("lo <> hi").select("i", "s", F.ceil(F.col("c") / PIECE).cast("int").alias("p"))
+    rest = put(placed.drop("c").join(open_, ["i", "s"]))
+    own = F.pmod(F.xxhash64("rep"), F.col("p")).cast("int")
+    pieces = (rest.join(texts_of(rest.select(F.col("rep").alias("doc_id")), docs).withColumnRenamed("doc_id", "rep"), "rep").withColumn("own", own).withColumn("with", F.explode(F.expr("sequence(0, p - 1)")))
+              .select("i", "s", "rep", "label", "sketch", "w", "own", F.least("own", "with").alias("lo"), F.greatest("own", "with").alias("hi")))
+
+    def joined(group: pa.Table) -> pa.Table:
+        sketch = np.array(group.column("sketch").to_pylist(), np.int64)
+        lo, hi, mine = (group.column(c).to_numpy() for c in ("lo", "hi", "own"))
+        found = joining(group.column("rep").to_numpy(), group.column("label").to_numpy(), sketch, [words_of(w) for w in group.column("w").to_pylist()], group.column("i")[0].as_py(),
+                        None if lo[0] == hi[0] else mine == hi[0], width, least)
+        return pa.table({"a": pa.array([a for a, _ in found], pa.int64()), "b": pa.array([b for _, b in found], pa.int64())})
+
+    extra = put(pieces.groupBy("i", "s", "lo", "hi").applyInArrow(joined, "a bigint, b bigint"))
     if not extra.isEmpty():
         labels = components(edges.unionByName(extra).select(F.col("a").alias("src"), F.col("b").alias("dst")), [])
     named = texts.select("key", "rep").join(labels.select(F.col("node").alias("rep"), "label"), "rep", "left").select("key", F.coalesce("label", "rep").alias("label"))

@@ -24,7 +24,7 @@ from wayfold.session import cut
 by_value(__name__)
 
 #: Bytes of coded data in one segment of a file, files at most, remembered pieces of words per worker.
-SEGMENT, FILES, MEMORY = 4 << 20, 4096, 200000
+SEGMENT, FILES, MEMORY = 4 << 20, 4096, 400000
 #: Lengths of the four values of a control byte (low bits first), and their sum.
 LENGTHS = (np.arange(256)[:, None] >> np.array([0, 2, 4, 6]) & 3) + 1
 #: Words of these characters need no Unicode normalisation and lower-case letter by letter.
@@ -77,26 +77,29 @@ class WordEncoder:
         table = {c: chr(c) for c in byte_chars} | {c: chr(256 + i) for i, c in enumerate(x for x in range(256) if x not in set(byte_chars))}
         self.letters = {c: "".join(table[b] for b in chr(c).encode()) for c in range(0x21, 0x100)}
 
-    def piece(self, text: str) -> tuple:
-        ids = tuple(t.id for t in self.model.tokenize(text.translate(self.letters)))
-        if len(self.memory) >= MEMORY:
-            self.memory.clear()
-        self.memory[text] = ids
+    def piece(self, text: str) -> bytes:
+        ids = np.array([t.id for t in self.model.tokenize(text.translate(self.letters))], np.uint32).tobytes()
+        if len(self.memory) < MEMORY:  # what comes first is mostly what comes often
+            self.memory[text] = ids
         return ids
 
-    def word(self, word: str) -> list[int]:
+    def word(self, word: str) -> bytes:
+        known = self.memory.get(word)
+        if known is not None:
+            return known
         if not PLAIN.fullmatch(word) or "<|" in word:
-            return self.whole.encode(word, add_special_tokens=False).ids
-        get, out = self.memory.get, []
-        for text in PIECES.findall(word.lower()):
-            out += get(text) or self.piece(text)
-        return out
+            return np.array(self.whole.encode(word, add_special_tokens=False).ids, np.uint32).tobytes()
+        word = word.lower()
+        get, piece = self.memory.get, self.piece
+        if word.isalpha():
+            return get(word) or piece(word)
+        return b"".join([get(text) or piece(text) for text in PIECES.findall(word)])
 
     def table(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all words on end, and the number of ids of each."""
-        each = [self.word(w) for w in words]
-        sizes = np.fromiter(map(len, each), np.int64, len(each))
-        return np.fromiter((i for ids in each for i in ids), np.int64, int(sizes.sum())), sizes
+        each = list(map(self.word, words))
+        sizes = np.fromiter(map(len, each), np.int64, len(each)) // 4
+        return np.frombuffer(b"".join(each), np.uint32), sizes
 
 
 _ENCODERS: dict = {}
@@ -109,7 +112,7 @@ def blocks(docs: DataFrame, file: str, end: int) -> DataFrame:
         if file not in _ENCODERS:
             _ENCODERS[file] = WordEncoder(file)
         for batch in batches:
-            for part in slices(batch, "text", 12 << 20):
+            for part in slices(batch, "text", 20 << 20):
                 # Case is left to the tokenizer: it lowers more than A-Z.
                 sizes, at, known = split_words(part.column("text"), lower=False)
                 ids, per = _ENCODERS[file].table(known)
