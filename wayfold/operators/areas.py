@@ -13,7 +13,6 @@ from wayfold.operators import tracks
 from wayfold.session import cut
 
 AREA_CELL, COUNTRY_CELL = 0.05, 1.0
-COUNTRY_SAMPLES = 60
 # Least side in metres of the parts kept of areas and of country outlines.
 AREA_SLIVER_M, COUNTRY_SLIVER_M = 50.0, 1_500.0
 
@@ -91,12 +90,9 @@ def track_areas(points: DataFrame, index: DataFrame, size: float = AREA_CELL, ke
     return located(dense, index, size).select(*keys, "code").distinct()
 
 
-def track_countries(points: DataFrame, country_index: DataFrame, samples: int = COUNTRY_SAMPLES, keys=tracks.TRACK) -> DataFrame:
-    """Countries of up to about ``samples`` points per track and its last point."""
-    spans = points.groupBy(*keys).agg(F.min("seq").alias("_first"), F.max("seq").alias("_last"), F.count(F.lit(1)).alias("_n"))
-    step = F.greatest(F.lit(1), F.floor(F.col("_n") / samples))
-    sampled = points.join(spans, list(keys)).filter(((F.col("seq") - F.col("_first")) % step == 0) | (F.col("seq") == F.col("_last")))
-    found = located(sampled.select(*keys, "lat", "lon"), country_index, COUNTRY_CELL)
+def track_countries(points: DataFrame, country_index: DataFrame, keys=tracks.TRACK) -> DataFrame:
+    """Countries of all points of each track."""
+    found = located(points.select(*keys, "lat", "lon"), country_index, COUNTRY_CELL)
     return found.select(*keys, F.substring_index("code", ":", 1).alias("country")).distinct()
 
 

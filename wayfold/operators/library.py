@@ -2,13 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from wayfold.operators import merge, ordered
 
-# Entries kept of the deletion and name logs, and seconds the feed is read again.
-TOMBSTONES, NAMES, REREAD_S = 5_000, 4_000, 86_400
+# Fixed value: seconds the feed is read again.
+REREAD_S = 86_400
 
 
 def mirror_diff(source: DataFrame, target: DataFrame, deleted: DataFrame) -> DataFrame:
@@ -57,31 +57,19 @@ def catalogue_changes(old: DataFrame, new: DataFrame) -> DataFrame:
     return added.unionByName(old.select("id").distinct().join(new.select("id"), "id", "left_anti").withColumn("change", F.lit("removed")))
 
 
-def tombstones(log: DataFrame, keep: int = TOMBSTONES, keys=()) -> DataFrame:
-    """State of each name from signed change times (negative: restored), newest ``keep`` entries.
+def tombstones(log: DataFrame, keys=()) -> DataFrame:
+    """State of each name from signed change times (negative: restored). Every name is kept.
 
-    Equal times keep the first writer. The cut is found on a histogram of change hours, so only the
-    hour it falls in is ranked."""
+    Equal times keep the first writer."""
     keys = list(keys)
     writer = F.col("writer") if "writer" in log.columns else F.lit(0)
-    state = (log.groupBy(*keys, "name").agg(F.max_by("changed_at", F.struct(F.abs("changed_at").alias("t"), (-writer).alias("w"))).alias("changed_at"))
-             .withColumn("_t", F.abs("changed_at")).withColumn("_h", F.floor(F.col("_t") / 3600)))
-    newest = ordered.ordinals(state, keys or ["_one"], [F.desc("_t"), F.desc("name")], F.col("_h"), "_n", descending=True) if keys else \
-        ordered.ordinals(state.withColumn("_one", F.lit(1)), ["_one"], [F.desc("_t"), F.desc("name")], F.col("_h"), "_n", descending=True).drop("_one")
-    return newest.filter(F.col("_n") <= keep).select(*keys, "name", "changed_at", (F.col("changed_at") > 0).alias("deleted"))
+    state = log.groupBy(*keys, "name").agg(F.max_by("changed_at", F.struct(F.abs("changed_at").alias("t"), (-writer).alias("w"))).alias("changed_at"))
+    return state.select(*keys, "name", "changed_at", (F.col("changed_at") > 0).alias("deleted"))
 
 
-def names_log(log: DataFrame, keep: int = NAMES, keys=("athlete_id",)) -> DataFrame:
+def names_log(log: DataFrame, keys=("athlete_id",)) -> DataFrame:
     """Current name per file from (keys..., file_name, new_name, arrival); the last arrival wins.
-
-    Beyond ``keep`` files the smallest names drop first, except those of the last arrival."""
+    Every file is kept."""
     keys = list(keys)
-    current = log.groupBy(*keys, "file_name").agg(F.max(F.struct("arrival", "new_name")).alias("m")).select(*keys, "file_name", "m.new_name", "m.arrival")
-    sizes = current.groupBy(*keys).agg(F.count(F.lit(1)).alias("_size"), F.max("arrival").alias("_last"))
-    first = F.substring("file_name", 1, 3)
-    marked = current.join(sizes, keys)
-    by_head = Window.partitionBy(*keys).orderBy("_head").rowsBetween(Window.unboundedPreceding, -1)
-    heads = marked.groupBy(*keys, first.alias("_head")).agg(F.count(F.lit(1)).alias("_c")).withColumn("_before", F.coalesce(F.sum("_c").over(by_head), F.lit(0))).drop("_c")
-    within = Window.partitionBy(*keys, "_head").orderBy("file_name")
-    numbered = marked.withColumn("_head", first).join(heads, [*keys, "_head"]).withColumn("_n", F.col("_before") + F.row_number().over(within))
-    return numbered.filter((F.col("_n") > F.col("_size") - keep) | (F.col("arrival") == F.col("_last"))).select(*keys, "file_name", "new_name", "arrival")
+    current = log.groupBy(*keys, "file_name").agg(F.max(F.struct("arrival", "new_name")).alias("m"))
+    return current.select(*keys, "file_name", "m.new_name", "m.arrival")

@@ -15,7 +15,7 @@ from wayfold.operators import graph, ordered
 from wayfold.session import cut
 
 # Metres bridged between ends of one road, rounds, end cells and gap positions.
-GAP_M, GAP_ROUNDS, END_CELLS_PER_DEGREE = 300.0, 3, 200
+GAP_M, END_CELLS_PER_DEGREE = 300.0, 200
 GAP_SHARES = (0.02, 0.98)
 
 
@@ -119,9 +119,10 @@ def chain(points: DataFrame) -> DataFrame:
     return joined_points(points, assemble(points, touching_links(piece_ends(points))))
 
 
-def stitch(points: DataFrame, rounds: int = GAP_ROUNDS) -> DataFrame:
-    """Lines of a road joined over gaps of up to 300 m, at most three times."""
-    for _ in range(rounds):
+def stitch(points: DataFrame) -> DataFrame:
+    """Lines of a road joined over gaps of up to 300 m until no link is left. Every round joins at
+    least one pair of lines, so the rounds end."""
+    while True:
         links = cut(near_links(piece_ends(points)))
         if links.isEmpty():
             break

@@ -47,7 +47,7 @@ def _end_us(start="start_us", elapsed="elapsed") -> Column:
 def same_workout(probes: DataFrame, library: DataFrame) -> DataFrame:
     """Pairs (athlete_id, activity_id, library_id) of one workout.
 
-    Library activities start at most a day before the probe, as the lookup of known copies does."""
+    The start and overlap rules alone decide, as in ``duplicate_groups``."""
     def side(df, name):
         t = _timed(df)
         slack = TOLERANCE_S * _US
@@ -55,8 +55,7 @@ def same_workout(probes: DataFrame, library: DataFrame) -> DataFrame:
                         _buckets(F.col("start_us") - slack, _end_us() + slack).alias("bucket"))
 
     pairs = side(probes, "a").join(side(library, "b"), ["athlete_id", "bucket"])
-    day = F.col("b.start_us") >= F.col("a.start_us") - 86_400 * _US
-    return (pairs.filter((_start_rule("a", "b") | _overlap_rule("a", "b")) & day)
+    return (pairs.filter(_start_rule("a", "b") | _overlap_rule("a", "b"))
             .select("athlete_id", F.col("a.activity_id").alias("activity_id"), F.col("b.activity_id").alias("library_id")).distinct())
 
 

@@ -76,20 +76,20 @@ def latest_version(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.parquet(f"{path}/v={newest}")
 
 
-def tombstone_stream(log: DataFrame, path: str, checkpoint: str, keep: int = library.TOMBSTONES):
+def tombstone_stream(log: DataFrame, path: str, checkpoint: str):
     """Last change per name, folded batch by batch."""
     def fold(stored, batch):
         rows = batch.select("name", "changed_at")
         rows = rows if stored is None else stored.select("name", "changed_at").unionByName(rows)
-        return library.tombstones(rows, keep)
+        return library.tombstones(rows)
 
     return upsert_stream(log, path, checkpoint, fold, "name STRING, changed_at BIGINT, deleted BOOLEAN")
 
 
-def names_stream(log: DataFrame, path: str, checkpoint: str, keep: int = library.NAMES):
+def names_stream(log: DataFrame, path: str, checkpoint: str):
     def fold(stored, batch):
         rows = batch.select("athlete_id", "file_name", "new_name", "arrival")
-        return library.names_log(rows if stored is None else stored.unionByName(rows), keep)
+        return library.names_log(rows if stored is None else stored.unionByName(rows))
 
     return upsert_stream(log, path, checkpoint, fold, "athlete_id BIGINT, file_name STRING, new_name STRING, arrival BIGINT")
 

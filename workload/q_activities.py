@@ -65,8 +65,7 @@ def agg_preferred_file(spark, sf):
 
 
 @query("jn_same_workout", fx.oracle(f"""
-SELECT a.athlete_id, a.activity_id, b.activity_id AS library_id FROM timed a JOIN timed b ON a.athlete_id = b.athlete_id AND {SAME}
-  AND b.s >= a.s - 86400000000 WHERE a.activity_id < 1000000000 AND b.activity_id >= 1000000000""", A, TIMED_SQL))
+SELECT a.athlete_id, a.activity_id, b.activity_id AS library_id FROM timed a JOIN timed b ON a.athlete_id = b.athlete_id AND {SAME} WHERE a.activity_id < 1000000000 AND b.activity_id >= 1000000000""", A, TIMED_SQL))
 def jn_same_workout(spark, sf):
     acts = fx.activities(spark, sf)
     return merge.same_workout(acts.filter("source = 'feed'"), acts.filter("source = 'file'"))

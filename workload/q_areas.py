@@ -23,11 +23,11 @@ def jn_track_areas(spark, sf):
 
 
 @query("jn_track_countries", fx.oracle(f"""
-SELECT DISTINCT athlete_id, activity_id, split_part(code, ':', 1) AS country FROM (SELECT *, count(*) OVER (PARTITION BY activity_id) AS n FROM fx_points) p
-JOIN fx_area_rects r ON {INSIDE.replace('r.holed', 'false')} WHERE (seq - 1) % greatest(1, n // 6) = 0 OR seq = n""", P, AR))
+SELECT DISTINCT athlete_id, activity_id, split_part(code, ':', 1) AS country FROM fx_points p
+JOIN fx_area_rects r ON {INSIDE.replace('r.holed', 'false')}""", P, AR))
 def jn_track_countries(spark, sf):
     index = areas.cell_index(fx.area_rings(spark, sf), areas.COUNTRY_CELL, outer_only=True)
-    return areas.track_countries(fx.points(spark, sf), index, samples=6)
+    return areas.track_countries(fx.points(spark, sf), index)
 
 
 @query("agg_region_counts", fx.oracle(f"""

@@ -159,7 +159,7 @@ def win_nms_climbs(spark, sf):
 
 
 @query("top_climbs", fx.oracle("""
-SELECT line_id, reverse, start, cat, rank FROM (SELECT *, row_number() OVER (PARTITION BY cat ORDER BY round(gain, 6) DESC, line_id, reverse, start) AS rank FROM rated WHERE cat IS NOT NULL) WHERE rank <= 500""", *RATED_CTES, recursive=True))
+SELECT line_id, reverse, start, cat, rank FROM (SELECT *, row_number() OVER (PARTITION BY cat ORDER BY round(gain, 6) DESC, line_id, reverse, start) AS rank FROM rated WHERE cat IS NOT NULL)""", *RATED_CTES, recursive=True))
 def top_climbs(spark, sf):
     out, _ = rated(spark, sf)
     keyed = out.withColumn("climb_id", F.struct("line_id", "reverse", "start")).withColumn("gain", F.round("gain", 6))

@@ -329,7 +329,7 @@ def st_tombstones(spark, sf):
     k, path = F.col("o_orderkey"), scratch(spark)
     fx.table(spark, sf, "orders").select(F.concat(F.lit("f"), F.col("o_custkey").cast("string")).alias("name"), (F.when(k % 3 == 0, -1).otherwise(1) * (100000 + k * 7919 % 1000003)).alias("changed_at")).repartition(4).write.parquet(f"{path}/in")
     log = spark.readStream.schema("name STRING, changed_at BIGINT").option("maxFilesPerTrigger", 2).parquet(f"{path}/in")
-    ev.tombstone_stream(log, f"{path}/out", f"{path}/ck", keep=10_000_000).awaitTermination()
+    ev.tombstone_stream(log, f"{path}/out", f"{path}/ck").awaitTermination()
     return ev.latest_version(spark, f"{path}/out").select("name", "deleted")
 
 
@@ -340,7 +340,7 @@ def st_names_log(spark, sf):
     fx.table(spark, sf, "orders").select((F.col("o_custkey") % 5).alias("athlete_id"), F.format_string("file-%d", F.col("o_custkey")).alias("file_name"), F.concat(F.lit("n"), F.col("o_orderkey").cast("string")).alias("new_name"),
                                          F.col("o_orderkey").alias("arrival")).repartition(4).write.parquet(f"{path}/in")
     log = spark.readStream.schema("athlete_id BIGINT, file_name STRING, new_name STRING, arrival BIGINT").option("maxFilesPerTrigger", 2).parquet(f"{path}/in")
-    ev.names_stream(log, f"{path}/out", f"{path}/ck", keep=10_000_000).awaitTermination()
+    ev.names_stream(log, f"{path}/out", f"{path}/ck").awaitTermination()
     return ev.latest_version(spark, f"{path}/out").select("athlete_id", "file_name", "new_name")
 
 

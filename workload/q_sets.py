@@ -284,22 +284,21 @@ def set_catalog_changes(spark, sf):
 
 
 @query("st_tombstones_batch", """
-SELECT name, changed_at > 0 AS deleted FROM (SELECT *, row_number() OVER (ORDER BY abs(changed_at) DESC, name DESC) AS n FROM (
+SELECT name, changed_at > 0 AS deleted FROM (
   SELECT name, changed_at, row_number() OVER (PARTITION BY name ORDER BY abs(changed_at) DESC, writer) AS rn FROM (
-    SELECT 'f' || o_custkey AS name, (CASE WHEN o_orderkey % 3 = 0 THEN -1 ELSE 1 END) * (100000 + o_orderkey * 7919 % 1000003) AS changed_at, o_orderkey % 2 AS writer FROM orders)) WHERE rn = 1) WHERE n <= 500""")
+    SELECT 'f' || o_custkey AS name, (CASE WHEN o_orderkey % 3 = 0 THEN -1 ELSE 1 END) * (100000 + o_orderkey * 7919 % 1000003) AS changed_at, o_orderkey % 2 AS writer FROM orders)) WHERE rn = 1""")
 def st_tombstones_batch(spark, sf):
     k = F.col("o_orderkey")
     log = fx.table(spark, sf, "orders").select(F.concat(F.lit("f"), F.col("o_custkey").cast("string")).alias("name"), (F.when(k % 3 == 0, -1).otherwise(1) * (100000 + k * 7919 % 1000003)).alias("changed_at"), (k % 2).alias("writer"))
-    return library.tombstones(log, 500).select("name", "deleted")
+    return library.tombstones(log).select("name", "deleted")
 
 
 @query("st_names_log_batch", """
-SELECT athlete_id, file_name, new_name FROM (SELECT *, row_number() OVER (PARTITION BY athlete_id ORDER BY file_name) AS n, count(*) OVER (PARTITION BY athlete_id) AS size, max(arrival) OVER (PARTITION BY athlete_id) AS last FROM (
-  SELECT o_custkey % 5 AS athlete_id, 'file-' || lpad((o_custkey % 900)::VARCHAR, 4, '0') AS file_name, max_by('n' || o_orderkey, o_orderkey) AS new_name, max(o_orderkey) AS arrival FROM orders GROUP BY 1, 2)) WHERE n > size - 50 OR arrival = last""")
+SELECT o_custkey % 5 AS athlete_id, 'file-' || lpad((o_custkey % 900)::VARCHAR, 4, '0') AS file_name, max_by('n' || o_orderkey, o_orderkey) AS new_name FROM orders GROUP BY 1, 2""")
 def st_names_log_batch(spark, sf):
     log = fx.table(spark, sf, "orders").select((F.col("o_custkey") % 5).alias("athlete_id"), F.format_string("file-%04d", F.col("o_custkey") % 900).alias("file_name"),
                                                F.concat(F.lit("n"), F.col("o_orderkey").cast("string")).alias("new_name"), F.col("o_orderkey").alias("arrival"))
-    return library.names_log(log, 50).select("athlete_id", "file_name", "new_name")
+    return library.names_log(log).select("athlete_id", "file_name", "new_name")
 
 
 MESSAGES_SQL = """sess AS (SELECT l_orderkey AS file, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_quantity, l_extendedprice, l_discount, l_tax, l_shipdate) AS seq,
