@@ -11,15 +11,17 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from wayfold.llm.arrays import by_value, split_words
+from wayfold.llm.arrays import by_value, slices, split_words
 
 by_value(__name__)
 
 #: Documents of each language the model is expected to learn from at most, and the size of its tables.
 SAMPLE_DOCS, WORDS, GRAMS, LONGEST = 1500, 20000, 8000, 4
+#: Bytes of text that are looked at together.
+PART = 2 << 20
 UNKNOWN = "und"
 NOT_LETTERS = r"\P{L}+"
 
@@ -58,8 +60,17 @@ class Model:
         return np.array([unseen(w) if r is None else r for w, r in zip(words, found)], float).reshape(-1, len(self.langs))
 
     def predict(self, texts: pa.Array) -> tuple[list, np.ndarray]:
-        """Language and confidence of each text: ``und`` and 0 where it has no letter."""
-        clean = pc.replace_substring_regex(pc.utf8_lower(pc.fill_null(texts.cast(pa.large_string()), "")), NOT_LETTERS, " ")
+        """Language and confidence of each text: ``und`` and 0 where it has no letter. Works on a few
+        megabytes of text at a time."""
+        names, sure = [], []
+        for part in slices(pa.RecordBatch.from_arrays([texts], names=["text"]), "text", PART):
+            more, share = self._predict(part.column("text"))
+            names += more
+            sure.append(share)
+        return names, np.concatenate(sure) if sure else np.empty(0)
+
+    def _predict(self, texts: pa.Array) -> tuple[list, np.ndarray]:
+        clean = pc.replace_substring_regex(pc.utf8_lower(pa.concat_arrays([pc.fill_null(texts.cast(pa.large_string()), "")])), NOT_LETTERS, " ")
         sizes, at, words = split_words(clean, lower=False)
         names, sure = [UNKNOWN] * len(sizes), np.zeros(len(sizes))
         if not self.langs or not len(at):
@@ -92,14 +103,16 @@ def train(docs: DataFrame, sample_docs: int = SAMPLE_DOCS, words: int = WORDS, g
     frequent ``words`` words and ``grams`` n-grams of each length and language are kept: these are
     the model's documented bounds, so it stays small however large the corpus is."""
     known = docs.select("doc_id", "text", "lang").filter("lang is not null")
-    sizes = known.groupBy("lang").agg(F.count("*").alias("n"))
-    draw = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 20)) < (F.lit(sample_docs) / F.col("n")) * (1 << 20)
-    tokens = (known.join(sizes, "lang").filter(draw).select("lang", F.explode(letters(F.col("text"))).alias("key")).filter("key <> ''")
-              .groupBy("lang", "key").agg(F.count("*").alias("n")))
-    rows = tokens.select("lang", "key", "n").toPandas() if sizes.head(1) else pd.DataFrame({"lang": [], "key": [], "n": []})
+    sizes = {r["lang"]: r["n"] for r in known.groupBy("lang").agg(F.count("*").alias("n")).collect()}  # the model has a column for each
+    if not sizes:
+        return Model([], {}, {})
+    rate = F.create_map(*[F.lit(v) for lang, n in sizes.items() for v in (lang, min(1.0, sample_docs / n))])[F.col("lang")]
+    drawn = known.filter(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 20)) < rate * (1 << 20))
+    tokens = drawn.select("lang", F.explode(letters(F.col("text"))).alias("key")).filter("key <> ''").groupBy("lang", "key").agg(F.count("*").alias("n"))
+    place = F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("n"), "key"))
+    rows = tokens.withColumn("place", place).filter(F.col("place") <= words).select("lang", "key", "n").toPandas()
     langs = sorted(rows["lang"].unique())
-    rows = rows.sort_values(["lang", "n", "key"], ascending=[True, False, True])
-    top = rows.groupby("lang").head(words)
+    top = rows.sort_values(["lang", "n", "key"], ascending=[True, False, True])
     pieces: dict = {}
     for lang, key, n in top.itertuples(index=False):
         word = f"_{key}_"

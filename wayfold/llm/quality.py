@@ -165,7 +165,7 @@ def train(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS) ->
     """Fits on the rows of ``docs`` (doc_id, text) that ``labels`` (doc_id, quality) marks 0 or 1.
 
     Of each class at most ``sample_rows`` rows are expected, taken by a hash of the id, so the
-    sample and its features have a bound however large the tables are. A document labelled more
+    sample, which is broadcast, and its features have a bound however large the tables are. A document labelled more
     than once counts with each label; null labels and ids teach nothing."""
     marked = labels.filter(F.col("quality").isin(0, 1)).select(F.col("doc_id").alias("_id"), F.col("quality").cast("int").alias("_y"))
     sizes = {r["_y"]: r["n"] for r in marked.groupBy("_y").agg(F.count("*").alias("n")).collect()}
@@ -178,7 +178,7 @@ def train(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS) ->
     def numbers(texts: pd.Series) -> pd.Series:
         return pd.Series(list(featured(texts)))
 
-    rows = docs.select(F.col("doc_id").alias("_id"), "text").join(chosen, "_id").select("_id", "_y", numbers("text").alias("x")).toPandas()
+    rows = docs.select(F.col("doc_id").alias("_id"), "text").join(F.broadcast(chosen), "_id").select("_id", "_y", numbers("text").alias("x")).toPandas()
     rows = rows.sort_values(["_id", "_y"], kind="stable")
     x = np.array(rows["x"].tolist(), float).reshape(-1, len(FEATURES))
     return fit(x, rows["_y"].to_numpy(float))
