@@ -123,20 +123,24 @@ def folded_contains(text, needle: str) -> Column:
     return F.contains(F.collate(_c(text), "UNICODE_CI_AI"), F.collate(F.lit(needle), "UNICODE_CI_AI"))
 
 
-# Letters with an accent and the plain letters they fold to.
-ACCENTED = "àáâãäåçèéêëìíîïñòóôõöøùúûüýÿāăąćčďđēėęěğīįłńňőœŕřśşšţťūůűźżž"
+def _folds() -> dict[str, str]:
+    """Accented Latin letters and the plain letters they are written with."""
+    import unicodedata
+    letters = (chr(c) for block in (range(0xC0, 0x250), range(0x1E00, 0x1F00)) for c in block)
+    plain = {c: unicodedata.normalize("NFD", c)[0] for c in letters if c == c.lower()}
+    return {c: p for c, p in plain.items() if p != c and p.isascii() and p.isalpha()} | {"ø": "o", "đ": "d", "ł": "l"}
 
 
-def slug(text, empty: str = "challenge", longest: int = 64) -> Column:
-    folded = F.translate(F.regexp_replace(F.lower(_c(text)), "œ", "oe"), ACCENTED.replace("œ", ""), _plain())
-    cleaned = F.regexp_replace(F.regexp_replace(folded, "[^a-z0-9]+", "-"), "^-+|-+$", "")
-    return F.substring(F.when(cleaned == "", F.lit(empty)).otherwise(cleaned), 1, longest)
+FOLDS = _folds()
 
 
-def _plain() -> str:
-    import unicodedata
-    special = {"ø": "o", "đ": "d", "ł": "l"}
-    return "".join(special.get(c) or unicodedata.normalize("NFKD", c)[0] for c in ACCENTED if c != "œ")
+def slug(text, empty: str = "challenge", longest: int = 64) -> Column:
+    """Id made of a text's plain letters and digits; one that is too long ends in a short hash of
+    the whole, so that long texts with a common beginning stay apart."""
+    folded = F.translate(F.replace(F.lower(_c(text)), F.lit("œ"), F.lit("oe")), "".join(FOLDS), "".join(FOLDS.values()))
+    cleaned = F.regexp_replace(F.regexp_replace(folded, "[^a-z0-9]+", "-"), "^-+|-+$", "")
+    short = F.concat(F.substring(cleaned, 1, longest - 9), F.lit("-"), F.substring(F.sha2(cleaned.cast("binary"), 256), 1, 8))
+    return F.when(cleaned == "", F.lit(empty)).when(F.length(cleaned) > longest, short).otherwise(cleaned)
 
 
 def is_own_export(name) -> Column:

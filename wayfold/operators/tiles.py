@@ -150,11 +150,29 @@ def neighbourhood(locations: DataFrame, tiles: DataFrame, columns: int = 5, rows
 
 
 def nearest_unvisited(starts: DataFrame, tiles: DataFrame, k: int = 4, reach: int = 6) -> DataFrame:
-    """The k nearest unvisited tiles within ``reach`` tiles of each start (at most 168 candidates)."""
+    """The k nearest unvisited tiles of each start, itself left out; ``rank`` from 1.
+
+    Starts that have fewer than k within ``reach`` look twice as far. They have visited nearly all
+    tiles there, so what is looked at grows with the tiles visited. Runs a job a round."""
+    keys = ["athlete_id", "location_id"]
+    tiles = tiles.select("athlete_id", "x", "y").distinct()
+    pending, found = starts.select(*keys, "lat", "lon"), []
+    while True:
+        near = cut(_unvisited_within(pending, tiles, k, reach))
+        full = near.groupBy(*keys).agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") >= k)
+        found.append(near.join(full.select(*keys), keys, "left_semi"))
+        pending = cut(pending.join(full, keys, "left_anti"))
+        if k < 1 or pending.isEmpty():
+            return reduce(DataFrame.unionByName, found)
+        reach *= 2
+
+
+def _unvisited_within(starts: DataFrame, tiles: DataFrame, k: int, reach: int) -> DataFrame:
+    """The first k unvisited tiles of the disc around each start; a disc misses no nearer tile."""
     side = 2 * reach + 1
     cells = (starts.select("athlete_id", "location_id", geo.tile_x("lon").alias("cx"), geo.tile_y("lat").alias("cy"), F.explode(_window(side, side)).alias("o"))
              .select("athlete_id", "location_id", (F.col("o.i") - reach).alias("dx"), (F.col("o.j") - reach).alias("dy"), "cx", "cy")
-             .filter("dx <> 0 or dy <> 0")
+             .filter(f"(dx <> 0 or dy <> 0) and dx * dx + dy * dy <= {reach * reach}")
              .select("athlete_id", "location_id", (F.col("cx") + F.col("dx")).alias("x"), (F.col("cy") + F.col("dy")).alias("y"),
                      (F.col("dx") * F.col("dx") + F.col("dy") * F.col("dy")).alias("d2")))
     fresh = cells.join(tiles.select("athlete_id", "x", "y"), ["athlete_id", "x", "y"], "left_anti")

@@ -46,10 +46,12 @@ def activities(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def visited_tiles(spark: SparkSession, sf: str) -> DataFrame:
+    """Half of the rows fill a dense block of 40 x 40 tiles, the others lie thinly in a wider one."""
     o, p, s, n = (F.col(c) for c in ("l_orderkey", "l_partkey", "l_suppkey", "l_linenumber"))
-    rows = table(spark, sf, "lineitem").filter((p + o) % 2 == 0)
-    return rows.select(F.floor(o / 1500).alias("athlete_id"), (8400 + (p * 7 + n * 13) % 40).cast("int").alias("x"),
-                       (5400 + (s * 3 + F.floor(o / 10)) % 40).cast("int").alias("y")).distinct()
+    a, b, dense = p * 7 + n * 13, s * 3 + F.floor(o / 10), (p + o) % 2 == 0
+    return table(spark, sf, "lineitem").select(
+        F.floor(o / 1500).alias("athlete_id"), F.when(dense, 8400 + a % 40).otherwise(8500 + a % 80).cast("int").alias("x"),
+        F.when(dense, 5400 + b % 40).otherwise(5500 + b % 80).cast("int").alias("y")).distinct()
 
 
 def points(spark: SparkSession, sf: str, with_time: bool = False) -> DataFrame:
@@ -136,9 +138,8 @@ fx_activities AS (
   FROM fx_own WHERE activity_id % 10 = 0)"""
 
 TILES_SQL = """fx_visited_tiles AS (
-  SELECT DISTINCT l_orderkey // 1500 AS athlete_id, (8400 + (l_partkey * 7 + l_linenumber * 13) % 40)::INTEGER AS x,
-    (5400 + (l_suppkey * 3 + l_orderkey // 10) % 40)::INTEGER AS y
-  FROM lineitem WHERE (l_partkey + l_orderkey) % 2 = 0)"""
+  SELECT DISTINCT athlete_id, CASE WHEN dense THEN 8400 + a % 40 ELSE 8500 + a % 80 END::INTEGER AS x, CASE WHEN dense THEN 5400 + b % 40 ELSE 5500 + b % 80 END::INTEGER AS y
+  FROM (SELECT l_orderkey // 1500 AS athlete_id, l_partkey * 7 + l_linenumber * 13 AS a, l_suppkey * 3 + l_orderkey // 10 AS b, (l_partkey + l_orderkey) % 2 = 0 AS dense FROM lineitem))"""
 
 POINTS_SQL = """fx_events AS (
   SELECT event_id, ts, user_id AS athlete_id, user_id * 10 + (day(ts) - 1) // 6 AS activity_id FROM events),

@@ -153,7 +153,7 @@ SINGLE_SQL = {
     "taylor": "count(*) FILTER (is_zwift) // 100",
 }
 BADGE_SQL = {b: f"SELECT athlete_id, '{b}' AS badge, {e} AS n FROM fx_activities GROUP BY 1" for b, e in SINGLE_SQL.items()}
-COUNTRIES_SQL = "fx_countries AS (SELECT athlete_id, activity_id, 'K' || (activity_id * 31 % 60) AS country FROM fx_activities WHERE athlete_id % 3 = 0 OR activity_id % 2 = 0)"
+COUNTRIES_SQL = "fx_countries AS (SELECT athlete_id, activity_id, 'K' || CASE WHEN athlete_id % 3 = 0 OR activity_id % 2 = 0 THEN activity_id * 31 % 60 ELSE 0 END AS country FROM fx_activities)"
 BADGE_SQL |= {
     "globetrotter": "SELECT athlete_id, 'globetrotter' AS badge, CASE WHEN count(DISTINCT country) >= 50 THEN 1 ELSE 0 END AS n FROM fx_countries GROUP BY 1",
     "everester": """SELECT c.athlete_id, 'everester' AS badge, sum(picked)::BIGINT AS n FROM everest_walk c GROUP BY 1""",
@@ -191,8 +191,8 @@ BADGE_CTES = (A, COUNTRIES_SQL, DAYS_SQL, EVEREST_SQL)
 
 def countries(spark, sf):
     k = F.col("activity_id")
-    return (fx.activities(spark, sf).filter((F.col("athlete_id") % 3 == 0) | (k % 2 == 0))
-            .select("athlete_id", "activity_id", F.concat(F.lit("K"), (k * 31 % 60).cast("string")).alias("country")))
+    far = (F.col("athlete_id") % 3 == 0) | (k % 2 == 0)
+    return fx.activities(spark, sf).select("athlete_id", "activity_id", F.concat(F.lit("K"), F.when(far, k * 31 % 60).otherwise(0).cast("string")).alias("country"))
 
 
 def badge(spark, sf, name):

@@ -115,12 +115,10 @@ def fn_folded_contains(spark, sf):
 
 
 @query("fn_slug", """
-SELECT doc_id, substring(CASE WHEN s = '' THEN 'challenge' ELSE s END, 1, 64) AS slug FROM (
-  SELECT doc_id, trim(regexp_replace(strip_accents(lower(t)), '[^a-z0-9]+', '-', 'g'), '-') AS s FROM (
-    SELECT doc_id, regexp_replace(text, '[^a-zA-Z0-9àâäçéèêëîïôöùûüñáíóúÀÉÖÜ .,!?-]', ' ', 'g') AS t FROM documents))""")
+SELECT doc_id, CASE WHEN s = '' THEN 'challenge' WHEN length(s) > 64 THEN substring(s, 1, 55) || '-' || substring(sha256(s), 1, 8) ELSE s END AS slug FROM (
+  SELECT doc_id, trim(regexp_replace(strip_accents(translate(replace(lower(text), 'œ', 'oe'), 'øđł', 'odl')), '[^a-z0-9]+', '-', 'g'), '-') AS s FROM documents)""")
 def fn_slug(spark, sf):
-    text = F.regexp_replace("text", "[^a-zA-Z0-9àâäçéèêëîïôöùûüñáíóúÀÉÖÜ .,!?-]", " ")
-    return fx.table(spark, sf, "documents").select("doc_id", fa.slug(text).alias("slug"))
+    return fx.table(spark, sf, "documents").select("doc_id", fa.slug("text").alias("slug"))
 
 
 @query("fn_content_name", """

@@ -13,15 +13,15 @@ from workload.registry import query
 
 P, A, AR = fx.POINTS_SQL, fx.ACTIVITIES_SQL, fx.AREAS_SQL
 
-CHALLENGES_SQL = "challenges AS (SELECT * FROM (VALUES ('c0', 'k2'), ('c1', 'k1'), ('c2', 'k5')) t(challenge_id, key))"
+CHALLENGES_SQL = "challenges AS (SELECT * FROM (VALUES ('c0', 'k2'), ('c1', 'k1'), ('c2', 'k5'), ('c3', 'k5'), ('c4', 'k5')) t(challenge_id, key))"
 RESULTS_SQL = "results AS (SELECT activity_id, 'c' || activity_id % 4 AS challenge_id, 'k' || activity_id % 3 AS key FROM fx_activities)"
 
 
 def challenges(spark, sf):
-    """Three live challenges with their keys, from the first regions."""
+    """One live challenge with its key for each region."""
     r = F.col("r_regionkey")
     key = F.when(r == 0, "k2").when(r == 1, "k1").otherwise("k5")
-    return fx.table(spark, sf, "region").filter(r < 3).select(F.concat(F.lit("c"), r.cast("string")).alias("challenge_id"), key.alias("key"))
+    return fx.table(spark, sf, "region").select(F.concat(F.lit("c"), r.cast("string")).alias("challenge_id"), key.alias("key"))
 
 
 def results(spark, sf):
@@ -76,7 +76,7 @@ def agg_challenge_done(spark, sf):
     share = shares(spark, sf).withColumn("challenge_id", F.lit("routes")).withColumn("route_id", F.col("route_id").cast("string"))
     visits = nearby.place_visits(fx.points(spark, sf), fx.places(spark, sf)).withColumn("item_id", F.col("item_id").cast("string"))
     r = F.col("r_regionkey")
-    both = fx.table(spark, sf, "region").filter(r < 2).select(F.when(r == 0, "routes").otherwise("places").alias("challenge_id"), (r == 0).alias("is_cover"), F.lit(0.5).alias("coverage"))
+    both = fx.table(spark, sf, "region").select(F.when(r == 0, "routes").when(r == 1, "places").otherwise(F.concat(F.lit("empty "), r.cast("string"))).alias("challenge_id"), (r == 0).alias("is_cover"), F.lit(0.5).alias("coverage"))
     items = (fx.table(spark, sf, "part").select(F.lit("routes").alias("challenge_id"), F.col("p_partkey").alias("item_id"))
              .unionByName(fx.table(spark, sf, "supplier").select(F.lit("places").alias("challenge_id"), F.col("s_suppkey").alias("item_id"))))
     return progress.challenge_done(share, items, visits, both)

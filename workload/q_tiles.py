@@ -124,7 +124,7 @@ def jn_neighbourhood(spark, sf):
 @query("win_nearest_unvisited", fx.oracle(f"""
 SELECT athlete_id, location_id, x::INTEGER AS x, y::INTEGER AS y, rank FROM (
   SELECT l.athlete_id, location_id, cx + dx AS x, cy + dy AS y, row_number() OVER (PARTITION BY l.athlete_id, location_id ORDER BY dx * dx + dy * dy, cx + dx, cy + dy)::INTEGER AS rank
-  FROM {LOC_TILES} l CROSS JOIN range(-6, 7) a(dx) CROSS JOIN range(-6, 7) b(dy) WHERE (dx <> 0 OR dy <> 0)
+  FROM {LOC_TILES} l CROSS JOIN range(-24, 25) a(dx) CROSS JOIN range(-24, 25) b(dy) WHERE (dx <> 0 OR dy <> 0)
     AND NOT EXISTS (SELECT 1 FROM fx_visited_tiles t WHERE t.athlete_id = l.athlete_id AND t.x = cx + dx AND t.y = cy + dy)) WHERE rank <= 4""", T, LOCATIONS_SQL))
 def win_nearest_unvisited(spark, sf):
     return tiles.nearest_unvisited(locations(spark, sf), fx.visited_tiles(spark, sf)).select("athlete_id", "location_id", "x", "y", "rank")
