@@ -148,7 +148,7 @@ SINGLE_SQL = {
     "hollander": "count(*) FILTER (sport = 'Cycling' AND distance_m >= 100000 AND ascent_m < 100)",
     "marathon": "count(*) FILTER (sport = 'Running' AND distance_m >= 42195e0 * 0.99e0)",
     "half-marathon": "count(*) FILTER (sport = 'Running' AND distance_m >= 42195e0 / 2 * 0.99e0)",
-    "nosleep": "count(*) FILTER (elapsed_s > 86400)",
+    "nosleep": "count(*) FILTER (CASE WHEN activity_id % 40 = 0 THEN elapsed_s * 30 ELSE elapsed_s END > 86400)",
     "pretzel": "count(*) FILTER (contains(strip_accents(lower(name)), 'uber pretzel') AND distance_m >= 128000 AND ascent_m >= 2300)",
     "taylor": "count(*) FILTER (is_zwift) // 100",
 }
@@ -195,8 +195,14 @@ def countries(spark, sf):
     return fx.activities(spark, sf).select("athlete_id", "activity_id", F.concat(F.lit("K"), F.when(far, k * 31 % 60).otherwise(0).cast("string")).alias("country"))
 
 
-def badge(spark, sf, name):
+def activities_with_long_days(spark, sf):
+    """Some activities last beyond a day."""
     acts = fx.activities(spark, sf)
+    return acts.withColumn("elapsed_s", F.when(F.col("activity_id") % 40 == 0, F.col("elapsed_s") * 30).otherwise(F.col("elapsed_s")))
+
+
+def badge(spark, sf, name):
+    acts = activities_with_long_days(spark, sf)
     if name in SINGLE_SQL:
         return badges.single(acts, [name])
     if name == "globetrotter":
@@ -221,4 +227,4 @@ for _badge, _sql in BADGE_SQL.items():
 
 @query("bdg_all", fx.oracle("SELECT * FROM (" + " UNION ALL ".join(BADGE_SQL.values()) + ") WHERE n > 0", *BADGE_CTES, recursive=True))
 def bdg_all(spark, sf):
-    return badges.all_badges(fx.activities(spark, sf), countries(spark, sf))
+    return badges.all_badges(activities_with_long_days(spark, sf), countries(spark, sf))

@@ -7,6 +7,7 @@ from wayfold.operators import areas, library, messages, nearby, progress, routes
 from wayfold.plans import review
 from wayfold.session import cut
 from workload import fixtures as fx
+from workload.q_activities import SAME, TIMED_SQL
 from workload.q_areas import INSIDE
 from workload.q_nearby import HIT_CTES, VISITS_SQL
 from workload.registry import query
@@ -267,9 +268,12 @@ def set_feed_new(spark, sf):
     return library.feed_new(acts, known, acts.filter(F.col("activity_id") % 5 == 0)).select("activity_id")
 
 
-@query("set_detail_queue")
+@query("set_detail_queue", fx.oracle("""
+SELECT athlete_id, activity_id, row_number() OVER (PARTITION BY athlete_id ORDER BY start_ts DESC NULLS LAST, activity_id) AS pos
+FROM fx_activities f WHERE source = 'feed' AND quality > 0 AND (quality = 1 OR activity_id % 4 = 0 OR activity_id % 6 = 0)
+  AND NOT EXISTS (SELECT 1 FROM copied c WHERE c.activity_id = f.activity_id)""", fx.ACTIVITIES_SQL, TIMED_SQL, f"""
+copied AS (SELECT DISTINCT a.activity_id FROM timed a JOIN timed b ON a.athlete_id = b.athlete_id AND {SAME} WHERE a.activity_id < 1000000000 AND b.activity_id >= 1000000000)"""))
 def set_detail_queue(spark, sf):
-    """Checked row by row in the tests; the same-workout half has its own oracle."""
     acts = fx.activities(spark, sf)
     k = F.col("activity_id")
     feed = acts.filter("source = 'feed'").withColumn("exported_file", F.when(k % 4 != 0, F.format_string("a-%d.fit", k)))
