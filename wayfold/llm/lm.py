@@ -329,7 +329,8 @@ def score(docs: DataFrame, teach: Column | None = None, order: int = 3, weight:
         asks = asks.select("block", "shard", "body")
         if model:
             asks = asks.unionByName(given.filter(f"kind = 'level{level}'").select("block", "shard", "body"))
-        return put(asks.groupBy("shard").applyInArrow(serve, SCHEMA))
+        served = asks.groupBy("shard").applyInArrow(serve, SCHEMA)
+        return put(served if save or level == 1 else served.filter("kind <> 'model'"))  # tries are kept only to be saved
 
     texts = put(_tokenised(rows, shards), "kind")
     words = answered(texts.filter("kind = 'ask'"), 1, _serve_words(shards))
