@@ -273,11 +273,11 @@ class _Slice:
         return self
 
 
-def _asking(level: int, shards: int, hot: int, facts):
+def _asking(level: int, shards: int, hot: int, facts, turn: int, turns: int):
     def run(batches):
         for batch in batches:
             for row in batch.to_pylist():
-                yield _rows([("ask", row["block"], s, body) for s, body in _Slice(row["body"], *facts).climb(row["answers"], level - 1, shards, hot).question(shards, hot)])
+                yield _rows([("ask", row["block"], s, body) for s, body in _Slice(row["body"], *facts).climb(row["answers"], level - 1, shards, hot).question(shards, hot) if s % turns == turn])
 
     return run
 
@@ -325,10 +325,10 @@ def score(docs: DataFrame, teach: Column | None = None, order: int = 3, weight:
         about = rows.agg(F.sum(F.octet_length("text").cast("double")).alias("b"), F.sum(F.col("train").cast("bigint")).alias("t")).head()
         shards, train_docs = max(1, math.ceil((about["b"] or 0) / SHARD)), about["t"] or 0
 
-    def answered(asks, level, serve):
+    def answered(asks, level, serve, turn=0, turns=1):
         asks = asks.select("block", "shard", "body")
         if model:
-            asks = asks.unionByName(given.filter(f"kind = 'level{level}'").select("block", "shard", "body"))
+            asks = asks.unionByName(given.filter(f"kind = 'level{level}' and shard % {turns} = {turn}").select("block", "shard", "body"))
         served = asks.groupBy("shard").applyInArrow(serve, SCHEMA)
         return put(served if save or level == 1 else served.filter("kind <> 'model'"))  # tries are kept only to be saved
 
@@ -341,13 +341,16 @@ def score(docs: DataFrame, teach: Column | None = None, order: int = 3, weight:
     drop(texts)
     if not save:
         drop(words)
-    levels, answers = [words], []
+    levels, answers = [(1, words)], []
     for level in range(2, order + 1):
-        asks = _joined(states, answers).mapInArrow(_asking(level, shards, hot, facts), SCHEMA)
-        answers.append(answered(asks, level, _serve(level, weight)))
-        levels.append(answers[-1])
+        # Longer n-grams are asked about in turns of shards, so fewer of them are on disk at once.
+        below, turns = list(answers), level - 1
+        for turn in range(turns):
+            asks = _joined(states, below).mapInArrow(_asking(level, shards, hot, facts, turn, turns), SCHEMA)
+            answers.append(answered(asks, level, _serve(level, weight), turn, turns))
+            levels.append((level, answers[-1]))
     if save:
-        for level, part in enumerate(levels, 1):
+        for level, part in levels:
             part.filter("kind = 'model'").withColumn("kind", F.lit(f"level{level}")).write.mode("append").parquet(save)
         spark.createDataFrame([("facts", 0, 0, [str(v).encode() for v in (shards, train_docs, order, weight)])], SCHEMA).write.mode("append").parquet(save)
     done = _joined(states, answers).mapInArrow(_finish(order, shards, hot, facts), "doc_id bigint, train boolean, n_tokens bigint, n_known bigint, base_score double, score double")
