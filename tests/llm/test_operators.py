@@ -239,6 +239,24 @@ def test_buckets_are_optimal(spark, messy, none):
     assert packing.pack(none).collect() == []
 
 
+def test_one_long_text_leaves_the_buckets_optimal(spark):
+    rng = np.random.default_rng(9)
+    for n in (1, 2, 3, 50, 300):
+        lengths, counts = np.sort(rng.choice(5000, n, replace=False)), rng.integers(1, 40, n)
+        plain = [0] + [math.inf] * n  # the programme over every pair of bounds
+        for _ in range(min(8, n)):
+            plain = [0] + [min([plain[j]] + [plain[i] + int(counts[i:j].sum()) * int(lengths[j - 1]) for i in range(j)]) for j in range(1, n + 1)]
+        ends = packing.borders(lengths, counts, 8)
+        assert ends[-1] == lengths[-1] and sum(int(c) * min(e for e in ends if e >= x) for x, c in zip(lengths, counts)) == plain[-1]
+    sizes = [int(x) for x in rng.integers(1, 400, 500)]
+    docs = spark.createDataFrame([(i, "w " * n) for i, n in enumerate(sizes + [1_000_000])], "doc_id long, text string")
+    kinds = sorted(Counter(sizes).items())
+    plain = [0] + [math.inf] * len(kinds)
+    for _ in range(7):  # the long text has a bucket of its own
+        plain = [0] + [min([plain[j]] + [plain[i] + sum(c for _, c in kinds[i:j]) * kinds[j - 1][0] for i in range(j)]) for j in range(1, len(kinds) + 1)]
+    assert packing.pack(docs).agg(F.sum("padded")).head()[0] == plain[-1] + 1_000_000
+
+
 def test_varint_round_trip():
     rng = np.random.default_rng(6)
     values = (2.0 ** rng.uniform(0, 31.9, 5000)).astype(np.uint32)
