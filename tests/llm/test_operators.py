@@ -174,6 +174,37 @@ def test_alignment_needs_order():
     assert not neardup.similar(a, a[:200], 5, 0.8)
 
 
+def test_repeated_passages_align(spark):
+    rng = np.random.default_rng(11)
+    repeated = lambda same, own, n: [w for i in range(n) for w in [*(f"r{j}" for j in range(same)), *(f"u{same}x{i}x{j}" for j in range(own))]]
+    codes = lambda words: np.array([zlib.crc32(w.encode()) for w in words], np.uint64)
+    rows = []
+    for k, (same, own, n) in enumerate([(15, 15, 12), (30, 30, 10), (60, 60, 8)]):
+        a = repeated(same, own, n)
+        b = a[same:]  # the first of the equal passages is missing
+        assert neardup.similar(codes(a), codes(b), 5, 0.8) and neardup.similar(codes(b), codes(a), 5, 0.8)
+        assert not neardup.similar(codes(a), codes(a[len(a) // 2:] + a[:len(a) // 2]), 5, 0.8)
+        rows += [(10 * k + 1, " ".join(a)), (10 * k + 2, " ".join(b)), (10 * k + 3, " ".join(a[:same + own] + a[:same] + a[same + own:]))]
+    got = {r["doc_id"]: r["class_id"] for r in neardup.classes(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == brute_classes(rows) == {d: d // 10 * 10 + 1 for d, _ in rows}
+
+    def plain(a, b, width, band):
+        step = min(width, len(a), len(b))
+        pairs = {(p + k, q + k) for p in range(len(a) - step + 1) for q in range(len(b) - step + 1) if a[p:p + step] == b[q:q + step] and (len(a) >= width <= len(b) or len(a) == len(b)) for k in range(step)}
+        best = [[0] * (len(b) + 1) for _ in range(len(a) + 1)]
+        for p in range(len(a)):
+            for q in range(len(b)):
+                best[p + 1][q + 1] = max(best[p][q + 1], best[p + 1][q], best[p][q] + 1 if (p, q) in pairs and abs(p - q) <= band else 0)
+        return best[-1][-1]
+    for _ in range(400):
+        a = rng.integers(1, rng.integers(2, 6), rng.integers(1, 40)).tolist()
+        b = [x for x in a if rng.random() > 0.1] if rng.random() < 0.7 else rng.integers(1, 4, rng.integers(1, 40)).tolist()
+        b[rng.integers(0, len(b) + 1):0] = a[:rng.integers(0, 9)]
+        width, band = int(rng.integers(2, 6)), int(rng.integers(0, 30))
+        if b:
+            assert neardup.aligned(np.array(a, np.uint64), np.array(b, np.uint64), width, band) == plain(a, b, width, band)
+
+
 def test_language_words_then_grams(spark, messy, none):
     en, de = "the house and the garden with water".split(), "das haus und der garten mit wasser".split()
     docs = [(i, " ".join(en[(i + j * j) % 7] for j in range(12)), "en") for i in range(40)] + [(100 + i, " ".join(de[(i + j * j) % 7] for j in range(12)), "de") for i in range(40)]

@@ -4,7 +4,8 @@ A text's five-word shingles are labelled with their occurrence (first, second, .
 text). A sketch takes the labelled shingles with the smallest hash values and keeps the order in
 which they stand in the text, so it agrees for texts with a small edit distance and not for texts
 that only share a set of shingles. Texts with an equal sketch are candidates; a candidate pair is
-verified by aligning the shared shingles in a band around the diagonal.
+verified by aligning the words of the shared shingles in a band around the diagonal. The labels
+serve sketches and counts only: in the alignment any occurrence may stand for any other.
 
 Equal texts count once. In each bucket all texts are compared with the most central one first;
 what these links leave in different groups is compared inside the bucket's tasks, which return the
@@ -16,6 +17,7 @@ from __future__ import annotations
 
 import hashlib
 from bisect import bisect_left
+from functools import lru_cache
 
 import numpy as np
 import pandas as pd
@@ -44,8 +46,8 @@ def mixed(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> np.uint64(29))
 
 
-def shingles(words: np.ndarray, sizes: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes of all shingles of all texts, labelled with their occurrence in the text, and their
+def shingles(words: np.ndarray, sizes: np.ndarray, width: int, labelled: bool = True) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of all shingles of all texts, ``labelled`` with their occurrence in the text, and their
     number per text. A text with fewer words than ``width`` is one shingle; one without has none."""
     counts = np.where(sizes >= width, sizes - width + 1, (sizes > 0).astype(np.int64))
     begin = np.cumsum(sizes) - sizes
@@ -55,6 +57,8 @@ def shingles(words: np.ndarray, sizes: np.ndarray, width: int) -> tuple[np.ndarr
     padded = np.concatenate((words, np.zeros(1, np.uint64)))
     for j in range(width):
         h = mixed(h * MIX + padded[np.where(at + j < ends, at + j, len(words))])
+    if not labelled:
+        return h, counts
     text = np.repeat(np.arange(len(sizes)), counts)
     order = np.lexsort((h, text))
     same = np.concatenate(([False], (h[order][1:] == h[order][:-1]) & (text[order][1:] == text[order][:-1]))) if len(h) else np.empty(0, bool)
@@ -99,24 +103,86 @@ def word_hashes(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
 
 def similar(a: np.ndarray, b: np.ndarray, width: int, least: float) -> bool:
     """Whether two texts (hashes of their words) are near copies: of all labelled shingles a share
-    of ``least`` is common, and an alignment in a band covers that share of the longer text."""
-    if min(len(a), len(b)) < least * max(len(a), len(b)) - width:
+    of ``least`` is common, and an alignment of their words covers that share of the longer text."""
+    longer = max(len(a), len(b))
+    if min(len(a), len(b)) < least * longer - width:
         return False
     ha, _ = shingles(a, np.array([len(a)]), width)
     hb, _ = shingles(b, np.array([len(b)]), width)
     common, ia, ib = np.intersect1d(ha, hb, assume_unique=True, return_indices=True)
     if len(common) < least * (len(ha) + len(hb) - len(common)):
         return False
-    longer = max(len(a), len(b))
+    # An alignment that covers enough strays no further from the diagonal.
+    band = int((1 - least) * longer + width)
     order = np.argsort(ia)
     ia, ib = ia[order], ib[order]
-    near = np.abs(ia - ib) <= (1 - least) * longer + width
+    near = np.abs(ia - ib) <= band
     ia, ib = ia[near], ib[near]
     if len(ib) > 1 and (np.diff(ib) <= 0).any():
-        ia = ia[ascending(ib)]
+        chain = ascending(ib)
+        ia, ib = ia[chain], ib[chain]
+    # A chain of shingles with equal labels is one alignment; only where it falls short is the best one needed.
     step = min(width, len(a))
-    covered = int(np.minimum(np.diff(ia, append=ia[-1] + step), step).sum()) if len(ia) else 0
-    return covered >= least * longer
+    if len(ia) and int(np.minimum(np.minimum(np.diff(ia), np.diff(ib)), step).sum()) + step >= least * longer:
+        return True
+    return aligned(a, b, width, band, least * longer) >= least * longer
+
+
+def aligned(a: np.ndarray, b: np.ndarray, width: int, band: int, enough: float = 0) -> int:
+    """Words in the longest alignment of two texts: pairs of equal words, ascending in both texts, at
+    most ``band`` places apart, each pair inside a shingle that both texts have there. Below
+    ``enough`` it may be an upper bound.
+
+    The dynamic programme keeps a row as the bits of one whole number: a bit is 0 where the
+    alignment grows by a word of ``b``."""
+    ha, _ = shingles(a, np.array([len(a)]), width, False)
+    hb, _ = shingles(b, np.array([len(b)]), width, False)
+    if not len(ha) or not len(hb):
+        return 0
+    step, big = min(width, len(a), len(b)), len(a) + len(b)
+    _, code = np.unique(np.concatenate((ha, hb)), return_inverse=True)
+    ca, place = code[:len(ha)], np.arange(len(ha))
+    keys = np.sort(code[len(ha):] * big + np.arange(len(hb)))  # places in b, shingle by shingle
+    first = np.searchsorted(keys, ca * big + np.maximum(place - band, 0))
+    there = np.append(keys, np.iinfo(np.int64).max)[first] <= ca * big + np.minimum(place + band, big - 1)
+    begin, end = np.searchsorted(keys, ca * big), np.searchsorted(keys, (ca + 1) * big)
+    reach = np.unique(np.add.outer(place[there], np.arange(step)))
+    if len(reach) < enough:
+        return len(reach)
+
+    @lru_cache(256)
+    def bits(lo, hi):
+        at = np.zeros(len(b), np.uint8)
+        at[keys[lo:hi] % big] = 1
+        return int.from_bytes(np.packbits(at, bitorder="little").tobytes(), "little")
+
+    def same(x, y):  # words that two texts begin with alike, if they are a shingle or more
+        n = min(len(x), len(y))
+        differ = np.flatnonzero(x[:n] != y[:n])
+        n = int(differ[0]) if len(differ) else n
+        return n if n >= width else 0
+
+    # A common beginning and end belong to some longest alignment.
+    head = same(a, b)
+    tail = same(a[head:][::-1], b[head:][::-1]) if abs(len(a) - len(b)) <= band else 0
+    full = (1 << (len(b) - tail - head)) - 1
+    window = (1 << (2 * band + 1)) - 1
+    row, recent = full, []
+    for p in range(max(0, head - step + 1), len(a) - tail):
+        found = 0
+        if p < len(ha) and there[p]:
+            lo, hi = int(begin[p]), int(end[p])
+            found = 1 << int(keys[lo] % big) if hi - lo == 1 else bits(lo, hi)
+        recent = [found, *recent[:step - 1]]
+        if p < head or not any(recent):
+            continue
+        match = 0
+        for k, x in enumerate(recent):
+            match |= x << k
+        match = ((match & (window << (p - band) if p >= band else window >> (band - p))) >> head) & full
+        grown = row & match
+        row = ((row + grown) | (row ^ grown)) & full
+    return head + tail + (len(b) - tail - head) - row.bit_count()
 
 
 def ascending(values: np.ndarray) -> np.ndarray:
