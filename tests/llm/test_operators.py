@@ -105,6 +105,17 @@ def test_mix_meets_targets(spark, messy, none):
     assert mixing.mix(none.drop("tokens"), entropy_share=0.9, max_repeats=2.0).collect() == []
 
 
+def test_even_sources_lose_nothing(spark):
+    import corpus_pipeline
+    left = lambda sizes: Counter(r["source"] for r in corpus_pipeline.mixture_stage(
+        spark, spark.createDataFrame([(100 * s + i, f"s{s}", "w " * 10) for s, n in enumerate(sizes) for i in range(n)], "doc_id long, source string, text string"), "").collect())
+    assert left([40] * 4) == {f"s{s}": 40 for s in range(4)}
+    some = left([72, 30, 24, 24])  # a little too uneven: a little is given up
+    assert 0.9 * 150 <= sum(some.values()) < 150 and some["s0"] < 72 and some["s3"] == 24
+    much = left([97, 3])
+    assert 90 <= sum(much.values()) <= 92
+
+
 def test_quality_learns_and_scores_all(spark, messy, none):
     good = [(i, sentence(i, 60)) for i in range(200)]
     bad = [(1000 + i, " ".join(w.upper() + "!!" for w in sentence(i, 60).split())) for i in range(200)]

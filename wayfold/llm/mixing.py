@@ -49,14 +49,18 @@ def bracket(shares: DataFrame, holds) -> tuple[float, float]:
     return lo, hi
 
 
-def weights(docs: DataFrame, source: str, tokens: str, budget_share: float = 1.0, entropy_share: float | None = None, max_repeats: float | None = None) -> DataFrame:
+def weights(docs: DataFrame, source: str, tokens: str, budget_share: float = 1.0, entropy_share: float | None = None, max_repeats: float | None = None,
+            widen: bool = False) -> DataFrame:
     """One row per source: _s (its key), rows, have (tokens), exponent, weight and quota (tokens to give).
 
     The budget is ``budget_share`` of all tokens. The exponent is the largest in [0, 1] whose
     weights keep ``entropy_share`` of the largest possible entropy; it is raised as far as needed
     for no source to be repeated more than ``max_repeats`` times, and quotas end there even where
     the natural shares already ask for more. Without either target it is 1. Sources without tokens
-    get weight 0."""
+    get weight 0.
+
+    With both targets and ``widen`` the budget grows to the largest share, all tokens at most, at
+    which they are met together. Sources whose own shares meet the entropy then give all they have."""
     stats = cut(docs.groupBy(F.col(source).alias("_s")).agg(F.count("*").alias("rows"), F.sum(tokens).alias("have")))
     total = stats.agg(F.sum("have").alias("t"), F.sum((F.col("have") > 0).cast("int")).alias("n")).head()
     all_tokens, kinds = total["t"] or 0, total["n"] or 0
@@ -65,6 +69,11 @@ def weights(docs: DataFrame, source: str, tokens: str, budget_share: float = 1.0
     if kinds and entropy_share is not None:
         target = entropy_share * math.log(kinds)
         exponent = bracket(shares, lambda: F.log("z") - F.col("a") * F.col("s") / F.col("z") >= target - 1e-12)[0]
+        if widen and max_repeats is not None:
+            # The source that is read most often, relative to its size, bounds the budget.
+            p = F.col("p")
+            top = shares.agg((F.sum(F.pow(p, F.lit(exponent))) * max_repeats / F.max(F.pow(p, F.lit(exponent - 1)))).alias("b")).head()["b"] if exponent < 1 else max_repeats
+            budget_share = max(budget_share, min(1.0, top))
     if kinds and max_repeats is not None:
         limit = max_repeats / budget_share
         low = bracket(shares, lambda: F.exp("m") / F.col("z") > limit * (1 + 1e-12))[1]
@@ -72,13 +81,15 @@ def weights(docs: DataFrame, source: str, tokens: str, budget_share: float = 1.0
     power = F.when(F.col("have") > 0, F.pow(F.col("have") / F.lit(float(all_tokens or 1)), F.lit(exponent))).otherwise(0.0)
     mass = stats.agg(F.sum(power).alias("z")).head()["z"] or 1.0
     quota = F.floor(power / mass * all_tokens * budget_share + 1e-6)
+    if widen and exponent == budget_share == 1:
+        quota = F.col("have")
     if max_repeats is not None:
         quota = F.least(quota, F.floor(F.col("have") * F.lit(max_repeats)))
     return stats.select("_s", "rows", "have", F.lit(exponent).alias("exponent"), (power / mass).alias("weight"), quota.cast("bigint").alias("quota"))
 
 
 def mix(docs: DataFrame, source: str = "source", doc_id: str = "doc_id", text: str = "text", budget_share: float = 1.0, entropy_share: float | None = None, max_repeats: float | None = None,
-        seed: int = 1) -> DataFrame:
+        seed: int = 1, widen: bool = False) -> DataFrame:
     """The rows of ``docs`` as often as the mixture reads them, with epoch, block, tokens, exponent
     and weight.
 
@@ -90,7 +101,7 @@ def mix(docs: DataFrame, source: str = "source", doc_id: str = "doc_id", text: s
     key = F.when(F.col(source).isNull(), F.lit("0")).otherwise(F.concat(F.lit("1"), F.col(source).cast("string")))
     name = F.coalesce(F.col(doc_id).cast("string"), F.lit(""))
     rows = docs.select("*", key.alias("_mix_s"), words(F.col(text)).alias("tokens"), F.md5(name.cast("binary")).alias("_mix_id"))
-    given = cut(weights(rows, "_mix_s", "tokens", budget_share, entropy_share, max_repeats).withColumnRenamed("_s", "_mix_s"))
+    given = cut(weights(rows, "_mix_s", "tokens", budget_share, entropy_share, max_repeats, widen).withColumnRenamed("_s", "_mix_s"))
     digits = F.lit(0)
     for d in range(1, BLOCK_DIGITS + 1):
         digits = digits + (F.col("rows") > BLOCK_DOCS * 16 ** (d - 1)).cast("int")
