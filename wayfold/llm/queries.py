@@ -7,8 +7,9 @@ import uuid
 
 from pyspark.sql import functions as F
 
-from wayfold.llm import hilbert, langid, lm, mixing, neardup, packing, quality, tokens, topk, vectors
+from wayfold.llm import hilbert, langid, lm, mixing, neardup, packing, prefixes, quality, tokens, topk, vectors
 from wayfold.llm.arrays import remainder
+from wayfold.llm.storage import put
 from wayfold.session import checkpoint_dir, prepare
 
 TOKENIZER = "word_bpe_49k.json"
@@ -74,6 +75,15 @@ def op10_vector_dups(spark, sf_dir):
     return vectors.near(_table(spark, sf_dir, "embeddings"))
 
 
+def op11_prefix_trie(spark, sf_dir):
+    turns = put(prefixes.numbered(_table(spark, sf_dir, "conversations")))
+    rows, ids = prefixes.rebuilt(turns, F.crc32(F.col("conv_id").cast("string").cast("binary")) % 9)
+    found = prefixes.tries(put(rows), ids)
+    nothing = F.sha2(F.lit("").cast("binary"), 256)
+    return found.nodes.join(prefixes.end_digests(found.ends), ["k1", "k2"], "left").select(
+        "conv_id", "depth", "parent_conv_id", "n_convs", "n_children", "n_leaves", "saved_tokens", F.coalesce("ends_sha256", nothing).alias("ends_sha256"))
+
+
 def all_queries():
     return {name: fn for name, fn in globals().items() if name.startswith("op") and callable(fn)}
 
@@ -94,6 +104,24 @@ ORACLES = {
         reach AS (SELECT vec_id AS a, vec_id AS b FROM embeddings UNION SELECT reach.a, l.b FROM reach JOIN l ON reach.b = l.a),
         c AS (SELECT a AS vec_id, min(b) AS component_id FROM reach GROUP BY a)
         SELECT c.vec_id, (SELECT count(*) FROM l WHERE l.a = c.vec_id) AS n_links, component_id, c.vec_id = component_id AS kept FROM c""",
+    # crc32 bit by bit: each byte of the decimal id, then eight shifts.
+    "op11_prefix_trie": """
+        WITH t AS (SELECT conv_id, coalesce(role, '') AS role, coalesce(text, '') AS text,
+                     row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, md5(concat(strlen(coalesce(role, '')), ':', coalesce(role, ''), coalesce(text, '')))) AS pos FROM conversations WHERE conv_id IS NOT NULL),
+        i AS (SELECT DISTINCT conv_id FROM t),
+        c AS (SELECT conv_id, conv_id - conv_id % 5 AS base, xor(list_reduce(list_prepend(CAST(4294967295 AS BIGINT), list_transform(string_split(CAST(conv_id AS VARCHAR), ''), lambda s: CAST(ascii(s) AS BIGINT))),
+                lambda a, b: list_reduce(list_prepend(xor(a, b), CAST([0, 0, 0, 0, 0, 0, 0, 0] AS BIGINT[])), lambda x, y: CASE WHEN x % 2 = 1 THEN xor(x // 2, CAST(3988292384 AS BIGINT)) ELSE x // 2 END)), CAST(4294967295 AS BIGINT)) % 9 AS h FROM i),
+        o AS (SELECT c.conv_id, 0 AS part, t.pos, role, text FROM c JOIN t ON t.conv_id = c.base AND t.pos <= h UNION ALL
+              SELECT c.conv_id, 1, t.pos, role, text FROM c JOIN t ON t.conv_id = c.conv_id AND t.pos > h),
+        r AS (SELECT conv_id, row_number() OVER w AS depth, strlen(text) AS bytes, count(*) OVER (PARTITION BY conv_id) AS n, string_agg(md5(concat(strlen(role), ':', role, text)), '') OVER w AS path FROM o WINDOW w AS (PARTITION BY conv_id ORDER BY part, pos)),
+        m AS (SELECT conv_id, depth, bytes, n, path, CASE WHEN depth > 1 THEN left(path, 32 * (CAST(depth AS INTEGER) - 1)) ELSE '' END AS up FROM r
+              UNION ALL SELECT i.conv_id, 0, 0, coalesce(k, 0), '', NULL FROM i LEFT JOIN (SELECT conv_id, count(*) AS k FROM r GROUP BY conv_id) USING (conv_id)),
+        nodes AS (SELECT path, any_value(up) AS up, any_value(depth) AS depth, min(conv_id) AS conv_id, count(*) AS n_convs, any_value(bytes) AS bytes, sha256(coalesce(string_agg(CAST(conv_id AS VARCHAR), ',' ORDER BY conv_id) FILTER (n = depth), '')) AS ends_sha256 FROM m GROUP BY path),
+        kids AS (SELECT up, count(*) AS k FROM nodes WHERE up IS NOT NULL GROUP BY up),
+        every AS (SELECT nodes.*, coalesce(k, 0) AS n_children, (n_convs - 1) * bytes AS own FROM nodes LEFT JOIN kids ON kids.up = nodes.path),
+        below AS (SELECT left(path, 32 * CAST(d AS INTEGER)) AS top, count(*) FILTER (n_children = 0) AS n_leaves, sum(own) AS saved FROM every, generate_series(0, depth) AS g(d) GROUP BY 1)
+        SELECT f.conv_id, CAST(f.depth AS BIGINT) AS depth, p.conv_id AS parent_conv_id, f.n_convs, f.n_children, b.n_leaves, CAST(b.saved AS BIGINT) AS saved_tokens, f.ends_sha256
+        FROM every f JOIN below b ON b.top = f.path LEFT JOIN nodes p ON p.path = f.up""",
 }
 
 
