@@ -7,12 +7,12 @@ import uuid
 
 from pyspark.sql import functions as F
 
-from wayfold.llm import hilbert, langid, lm, mixing, neardup, packing, prefixes, quality, tokens, topk, vectors
+from wayfold.llm import bestfit, hilbert, langid, lm, mixing, neardup, packing, prefixes, quality, tokens, topk, vectors, whitening
 from wayfold.llm.arrays import remainder
 from wayfold.llm.storage import put
 from wayfold.session import checkpoint_dir, prepare
 
-TOKENIZER = "word_bpe_49k.json"
+TOKENIZER, PACKING_TOKENIZER = "word_bpe_49k.json", "byte_bpe_50k.json"
 
 
 def _table(spark, sf_dir, name):
@@ -24,6 +24,11 @@ def tokenizer_file() -> str:
     return public_tokenizers.path(TOKENIZER)
 
 
+def packing_tokenizer() -> str:
+    import public_tokenizers
+    return public_tokenizers.path(PACKING_TOKENIZER)
+
+
 def op1_lm_score(spark, sf_dir):
     docs = _table(spark, sf_dir, "documents")
     out = lm.score(docs, remainder(F.col("doc_id"), 7) != 2)
@@ -84,6 +89,14 @@ def op11_prefix_trie(spark, sf_dir):
         "conv_id", "depth", "parent_conv_id", "n_convs", "n_children", "n_leaves", "saved_tokens", F.coalesce("ends_sha256", nothing).alias("ends_sha256"))
 
 
+def op12_whitening(spark, sf_dir):
+    return whitening.whiten(_table(spark, sf_dir, "embeddings"))
+
+
+def op13_best_fit(spark, sf_dir):
+    return bestfit.pack(_table(spark, sf_dir, "documents"), packing_tokenizer())
+
+
 def all_queries():
     return {name: fn for name, fn in globals().items() if name.startswith("op") and callable(fn)}
 
