@@ -15,6 +15,7 @@ from wayfold.streaming import events as ev
 from workload import fixtures as fx
 from workload.q_activities import GROUPS_SQL, TIMED_SQL
 from workload.q_functions import FEED_CASE, TYPES, TYPE_SQL
+from workload.q_tiles import HISTORY_SQL
 from workload.registry import query
 
 P, A = fx.POINTS_SQL, fx.ACTIVITIES_SQL
@@ -301,14 +302,27 @@ def st_webhook_classify(spark, sf):
 def queued(spark, sf):
     path = scratch(spark)
     ev.write_queue(ev.classify(hook_stream(spark, sf), "sub"), path, f"{path}-ck").awaitTermination()
-    return spark.read.schema(EVENT_COLS + ", ts TIMESTAMP, day DATE").parquet(path)
+    return ev.read_queue(spark, path)
 
 
-@query("st_event_queue", "WITH " + WEBHOOK_SQL + " SELECT DISTINCT *, strftime(to_timestamp(time) AT TIME ZONE 'UTC', '%Y-%m-%d') AS day FROM hooks")
+@query("st_event_queue", "WITH " + WEBHOOK_SQL + " SELECT DISTINCT *, strftime(to_timestamp(time) AT TIME ZONE 'UTC', '%Y-%m-%d') AS day FROM hooks WHERE time > (SELECT max(time) FROM hooks) - 2592000")
 def st_event_queue(spark, sf):
     return queued(spark, sf).select("athlete_id", "type", "time", "activity_id", F.date_format("day", "yyyy-MM-dd").alias("day"))
 
 
+@query("st_event_expiry", "WITH " + WEBHOOK_SQL + """, late AS (SELECT DISTINCT athlete_id, type, 1704067200 + (time - 1704067200) * 4 AS time, activity_id FROM hooks)
+SELECT *, (SELECT count(DISTINCT time // 86400) FROM late WHERE time // 86400 >= (SELECT max(time) // 86400 - 30 FROM late)) AS days FROM late WHERE time > (SELECT max(time) FROM late) - 2592000""")
+def st_event_expiry(spark, sf):
+    """Events over four times the month, delivered in order of time: days older than 30 leave."""
+    path, time = scratch(spark), F.col("time")
+    late = ev.classify(webhook_lines(spark, sf), "sub").select("athlete_id", "type", (1704067200 + (time - 1704067200) * 4).alias("time"), "activity_id")
+    for i in range(4):  # files are taken in order of writing
+        late.filter(F.floor((time - 1704067200) / (31 * 86400)) == i if i < 3 else time >= 1704067200 + 3 * 31 * 86400).coalesce(4).write.mode("append").parquet(f"{path}-in/{i}")
+    for i in range(4):
+        ev.write_queue(spark.readStream.schema(EVENT_COLS).parquet(f"{path}-in/[0-{i}]"), path, f"{path}-ck").awaitTermination()
+    return ev.read_queue(spark, path).select("athlete_id", "type", "time", "activity_id").withColumn("days", F.lit(len(ev.stored_days(spark, path))).cast("bigint"))
+
+
 @query("st_events_since", "WITH " + WEBHOOK_SQL + " SELECT DISTINCT * FROM hooks WHERE time > 1704067200 + athlete_id * 10000")
 def st_events_since(spark, sf):
     log = queued(spark, sf)
@@ -318,8 +332,9 @@ def st_events_since(spark, sf):
 
 @query("st_event_changes", "WITH " + WEBHOOK_SQL + " SELECT DISTINCT athlete_id, activity_id, type FROM hooks WHERE type = 'deleted' UNION SELECT athlete_id, NULL, type FROM hooks WHERE type = 'deauthorized'")
 def st_event_changes(spark, sf):
-    revoked, removed = ev.changes(ev.classify(webhook_lines(spark, sf), "sub"))
-    return removed.withColumn("type", F.lit("deleted")).unionByName(revoked.select("athlete_id", F.lit(None).cast("bigint").alias("activity_id"), F.lit("deauthorized").alias("type")))
+    path = scratch(spark)
+    ev.change_stream(ev.classify(hook_stream(spark, sf), "sub"), path, f"{path}-ck").awaitTermination()
+    return ev.change_table(spark, path).read().select("athlete_id", "activity_id", "type")
 
 
 @query("st_tombstones", """
@@ -327,10 +342,10 @@ SELECT name, changed_at > 0 AS deleted FROM (SELECT 'f' || o_custkey AS name, (C
 QUALIFY row_number() OVER (PARTITION BY name ORDER BY abs(changed_at) DESC) = 1""")
 def st_tombstones(spark, sf):
     k, path = F.col("o_orderkey"), scratch(spark)
-    fx.table(spark, sf, "orders").select(F.concat(F.lit("f"), F.col("o_custkey").cast("string")).alias("name"), (F.when(k % 3 == 0, -1).otherwise(1) * (100000 + k * 7919 % 1000003)).alias("changed_at")).repartition(4).write.parquet(f"{path}/in")
+    fx.table(spark, sf, "orders").select(F.concat(F.lit("f"), F.col("o_custkey").cast("string")).alias("name"), (F.when(k % 3 == 0, -1).otherwise(1) * (100000 + k * 7919 % 1000003)).alias("changed_at")).repartition(6).write.parquet(f"{path}/in")
     log = spark.readStream.schema("name STRING, changed_at BIGINT").option("maxFilesPerTrigger", 2).parquet(f"{path}/in")
-    ev.tombstone_stream(log, f"{path}/out", f"{path}/ck").awaitTermination()
-    return ev.latest_version(spark, f"{path}/out").select("name", "deleted")
+    ev.tombstone_stream(log, f"{path}/ck").awaitTermination()
+    return ev.tombstones_now(spark, f"{path}/ck").select("name", "deleted")
 
 
 @query("st_names_log", """
@@ -338,46 +353,86 @@ SELECT o_custkey % 5 AS athlete_id, 'file-' || o_custkey AS file_name, max_by('n
 def st_names_log(spark, sf):
     path = scratch(spark)
     fx.table(spark, sf, "orders").select((F.col("o_custkey") % 5).alias("athlete_id"), F.format_string("file-%d", F.col("o_custkey")).alias("file_name"), F.concat(F.lit("n"), F.col("o_orderkey").cast("string")).alias("new_name"),
-                                         F.col("o_orderkey").alias("arrival")).repartition(4).write.parquet(f"{path}/in")
+                                         F.col("o_orderkey").alias("arrival")).repartition(6).write.parquet(f"{path}/in")
     log = spark.readStream.schema("athlete_id BIGINT, file_name STRING, new_name STRING, arrival BIGINT").option("maxFilesPerTrigger", 2).parquet(f"{path}/in")
-    ev.names_stream(log, f"{path}/out", f"{path}/ck").awaitTermination()
-    return ev.latest_version(spark, f"{path}/out").select("athlete_id", "file_name", "new_name")
+    ev.names_stream(log, f"{path}/ck").awaitTermination()
+    return ev.names_now(spark, f"{path}/ck").select("athlete_id", "file_name", "new_name")
 
 
-@query("st_import_files", "SELECT user_id, count(*) FILTER (event_id % 10 <> 0) AS good, count(*) FILTER (event_id % 10 = 0) AS bad FROM events GROUP BY 1")
-def st_import_files(spark, sf):
-    path, k = scratch(spark), F.col("event_id")
-    line = F.when(k % 10 == 0, F.concat(F.lit('{"user_id": '), F.col("user_id").cast("string"), F.lit(", broken"))).otherwise(F.to_json(F.struct("user_id", "event_id")))
-    fx.table(spark, sf, "events").select(line.alias("value")).repartition(3).write.text(f"{path}/in")
-    ev.import_stream(spark, f"{path}/in", "user_id BIGINT, event_id BIGINT", f"{path}/good", f"{path}/ck", f"{path}/bad").awaitTermination()
-    good = spark.read.schema("user_id BIGINT, event_id BIGINT").parquet(f"{path}/good").select("user_id", F.lit(1).alias("g"))
-    bad = spark.read.schema("value STRING").parquet(f"{path}/bad").select(F.regexp_extract("value", r"user_id\": (\d+)", 1).cast("bigint").alias("user_id"), F.lit(0).alias("g"))
-    return good.unionByName(bad).groupBy("user_id").agg(F.sum("g").alias("good"), F.sum(1 - F.col("g")).alias("bad"))
+def lay_files(spark, rows, folder, staging):
+    """Writes ``value`` lines to folder/<k>.txt; a file that is there already is replaced."""
+    rows.repartition("k").write.partitionBy("k").option("compression", "none").text(staging)
+    hadoop = spark._jvm.org.apache.hadoop.fs
+    fs = hadoop.Path(staging).getFileSystem(spark._jsc.hadoopConfiguration())
+    fs.mkdirs(hadoop.Path(folder))
+    for part in [s.getPath() for s in fs.listStatus(hadoop.Path(staging)) if s.getPath().getName().startswith("k=")]:
+        target = hadoop.Path(f"{folder}/{part.getName()[2:]}.txt")
+        fs.delete(target, False)
+        fs.rename([s.getPath() for s in fs.listStatus(part) if s.getPath().getName().startswith("part-")][0], target)
 
 
-@query("st_first_visits", fx.oracle("SELECT DISTINCT athlete_id, tile_key FROM fx_activity_tiles", P, fx.ACTIVITY_TILES_SQL))
+@query("st_import_files", """
+SELECT user_id, count(*) FILTER (good) AS good, count(*) FILTER (NOT good) AS bad, sum(CASE WHEN good THEN shown END)::BIGINT AS shown FROM (
+  SELECT user_id, event_id % 10 <> 0 AS good, event_id + CASE WHEN user_id % 8 IN (1, 3) THEN 1000000 ELSE 0 END AS shown FROM events WHERE user_id % 8 NOT IN (2, 4)) GROUP BY 1""")
+def st_import_files(spark, sf):
+    """Three runs over one folder: files 0 to 5; then 1 changed, 2 removed, 6 and 7 new; then 3 changed,
+    4 removed. What the table holds afterwards is what lies in the folder."""
+    path, k, user = scratch(spark), F.col("event_id"), F.col("user_id")
+
+    def lines(shift):
+        good = F.to_json(F.struct("user_id", (k + shift).alias("shown")))
+        line = F.when(k % 10 == 0, F.concat(F.lit('{"user_id": '), user.cast("string"), F.lit(", broken"))).otherwise(good)
+        return fx.table(spark, sf, "events").select((user % 8).alias("k"), line.alias("value"))
+
+    def run():
+        ev.import_stream(spark, f"{path}/in", "user_id BIGINT, shown BIGINT", f"{path}/out", f"{path}/ck", ".txt").awaitTermination()
+
+    hadoop = spark._jvm.org.apache.hadoop.fs
+    gone = lambda i: hadoop.Path(path).getFileSystem(spark._jsc.hadoopConfiguration()).delete(hadoop.Path(f"{path}/in/{i}.txt"), False)
+    lay_files(spark, lines(0).filter("k < 6"), f"{path}/in", f"{path}/s1")
+    run()
+    lay_files(spark, lines(1000000).filter("k = 1").unionByName(lines(0).filter("k > 5")), f"{path}/in", f"{path}/s2")
+    gone(2)
+    run()
+    lay_files(spark, lines(1000000).filter("k = 3"), f"{path}/in", f"{path}/s3")
+    gone(4)
+    run()
+    rows, bad = ev.imported(spark, f"{path}/out", "user_id BIGINT, shown BIGINT")
+    good = rows.select("user_id", F.lit(1).alias("g"), "shown")
+    bad = bad.select(F.regexp_extract("value", r"user_id\": (\d+)", 1).cast("bigint").alias("user_id"), F.lit(0).alias("g"), F.lit(None).cast("bigint").alias("shown"))
+    return good.unionByName(bad).groupBy("user_id").agg(F.sum("g").alias("good"), F.sum(1 - F.col("g")).alias("bad"), F.sum("shown").alias("shown"))
+
+
+@query("st_first_visits", fx.oracle("SELECT athlete_id, tile_key, activity_id, epoch_us(start_ts) AS first_us FROM fx_history", P, fx.ACTIVITY_TILES_SQL, fx.DENSE_HISTORY, HISTORY_SQL))
 def st_first_visits(spark, sf):
+    """Activities arrive in no order; later batches correct first visits of earlier ones."""
     path = scratch(spark)
-    tracks.tiles(fx.points(spark, sf)).repartition(4, "activity_id").write.parquet(path)
-    stream = spark.readStream.schema("athlete_id BIGINT, activity_id BIGINT, tile_key BIGINT").option("maxFilesPerTrigger", 2).parquet(path)
-    return drained(ev.first_visits(stream), spark, "athlete_id BIGINT, tile_key BIGINT")
+    dated = tracks.tiles(fx.points(spark, sf)).join(fx.point_activities(spark, sf).select("activity_id", "start_ts"), "activity_id")
+    dated.select("athlete_id", "activity_id", "tile_key", "start_ts").repartition(8, F.xxhash64("activity_id")).write.parquet(f"{path}-in")
+    stream = spark.readStream.schema("athlete_id BIGINT, activity_id BIGINT, tile_key BIGINT, start_ts TIMESTAMP").option("maxFilesPerTrigger", 2).parquet(f"{path}-in")
+    ev.first_visit_stream(stream, path, f"{path}-ck").awaitTermination()
+    return ev.first_visits(spark, path).select("athlete_id", "tile_key", "activity_id", F.unix_micros("first_ts").alias("first_us"))
 
 
 @query("st_late_merge", fx.oracle("SELECT athlete_id, activity_id, group_id FROM fx_groups", A, TIMED_SQL, GROUPS_SQL, recursive=True))
 def st_late_merge(spark, sf):
-    """The copies arrive late: merging them into the stored groups equals grouping everything."""
-    acts = fx.activities(spark, sf)
-    stored, late = acts.filter("source = 'feed'"), acts.filter("source = 'file'")
-    return ev.late_merge(stored, cut(merge.duplicate_groups(stored)), late)
+    """Copies arrive late, in several batches: grouping them as they come equals grouping everything."""
+    path, acts = scratch(spark), fx.activities(spark, sf)
+    for i, part in enumerate((acts.filter("source = 'feed'"), acts.filter("source = 'file' and activity_id % 20 = 0"), acts.filter("source = 'file' and activity_id % 20 <> 0"))):
+        part.write.parquet(f"{path}-in/{i}")
+        ev.late_merge_stream(spark.readStream.schema(acts.schema).parquet(f"{path}-in/[0-{i}]"), path, f"{path}-ck").awaitTermination()
+    return ev.group_table(spark, path).latest()
 
 
 @query("st_health_latest", """
 SELECT user_id AS athlete_id, max(event_id) AS fetched, max_by(event_id % 9000, event_id) FILTER (event_id % 3 = 0) AS sleep_s, max_by(event_id % 100, event_id) FILTER (event_id % 2 = 0) AS battery,
   CASE WHEN max_by(day(ts), event_id) FILTER (event_id % 4 = 0) = max_by(day(ts), event_id) THEN max_by(event_id % 20000, event_id) FILTER (event_id % 4 = 0) END AS steps FROM events GROUP BY 1""")
 def st_health_latest(spark, sf):
-    k = F.col("event_id")
+    k, path = F.col("event_id"), scratch(spark)
     log = fx.table(spark, sf, "events").select(F.col("user_id").alias("athlete_id"), k.alias("fetched"), F.to_date("ts").alias("day"), F.when(k % 3 == 0, k % 9000).alias("sleep_s"), F.when(k % 2 == 0, k % 100).alias("battery"), F.when(k % 4 == 0, k % 20000).alias("steps"))
-    return ev.health_latest(log).select("athlete_id", "fetched", "sleep_s", "battery", "steps")
+    log.repartition(6).write.parquet(f"{path}-in")
+    ev.health_stream(spark.readStream.schema(log.schema).option("maxFilesPerTrigger", 2).parquet(f"{path}-in"), path, f"{path}-ck").awaitTermination()
+    return ev.health_now(spark, path).select("athlete_id", "fetched", "sleep_s", "battery", "steps")
 
 
 @query("st_interim_refresh", "SELECT user_id AS athlete_id, count(*) AS n FROM events GROUP BY 1")
@@ -385,8 +440,12 @@ def st_interim_refresh(spark, sf):
     """A running count refreshed per trigger while files arrive, stopped once all are read."""
     path = scratch(spark)
     fx.table(spark, sf, "events").select("user_id").repartition(3).write.parquet(f"{path}/in")
-    stream = spark.readStream.schema("user_id BIGINT").parquet(f"{path}/in")
-    q = ev.interim_refresh(stream, lambda batch: batch.groupBy("user_id").agg(F.count(F.lit(1)).alias("n")).write.mode("append").parquet(f"{path}/out"), f"{path}/ck", seconds=1)
+    stream = spark.readStream.schema("user_id BIGINT").option("maxFilesPerTrigger", 1).parquet(f"{path}/in")
+
+    def refresh(batch, batch_id):
+        batch.groupBy("user_id").agg(F.count(F.lit(1)).alias("n")).write.mode("overwrite").parquet(f"{path}/out/batch={batch_id}")
+
+    q = ev.interim_refresh(stream, refresh, f"{path}/ck", seconds=1)
     q.processAllAvailable()
     q.stop()
-    return spark.read.parquet(f"{path}/out").groupBy(F.col("user_id").alias("athlete_id")).agg(F.sum("n").alias("n"))
+    return spark.read.schema("user_id BIGINT, n BIGINT, batch INT").parquet(f"{path}/out").groupBy(F.col("user_id").alias("athlete_id")).agg(F.sum("n").alias("n"))
