@@ -81,7 +81,7 @@ def rebuilt(turns: DataFrame, kept: Column, period: int = 5, most: int = 8) -> t
 def dictionary(turns: DataFrame) -> DataFrame:
     """(turn, digest, bytes): a dense id from 1 for each distinct turn."""
     kinds = turns.groupBy("digest", "bytes").agg(F.lit(1).alias("_one"))
-    return ordinals(kinds, ["_one"], ["digest"], F.conv(F.substring("digest", 1, 4), 16, 10).cast("bigint"), "turn").select("turn", "digest", "bytes")
+    return ordinals(kinds, ["_one"], ["digest"], F.conv(F.substring("digest", 1, 3), 16, 10).cast("bigint"), "turn").select("turn", "digest", "bytes")
 
 
 def mixed(pos: np.ndarray, turn: np.ndarray, seed: int) -> np.ndarray:
