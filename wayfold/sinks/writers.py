@@ -64,11 +64,17 @@ def grade_name(grade) -> Column:
     return F.when(geo._c(grade).between(0, 3), F.element_at(F.array(*map(F.lit, fa.GRADE_NAMES)), (geo._c(grade) + 1).cast("int")))
 
 
-def write_challenge(features: DataFrame, header_json: str, path: str) -> None:
-    """A directory of feature lines next to a header line; parts keep the file splittable."""
+def write_challenge(features: DataFrame, header_json: str, path: str, header: str = "challenge", parts: int = 8, order: str = "item_id") -> None:
+    """A folder of part files that make one GeoJSON document when read by name: the head, a feature per
+    line in ``order``, and the end. Every part is written by its own task."""
     spark = features.sparkSession
-    features.select("feature").write.mode("overwrite").text(f"{path}/features")
-    spark.createDataFrame([(header_json,)], "value string").write.mode("overwrite").text(f"{path}/header")
+    ends = spark.createDataFrame([(0, '{"type":"FeatureCollection","%s":%s,"features":[' % (header, header_json)), (2, "]}")], "side INT, text STRING")
+    rows = features.select(F.lit(1).alias("side"), F.col(order).cast("string").alias("key"), F.col("feature").alias("text"))
+    # A comma stands before every feature but the first.
+    first = features.agg(F.min(F.col(order).cast("string"))).head()[0]
+    commas = rows.select("side", "key", F.concat(F.when(F.col("key") == first, "").otherwise(","), "text").alias("text"))
+    every = commas.unionByName(ends.select("side", F.lit(None).cast("string").alias("key"), "text"))
+    every.repartitionByRange(parts, "side", "key").sortWithinPartitions("side", "key").select("text").write.mode("overwrite").text(path)
 
 
 def _escaped(c: Column) -> Column:
@@ -109,19 +115,17 @@ def write_gpx(lines: DataFrame, path: str) -> None:
 def snapshot_tiles(tiles: DataFrame, path: str) -> DataFrame:
     """Rewrites an athlete's visited tiles only where they changed; returns the changed athletes.
 
-    The comparison is a hash and count per athlete, and only changed partitions are overwritten."""
+    Both sets are compared tile by tile; only partitions with a difference are overwritten."""
     spark: SparkSession = tiles.sparkSession
     now = tiles.select("athlete_id", "tile_key").distinct()
-
-    def prints(df):
-        return df.groupBy("athlete_id").agg(F.bit_xor(F.xxhash64("tile_key")).alias("h"), F.count(F.lit(1)).alias("n"))
-
-    fresh = prints(now)
+    changed = now.select("athlete_id")
     hadoop = spark._jvm.org.apache.hadoop.fs.Path(path)
     if hadoop.getFileSystem(spark._jsc.hadoopConfiguration()).exists(hadoop):
-        fresh = fresh.join(prints(spark.read.schema("tile_key BIGINT, athlete_id BIGINT").parquet(path)), ["athlete_id", "h", "n"], "left_anti")
+        stored = spark.read.schema("tile_key BIGINT, athlete_id BIGINT").parquet(path)
+        sides = now.withColumn("side", F.lit(1)).unionByName(stored.select("athlete_id", "tile_key").withColumn("side", F.lit(2)))
+        changed = sides.groupBy("athlete_id", "tile_key").agg(F.sum("side").alias("sides")).filter("sides <> 3").select("athlete_id").join(now.select("athlete_id").distinct(), "athlete_id", "left_semi")
     from wayfold.session import cut
-    changed = cut(fresh.select("athlete_id"))
+    changed = cut(changed.distinct())
     (now.join(changed, "athlete_id", "left_semi").repartition("athlete_id", F.floor(geo.key_x("tile_key") / 64)).sortWithinPartitions("athlete_id", "tile_key")
      .write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("athlete_id").parquet(path))
     return changed

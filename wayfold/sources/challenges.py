@@ -6,9 +6,12 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from wayfold.functions import activity as fa
+from wayfold.sources import collections
 
 # Format version, id pattern, and (default, least, most) of the numeric settings.
 FORMAT, ID_PATTERN, RESULT_VERSION = 1, "^[a-z0-9][a-z0-9-]{0,63}$", 1
+#: Bytes of a feature that can be told as a variant.
+LARGEST = 16 << 20
 NUMBERS = {"radius": (200.0, 10.0, 5_000.0), "coverage": (0.9, 0.1, 1.0), "spacing": (50.0, 10.0, 1_000.0)}
 
 
@@ -25,14 +28,17 @@ def _is_number(kind: Column) -> Column:
     return kind.rlike("^(BIGINT|DOUBLE|DECIMAL)")
 
 
-def parse(files: DataFrame, header: str = "challenge") -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
-    """(challenges, items, lines, problems) of files (file, content).
+def parse(found: collections.Collections, header: str = "challenge") -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
+    """(challenges, items, lines, problems) of collections.
 
     A file fails with the first problem of its header; its features that can't be used are
-    reported per reason. Of files sharing an id the first by name counts."""
+    reported per reason. Of files sharing an id the first by name counts. A feature beyond the size
+    of a variant is reported as too large, the others of its file are read."""
     h = f"$.{header}"
     doc = F.col("doc")
-    raw = files.withColumn("doc", F.try_parse_json("content"))
+    features = found.features.withColumn("f", F.try_parse_json("feature")).withColumn("large", F.octet_length("feature") > LARGEST)
+    torn = features.filter("f is null and not large").select("file").distinct().withColumn("torn", F.lit(True))
+    raw = found.documents.join(torn, "file", "left").withColumn("doc", F.when(F.col("torn").isNull(), F.try_parse_json("head")))
 
     def has(name):
         return _kind(doc, f"{h}.{name}").isNotNull()
@@ -54,11 +60,11 @@ def parse(files: DataFrame, header: str = "challenge") -> tuple[DataFrame, DataF
         problem = problem.when(has(field) & ~F.coalesce(value.between(low, high), F.lit(False)), f"invalid {field}")
         numbers[field] = F.coalesce(value, F.lit(default))
     problem = problem.when(has("sports") & (F.coalesce(F.size(sports), F.lit(0)) <= 0), "invalid sports")
-    key = F.concat(F.lit(f"x{RESULT_VERSION}-"), F.substring(F.sha2(F.col("content").cast("binary"), 256), 1, 12))
+    key = F.concat(F.lit(f"x{RESULT_VERSION}-"), F.substring("digest", 1, 12))
     heads = raw.select("file", "doc", problem.alias("problem"), own_id.alias("challenge_id"), name.alias("name"), F.coalesce(_text(doc, f"{h}.tab"), name).alias("tab"), _text(doc, f"{h}.icon").alias("icon"),
                        kind.alias("kind"), complete.alias("complete"), *[v.alias(k) for k, v in numbers.items()], sports.alias("sports"), key.alias("key"))
 
-    good = heads.filter("problem is null").select("file", "challenge_id", "kind", "complete", F.posexplode(F.try_variant_get(doc, "$.features", "array<variant>")).alias("pos", "f"))
+    good = features.join(heads.filter("problem is null").select("file", "challenge_id", "kind", "complete"), "file")
     f = F.col("f")
     given = [F.coalesce(F.when(_kind(f, p) == "STRING", F.nullif(F.try_variant_get(f, p, "string"), F.lit(""))), F.when(_is_number(_kind(f, p)), F.try_variant_get(f, p, "string"))) for p in ("$.id", "$.properties.id")]
     geometry = F.try_variant_get(f, "$.geometry.type", "string")
@@ -71,18 +77,19 @@ def parse(files: DataFrame, header: str = "challenge") -> tuple[DataFrame, DataF
 
     pieces = F.when(geometry == "LineString", F.array(line)).when(geometry == "MultiLineString", many)
     usable = F.filter(pieces, lambda piece: (F.size(piece) >= 2) & F.forall(piece, valid))
-    shaped = good.select("file", "challenge_id", "kind", "complete", "pos", F.coalesce(*given).alias("item_id"), _text(f, "$.properties.name").alias("name"), _text(f, "$.properties.subtitle").alias("subtitle"),
+    shaped = good.select("file", "challenge_id", "kind", "complete", "pos", "large", F.coalesce(*given).alias("item_id"), _text(f, "$.properties.name").alias("name"), _text(f, "$.properties.subtitle").alias("subtitle"),
                          F.try_variant_get(f, "$.properties.difficulty", "string").alias("difficulty"), F.try_variant_get(f, "$.type", "string").alias("type"), geometry.alias("geometry"),
                          F.when((geometry == "Point") & F.coalesce(valid(at), F.lit(False)), at).alias("at"), usable.alias("pieces"))
     size = F.coalesce(F.size("pieces"), F.lit(0))
     located = F.when(F.col("kind") == "locations", F.col("at").isNotNull()).otherwise((size > 0) & ((F.col("complete") == "cover") | (size == 1)))
-    reason = (F.when(~F.coalesce(F.col("type") == "Feature", F.lit(False)) | F.col("geometry").isNull(), "not a feature").when(F.col("item_id").isNull(), "no id").when(F.col("name").isNull(), "no name").when(~located, "wrong geometry"))
+    reason = (F.when(F.col("large"), "too large").when(~F.coalesce(F.col("type") == "Feature", F.lit(False)) | F.col("geometry").isNull(), "not a feature").when(F.col("item_id").isNull(), "no id").when(F.col("name").isNull(), "no name").when(~located, "wrong geometry"))
     first = F.min("pos").over(Window.partitionBy("file", "item_id"))
     fine = shaped.withColumn("reason", reason)
     dup = fine.filter("reason is null").withColumn("_first", first)
     items = dup.filter(F.col("pos") == F.col("_first"))
     skipped = (fine.filter("reason is not null").select("file", "reason").unionByName(dup.filter(F.col("pos") > F.col("_first")).select("file", F.lit("duplicate id").alias("reason")))
-               .groupBy("file", "reason").agg(F.count(F.lit(1)).alias("n")))
+               .withColumn("n", F.lit(1)).unionByName(found.strays.join(heads.filter("problem is null").select("file"), "file", "left_semi").select("file", F.lit("not a feature").alias("reason"), "n"))
+               .groupBy("file", "reason").agg(F.sum("n").cast("bigint").alias("n")))
     counts = items.groupBy("file").agg(F.count(F.lit(1)).alias("items"))
     checked = heads.drop("doc").join(counts, "file", "left").withColumn("problem", F.coalesce("problem", F.when(F.col("items").isNull(), "noItems")))
     lead = checked.filter("problem is null").groupBy("challenge_id").agg(F.min("file").alias("_lead"))
@@ -96,11 +103,6 @@ def parse(files: DataFrame, header: str = "challenge") -> tuple[DataFrame, DataF
     return challenges, flat, lines, problems
 
 
-def read_files(spark: SparkSession, path: str) -> DataFrame:
-    """Challenge files as (file, content)."""
-    return (spark.read.option("wholetext", True).text(path)
-            .select(F.element_at(F.split(F.col("_metadata.file_path"), "/"), -1).alias("file"), F.col("value").alias("content")))
-
-
 def read_challenges(spark: SparkSession, path: str, header: str = "challenge"):
-    return parse(read_files(spark, path), header)
+    """(challenges, items, lines, problems) of the challenge files below ``path``; see ``collections``."""
+    return parse(collections.read(spark, path), header)

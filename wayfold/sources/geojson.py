@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from wayfold.sources import collections
+
 # The road classes climbs are looked for on, in order, and the named places used.
 ROAD_CLASSES = ["trunk", "primary", "secondary", "tertiary", "unclassified", "residential", "living_street", "cycleway"]
 PLACE_KINDS = ["city", "town", "village", "hamlet"]
@@ -22,9 +24,8 @@ def read_regions(spark: SparkSession, path: str, country: str, code_field: str,
     Codes get the country in front, names fall back along ``name_fields`` to the code, heights and
     the closing point of each ring are dropped."""
     fields = ", ".join(f"`{f}`: STRING" for f in dict.fromkeys([code_field, *name_fields]))
-    schema = f"features ARRAY<STRUCT<properties: STRUCT<{fields}>, geometry: STRUCT<type: STRING, coordinates: STRING>>>"
-    docs = spark.read.schema(schema).option("multiLine", True).json(path)
-    feats = docs.select(F.posexplode("features").alias("feature_id", "f"))
+    schema = f"properties STRUCT<{fields}>, geometry STRUCT<type: STRING, coordinates: STRING>"
+    feats = collections.read(spark, path).features.select(F.col("pos").alias("feature_id"), F.from_json("feature", schema).alias("f"))
     code = first_value(F.col(f"f.properties.`{code_field}`"))
     names = [first_value(F.col(f"f.properties.`{n}`")) for n in name_fields]
     kind, text = F.col("f.geometry.type"), F.col("f.geometry.coordinates")

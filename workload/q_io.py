@@ -132,35 +132,41 @@ CHALLENGE_SQL = """SELECT item_id, round(lat, 6) AS lat, round(lon, 6) AS lon, n
 
 
 def challenge_files(spark, sf):
-    """One file of all places (some unusable), and one per region with a faulty or a good header."""
+    """A folder of challenges, written in parallel: all places (some unusable), all routes of the parts,
+    and one per region with a faulty header or a used id."""
+    path = scratch(spark)
     places = fx.places(spark, sf)
     bad = F.col("item_id") % 9 == 0
-    props = F.to_json(F.struct(F.when(F.col("item_id") % 7 != 0, F.col("name")).alias("name"), F.lit("sub").alias("subtitle")))
+    props = F.to_json(F.struct(F.when(F.col("item_id") % 7 != 0, F.concat("name", F.lit(' {"a}'))).alias("name"), F.lit("sub").alias("subtitle")))
     feature = F.concat(F.lit('{"type":"Feature","id":"p'), F.col("item_id").cast("string"), F.lit('","geometry":{"type":"'), F.when(bad, "LineString").otherwise("Point"), F.lit('","coordinates":['), F.format_string("%.6f,%.6f", "lon", "lat"), F.lit("]},\"properties\":"), props, F.lit("}"))
-    body = places.agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("item_id", feature.alias("f")))), lambda s: s["f"]), ",").alias("body"))
-    good = body.select(F.lit("a.geojson").alias("file"), F.concat(F.lit('{"type":"FeatureCollection","challenge":{"format":1,"name":"Places","kind":"locations","id":"places","radius":250},"features":['), "body", F.lit("]}")).alias("content"))
+    writers.write_challenge(places.select("item_id", feature.alias("feature")), '{"format":1,"name":"Places","kind":"locations","id":"places","radius":250}', f"{path}/a.geojson")
+    lines = fx.routes(spark, sf).withColumnRenamed("route_id", "item_id")
+    lines = lines.unionByName(lines.filter("item_id % 5 = 0").withColumn("piece", F.lit(1))).select("item_id", "piece", "seq", "lat", "lon")
+    routes = lines.select("item_id").distinct().select("item_id", F.concat(F.lit("Route "), F.col("item_id").cast("string")).alias("name"), writers.route_subtitle(F.lit("rcn"), F.lit(0.0)).alias("subtitle"))
+    writers.write_challenge(writers.challenge_features(routes, lines), '{"format":1,"name":"Routes","kind":"routes","spacing":100}', f"{path}/c.geojson")
     heads = ['{"format":2,"name":"x","kind":"routes"}', '{"format":1,"kind":"routes"}', '{"format":1,"name":"x","kind":"locations","complete":"cross"}', '{"format":1,"name":"x","kind":"routes","coverage":2}', '{"format":1,"name":"Other","kind":"locations","id":"places"}']
     r = F.col("r_regionkey")
     one = '{"type":"Feature","id":7,"geometry":{"type":"Point","coordinates":[5,52]},"properties":{"name":"n"}}'
-    rest = fx.table(spark, sf, "region").select(F.concat(F.lit("b"), r.cast("string"), F.lit(".geojson")).alias("file"),
-                                                F.concat(F.lit('{"type":"FeatureCollection","challenge":'), F.element_at(F.array(*map(F.lit, heads)), r + 1), F.lit(f',"features":[{one}]}}')).alias("content"))
-    return good.unionByName(rest)
+    (fx.table(spark, sf, "region").select(F.concat(F.lit("b"), r.cast("string"), F.lit(".geojson")).alias("file"),
+                                          F.concat(F.lit('{"type":"FeatureCollection","challenge":'), F.element_at(F.array(*map(F.lit, heads)), r + 1), F.lit(f',"features":[{one}]}}')).alias("value"))
+     .write.mode("append").partitionBy("file").text(f"{path}/regions"))
+    return path
 
 
-@query("src_challenge_geojson", fx.oracle("SELECT 'p' || item_id AS item_id, lat, lon, name, radius FROM (" + CHALLENGE_SQL + ")", fx.PLACES_SQL))
+@query("src_challenge_geojson", fx.oracle("SELECT 'p' || item_id AS item_id, lat, lon, name || ' {\"a}' AS name, radius, 0 AS points, NULL::DOUBLE AS length FROM (" + CHALLENGE_SQL + """)
+UNION ALL SELECT route_id::VARCHAR, NULL, NULL, 'Route ' || route_id, 200, CASE WHEN route_id % 5 = 0 THEN 10 ELSE 5 END, round(max(lat) - min(lat), 5) FROM fx_routes GROUP BY route_id""", fx.PLACES_SQL, fx.ROUTES_SQL))
 def src_challenge_geojson(spark, sf):
-    path = scratch(spark)
-    challenge_files(spark, sf).select("content").repartition(6).write.option("lineSep", "\n").text(path)
-    stored = challenge_files(spark, sf)
-    challenges, items, _, _ = ch.parse(stored)
-    return items.join(challenges.select("challenge_id", "radius"), "challenge_id").select("item_id", F.round("lat", 6).alias("lat"), F.round("lon", 6).alias("lon"), "name", "radius")
+    challenges, items, lines, _ = ch.read_challenges(spark, challenge_files(spark, sf))
+    shape = lines.groupBy("challenge_id", "item_id").agg(F.count("*").alias("points"), F.round(F.max("lat") - F.min("lat"), 5).alias("length"))
+    return items.join(challenges.select("challenge_id", "radius"), "challenge_id").join(shape, ["challenge_id", "item_id"], "left").select(
+        "item_id", F.round("lat", 6).alias("lat"), F.round("lon", 6).alias("lon"), "name", "radius", F.coalesce("points", F.lit(0)).alias("points"), "length")
 
 
 @query("flt_feature_usable", fx.oracle("""
 SELECT 'a.geojson' AS file, CASE WHEN item_id % 7 = 0 THEN 'no name' ELSE 'wrong geometry' END AS reason, count(*) AS n FROM fx_places WHERE item_id % 9 = 0 OR item_id % 7 = 0 GROUP BY 2
 UNION ALL SELECT 'b' || r_regionkey || '.geojson', (['unsupported format', 'missing name', 'invalid complete', 'invalid coverage', 'duplicate challenge id'])[r_regionkey + 1], 1 FROM region""", fx.PLACES_SQL))
 def flt_feature_usable(spark, sf):
-    return ch.parse(challenge_files(spark, sf))[3]
+    return ch.read_challenges(spark, challenge_files(spark, sf))[3]
 
 
 @query("flt_id_pattern", "SELECT r_regionkey, r_regionkey IN (0, 2) AS ok FROM region")
@@ -181,7 +187,7 @@ def src_region_geojson(spark, sf):
     single = F.to_json(F.struct(F.lit("Polygon").alias("type"), F.col("c")[0].alias("coordinates")))
     many = F.to_json(F.struct(F.lit("MultiPolygon").alias("type"), F.col("c").alias("coordinates")))
     feature = F.concat(F.lit('{"type":"Feature","properties":'), F.to_json(props), F.lit(',"geometry":'), F.when(F.size("c") == 1, single).otherwise(many), F.lit("}"))
-    area.agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("ordinal", feature.alias("f")))), lambda s: s["f"]), ",").alias("b")).select(F.concat(F.lit('{"type":"FeatureCollection","features":['), "b", F.lit("]}")).alias("value")).write.text(path)
+    writers.write_challenge(area.select(F.format_string("%08d", "ordinal").alias("item_id"), feature.alias("feature")), "{}", f"{path}/areas.geojson", header="crs")
     out = geojson.read_regions(spark, path, "XX", "gem_code", ["short", "long"])
     return out.groupBy("code", "name", "poly").agg(F.count(F.lit(1)).alias("points"), F.round(F.min("lat"), 6).alias("min_lat"))
 
@@ -243,12 +249,17 @@ def sink_area_partitions(spark, sf):
 
 
 @query("sink_challenge_geojson", fx.oracle("""
-SELECT item_id, '{"type":"Feature","id":"' || item_id || '","geometry":{"type":"Point","coordinates":[' || rtrim(rtrim(printf('%.4f', lon), '0'), '.') || ',' || rtrim(rtrim(printf('%.4f', lat), '0'), '.') || ']},"properties":{"name":"' || name || '"' ||
-  CASE WHEN item_id % 2 = 0 THEN ',"subtitle":"Local route · 12 m climbing"' ELSE '' END || CASE WHEN item_id % 4 < 4 THEN ',"difficulty":"' || (['easy', 'moderate', 'hard', 'very-hard'])[item_id % 4 + 1] || '"' END || '}}' AS feature FROM fx_places""", fx.PLACES_SQL))
+SELECT item_id::VARCHAR AS item_id, '{"type":"Feature","id":"' || item_id || '","geometry":{"type":"Point","coordinates":[' || rtrim(rtrim(printf('%.4f', lon), '0'), '.') || ',' || rtrim(rtrim(printf('%.4f', lat), '0'), '.') || ']},"properties":{"name":"' || name || '"' ||
+  CASE WHEN item_id % 2 = 0 THEN ',"subtitle":"Local route · 12 m climbing"' ELSE '' END || CASE WHEN item_id % 4 < 4 THEN ',"difficulty":"' || (['easy', 'moderate', 'hard', 'very-hard'])[item_id % 4 + 1] || '"' END || '}}' AS feature FROM fx_places
+UNION ALL SELECT 'r' || route_id, '{"type":"Feature","id":"r' || route_id || '","geometry":{"type":"' || CASE WHEN route_id % 5 = 0 THEN 'MultiLineString","coordinates":[[' || c || '],[' || c || ']]' ELSE 'LineString","coordinates":[' || c || ']' END || '},"properties":{"name":"Route ' || route_id || '"}}'
+  FROM (SELECT route_id, string_agg('[' || round(lon, 5) || ',' || round(lat, 5) || ']', ',' ORDER BY seq) AS c FROM fx_routes GROUP BY route_id)""", fx.PLACES_SQL, fx.ROUTES_SQL))
 def sink_challenge_geojson(spark, sf):
     k = F.col("item_id")
     items = fx.places(spark, sf).withColumn("subtitle", F.when(k % 2 == 0, writers.route_subtitle(F.lit("lcn"), F.lit(12.0))).otherwise("")).withColumn("difficulty", writers.grade_name(k % 4))
-    return writers.challenge_features(items)
+    lines = fx.routes(spark, sf).withColumn("item_id", F.concat(F.lit("r"), F.col("route_id").cast("string")))
+    lines = lines.unionByName(lines.filter("route_id % 5 = 0").withColumn("piece", F.lit(1)))
+    routes = lines.select("item_id", F.concat(F.lit("Route "), F.col("route_id").cast("string")).alias("name")).distinct()
+    return writers.challenge_features(items).withColumn("item_id", k.cast("string")).unionByName(writers.challenge_features(routes, lines))
 
 
 @query("sink_visited_tiles", fx.oracle("SELECT athlete_id, x::BIGINT * 4294967296 + y AS tile_key, athlete_id % 2 = 0 AS rewritten FROM fx_visited_tiles", fx.TILES_SQL))
