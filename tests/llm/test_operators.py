@@ -1,6 +1,7 @@
 """Each operator against a plain rule, on whole small tables with odd rows and on empty ones."""
 
 import math
+import random
 import re
 import uuid
 import zlib
@@ -136,16 +137,24 @@ def test_gam_uses_pairs():
     assert (0, 1) in model.pairs and ((model.scores(x) > 0.5) == (y > 0.5)).mean() > 0.95
 
 
+def longest_alignment(a, b):
+    """Words in the longest common subsequence, a bit per word of ``b``."""
+    masks = {}
+    for j, w in enumerate(b):
+        masks[w] = masks.get(w, 0) | 1 << j
+    full = row = (1 << len(b)) - 1
+    for w in a:
+        grown = row & masks.get(w, 0)
+        row = ((row + grown) | (row - grown)) & full
+    return len(b) - row.bit_count()
+
+
+def near_copies(a, b):
+    return min(len(a), len(b)) >= 0.8 * max(len(a), len(b)) and longest_alignment(a, b) >= 0.8 * max(len(a), len(b))
+
+
 def brute_classes(rows):
-    def grams(text):
-        w = words_of(text)
-        seen, out = Counter(), set()
-        for i in range(max(1, len(w) - 4) if w else 0):
-            g = tuple(w[i:i + 5])
-            seen[g] += 1
-            out.add((g, seen[g]))
-        return out
-    sets = {d: grams(t) for d, t in rows}
+    sets = {d: words_of(t) for d, t in rows}
     root = {d: d for d in sets}
 
     def top(d):
@@ -154,7 +163,7 @@ def brute_classes(rows):
         return d
     for a in sets:
         for b in sets:
-            if a < b and sets[a] and len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b]):
+            if a < b and sets[a] and sets[b] and near_copies(sets[a], sets[b]):
                 x, y = top(a), top(b)
                 root[max(x, y)] = min(x, y)
     return {d: top(d) for d in sets}
@@ -177,6 +186,45 @@ def test_near_copies_equal_brute_force(spark, messy, none):
     assert neardup.classes(none).collect() == []
 
 
+def test_near_copies_by_edits(spark):
+    """Words replaced, inserted and left out, and a passage moved: the alignment decides, whatever it costs in shingles."""
+    rng = random.Random(31)
+    vocabulary = [f"w{i}" for i in range(3000)]
+    rows, pairs, strangers = [], [], []
+    for k in range(150):
+        text = [rng.choice(vocabulary) for _ in range(rng.randint(90, 400))]
+        rate, kind = rng.choice([0.02, 0.04, 0.06, 0.08, 0.1]), rng.randint(0, 3)
+        other = []
+        for w in text:
+            if rng.random() < rate:
+                other += {0: [rng.choice(vocabulary)], 1: [w, rng.choice(vocabulary)], 2: [], 3: [w]}[kind]
+            else:
+                other.append(w)
+        if kind == 3:
+            cut, size = rng.randint(0, len(text) // 2), int(len(text) * 0.12)
+            other = text[:cut] + text[cut + size:cut + 3 * size] + text[cut:cut + size] + text[cut + 3 * size:]
+        if k % 10 == 0:
+            other = text[len(text) // 2:] + text[:len(text) // 2]  # all shingles but two, no alignment
+        rows += [(2 * k, " ".join(text)), (2 * k + 1, " ".join(other))]
+        (pairs if near_copies(text, other) else strangers).append(2 * k)
+    got = {r["doc_id"]: r["class_id"] for r in neardup.classes(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    found = sum(got[a] == got[a + 1] for a in pairs)
+    assert len(pairs) > 120 and found >= 0.95 * len(pairs), (found, len(pairs))
+    assert all(got[a] != got[a + 1] for a in strangers) and len(strangers) >= 10
+
+
+def test_one_id_on_two_texts(spark):
+    import corpus_pipeline
+    a, b = sentence(1, 80), sentence(2, 80)
+    rows = [(1, a, "x"), (7, a, "y"), (7, b, "z"), (8, b + " more", "u"), (None, a, None), (9, None, "v"), (9, None, "v"), (9, "", "w")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, text_key string")
+    out = {(r["doc_id"], r["text_key"]): (r["class_id"], r["kept"]) for r in neardup.classes(docs).withColumn("text_key", F.col("text_key").substr(1, 4)).collect()}
+    key = lambda t: __import__("hashlib").md5(t.encode()).hexdigest()[:4]
+    assert out[1, key(a)] == (1, True) and out[7, key(a)] == (1, False) and out[7, key(b)] == (7, True) and out[8, key(b + " more")] == (7, False)
+    kept = sorted((r["doc_id"] or 0, r["text"] or "", r["text_key"] or "") for r in corpus_pipeline.near_copy_stage(spark, docs, "").collect())
+    assert [(d, t) for d, t, _ in kept] == sorted([(1, a), (7, b), (0, a), (9, "")])
+
+
 def test_alignment_needs_order():
     rng = np.random.default_rng(2)
     a = rng.integers(0, 2 ** 40, 300).astype(np.uint64)

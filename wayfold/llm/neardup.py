@@ -4,8 +4,9 @@ A text's five-word shingles are labelled with their occurrence (first, second, .
 text). A sketch takes the labelled shingles with the smallest hash values and keeps the order in
 which they stand in the text, so it agrees for texts with a small edit distance and not for texts
 that only share a set of shingles. Texts with an equal sketch are candidates; a candidate pair is
-verified by aligning the words of the shared shingles in a band around the diagonal. The labels
-serve sketches and counts only: in the alignment any occurrence may stand for any other.
+verified by aligning their words in a band around the diagonal: near copies are texts whose longest
+alignment covers the least share of the longer one. Shingles find candidates only; one changed word
+costs five of them and one word of the alignment.
 
 Equal texts count once. In each bucket all texts are compared with the most central one first;
 what these links leave in different groups is compared inside the bucket's tasks, which return the
@@ -31,13 +32,14 @@ from wayfold.operators.graph import components
 
 by_value(__name__)
 
-#: Words in a shingle, least similarity, sketches of a text, shingles in a sketch. Two texts at the
-#: least similarity share a sketch with a chance of about 0.64; all 12 miss with 5e-6.
-SHINGLE, SIMILAR, SKETCHES, SAMPLED = 5, 0.8, 12, 2
-#: Sketches that texts of different groups must share to be compared (7.7 are expected at the least
-#: similarity, fewer than 3 with a chance of 0.001), texts of a bucket compared in one piece, ids
-#: broadcast at most.
-SHARED, PIECE, BROADCAST = 3, 1024, 500_000
+#: Words in a shingle, least share of the longer text that an alignment covers, sketches of a text,
+#: shingles in a sketch. Texts that share a part j of their shingles share a sketch with a chance of
+#: about j^2: with one word in 25 changed (j about 0.69) all 24 miss with 1e-7, with one in ten
+#: (0.42) with 0.01, with one in five (0.2) with 0.38.
+SHINGLE, SIMILAR, SKETCHES, SAMPLED = 5, 0.8, 24, 2
+#: Sketches and share of their shingles that texts of one bucket but different groups must have in
+#: common to be aligned, texts of a bucket compared in one piece.
+SHARED, ALIKE, PIECE = 2, 0.15, 1024
 MIX, MIX2, LABEL = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9), np.uint64(0xD6E8FEB86659FD93)
 
 
@@ -102,30 +104,30 @@ def word_hashes(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
 
 
 def similar(a: np.ndarray, b: np.ndarray, width: int, least: float) -> bool:
-    """Whether two texts (hashes of their words) are near copies: of all labelled shingles a share
-    of ``least`` is common, and an alignment of their words covers that share of the longer text."""
+    """Whether two texts (hashes of their words) are near copies: an alignment of their words covers a
+    share of ``least`` of the longer text."""
     longer = max(len(a), len(b))
-    if min(len(a), len(b)) < least * longer - width:
+    need = least * longer
+    if min(len(a), len(b)) < need:
         return False
+    # No alignment has more pairs than the texts have words in common.
+    known, code = np.unique(np.concatenate((a, b)), return_inverse=True)
+    if np.minimum(np.bincount(code[:len(a)], minlength=len(known)), np.bincount(code[len(a):], minlength=len(known))).sum() < need:
+        return False
+    band = int((1 - least) * longer)  # an alignment that covers enough strays no further from the diagonal
+    # Where the labelled shingles in common make a chain that covers enough, it is such an alignment.
     ha, _ = shingles(a, np.array([len(a)]), width)
     hb, _ = shingles(b, np.array([len(b)]), width)
-    common, ia, ib = np.intersect1d(ha, hb, assume_unique=True, return_indices=True)
-    if len(common) < least * (len(ha) + len(hb) - len(common)):
-        return False
-    # An alignment that covers enough strays no further from the diagonal.
-    band = int((1 - least) * longer + width)
+    _, ia, ib = np.intersect1d(ha, hb, assume_unique=True, return_indices=True)
     order = np.argsort(ia)
     ia, ib = ia[order], ib[order]
-    near = np.abs(ia - ib) <= band
-    ia, ib = ia[near], ib[near]
     if len(ib) > 1 and (np.diff(ib) <= 0).any():
         chain = ascending(ib)
         ia, ib = ia[chain], ib[chain]
-    # A chain of shingles with equal labels is one alignment; only where it falls short is the best one needed.
     step = min(width, len(a))
-    if len(ia) and int(np.minimum(np.minimum(np.diff(ia), np.diff(ib)), step).sum()) + step >= least * longer:
+    if len(ia) and len(a) >= width <= len(b) and int(np.minimum(np.minimum(np.diff(ia), np.diff(ib)), step).sum()) + step >= need:
         return True
-    return aligned(a, b, width, band, least * longer) >= least * longer
+    return aligned(a, b, 1, band, need) >= need
 
 
 def aligned(a: np.ndarray, b: np.ndarray, width: int, band: int, enough: float = 0) -> int:
@@ -150,7 +152,7 @@ def aligned(a: np.ndarray, b: np.ndarray, width: int, band: int, enough: float =
     if len(reach) < enough:
         return len(reach)
 
-    @lru_cache(256)
+    @lru_cache(4096)
     def bits(lo, hi):
         at = np.zeros(len(b), np.uint8)
         at[keys[lo:hi] % big] = 1
@@ -216,31 +218,30 @@ def sketched(docs: DataFrame, width: int, number: int) -> DataFrame:
     return docs.mapInArrow(run, "doc_id bigint, key binary, n bigint, sketch array<bigint>")
 
 
-def texts_of(ids: DataFrame, docs: DataFrame) -> DataFrame:
-    """doc_id and w (a 32-bit hash of each word) of the documents named in ``ids``, one row each.
-    Only these texts are moved."""
-    ids = put(ids.distinct())
-    few = ids.count() <= BROADCAST
-    wanted = docs.join(F.broadcast(ids) if few else ids, "doc_id", "left_semi")
+def texts_of(nodes: DataFrame, texts: DataFrame, docs: DataFrame) -> DataFrame:
+    """node and w (a 32-bit hash of each word) of the texts named in ``nodes``. Only these texts are
+    moved; they are found by id and checksum, as an id may stand on several texts."""
+    wanted = texts.join(nodes.distinct(), "node", "left_semi").select("node", F.col("rep").alias("doc_id"), F.lower(F.hex("key")).alias("key"))
+    found = docs.withColumn("key", F.md5(F.coalesce("text", F.lit("")).cast("binary"))).join(wanted, ["doc_id", "key"])
 
     def hashed(batches):
         for batch in batches:
             for part in slices(batch, "text", 8 << 20):
                 sizes, words = word_hashes(array_of(part.column("text")))
                 small, ends = (words >> np.uint64(32)).astype(np.uint32), np.cumsum(sizes)
-                yield pa.RecordBatch.from_pydict({"doc_id": part.column("doc_id"), "w": pa.array([small[e - n:e].tobytes() for e, n in zip(ends, sizes)], pa.binary())})
+                yield pa.RecordBatch.from_pydict({"node": part.column("node"), "w": pa.array([small[e - n:e].tobytes() for e, n in zip(ends, sizes)], pa.binary())})
 
-    return put(wanted.mapInArrow(hashed, "doc_id bigint, w binary").dropDuplicates(["doc_id"]))
+    return put(found.select("node", "text").mapInArrow(hashed, "node bigint, w binary").dropDuplicates(["node"]))
 
 
 def words_of(data: bytes) -> np.ndarray:
     return np.frombuffer(data, np.uint32).astype(np.uint64)
 
 
-def verified(pairs: DataFrame, docs: DataFrame, width: int, least: float) -> DataFrame:
-    """The pairs (a, b) whose texts are near copies."""
+def verified(pairs: DataFrame, texts: DataFrame, docs: DataFrame, width: int, least: float) -> DataFrame:
+    """The pairs (a, b) of nodes whose texts are near copies."""
     pairs = put(pairs)
-    texts = texts_of(pairs.select(F.explode(F.array("a", "b")).alias("doc_id")), docs)
+    words = texts_of(pairs.select(F.explode(F.array("a", "b")).alias("node")), texts, docs)
 
     def check(batches):
         for batch in batches:
@@ -248,8 +249,8 @@ def verified(pairs: DataFrame, docs: DataFrame, width: int, least: float) -> Dat
             good = [similar(words_of(x), words_of(y), width, least) for x, y in zip(a, b)]
             yield pa.RecordBatch.from_arrays([batch.column(c).filter(pa.array(good, pa.bool_())) for c in ("a", "b")], names=["a", "b"])
 
-    both = (pairs.join(texts.select(F.col("doc_id").alias("a"), F.col("w").alias("wa")), "a")
-            .join(texts.select(F.col("doc_id").alias("b"), F.col("w").alias("wb")), "b").select("a", "b", "wa", "wb"))
+    both = (pairs.join(words.select(F.col("node").alias("a"), F.col("w").alias("wa")), "a")
+            .join(words.select(F.col("node").alias("b"), F.col("w").alias("wb")), "b").select("a", "b", "wa", "wb"))
     return put(both.mapInArrow(check, "a bigint, b bigint"))
 
 
@@ -307,7 +308,7 @@ def joining(ids, labels, sketch, words, place: int, sides, width: int, least: fl
             counts = np.array([len(r) for r in rows])
         both = common(rows, i + begin, j)
         alike = both / (counts[i + begin][:, None] + counts[j][None, :] - both)
-        a, b = np.nonzero(mask[np.ix_(i, j)] & (alike >= least - 1e-6))
+        a, b = np.nonzero(mask[np.ix_(i, j)] & (alike >= ALIKE))
         pairs += zip((-alike[a, b]).tolist(), (i[a] + begin).tolist(), j[b].tolist())
     out = []
     for _, a, b in sorted(pairs):
@@ -319,47 +320,49 @@ def joining(ids, labels, sketch, words, place: int, sides, width: int, least: fl
 
 
 def classes(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", width: int = SHINGLE, least: float = SIMILAR, number: int = SKETCHES) -> DataFrame:
-    """One row per row of ``docs``: doc_id, class_id (smallest id reached over links) and kept (the
-    row's id is its class).
+    """One row per row of ``docs``: doc_id, class_id (smallest id reached over links), kept (the row has
+    the text that stands for its class) and text_key (MD5 of the text).
 
     Texts link when they are equal, or near copies by ``similar``. Null texts and texts without
     words link with nothing, and neither do rows with a null id (class null, kept). Rows that repeat
-    an id belong to one class each by their text; ids are expected to name one text. Runs several
+    an id belong to one class each by their text. For a class stands, of the texts with its smallest
+    id, that of the smallest checksum; rows that repeat both id and text are all kept. Runs several
     jobs. An empty table gives no rows."""
     docs = docs.select(F.col(doc_id).cast("bigint").alias("doc_id"), F.col(text).alias("text"))
     table = put(sketched(docs, width, number))
     live = table.filter("n > 0 and doc_id is not null")
-    texts = put(live.groupBy("key").agg(F.min("doc_id").alias("rep"), F.first("n").alias("n"), F.first("sketch").alias("sketch")))
-    spread = texts.select("rep", "n", "sketch", F.posexplode("sketch").alias("i", "s"))
+    texts = put(live.groupBy("key").agg(F.min("doc_id").alias("rep"), F.first("n").alias("n"), F.first("sketch").alias("sketch")).withColumn("node", F.monotonically_increasing_id()))
+    spread = texts.select("node", "n", "sketch", F.posexplode("sketch").alias("i", "s"))
     sizes = spread.groupBy("i", "s").agg(F.count("*").alias("c")).filter("c > 1")
     members = put(spread.join(sizes, ["i", "s"]))
     # The text whose sketches are most common stands in the middle of its near copies.
-    fame = members.groupBy("rep").agg(F.sum("c").alias("fame"))
-    known = members.join(fame, "rep")
-    centre = put(known.groupBy("i", "s").agg(F.max(F.struct("fame", (-F.col("rep")).alias("m"), F.col("n").alias("cn"))).alias("x")).select("i", "s", (-F.col("x.m")).alias("hub"), F.col("x.cn").alias("hn")))
-    close = lambda x, y: F.least(x, y) >= F.greatest(x, y) * least
-    stars = members.join(centre, ["i", "s"]).filter((F.col("rep") != F.col("hub")) & close(F.col("n"), F.col("hn"))).select(F.col("hub").alias("a"), F.col("rep").alias("b")).distinct()
-    edges = verified(stars, docs, width, least)
+    fame = members.groupBy("node").agg(F.sum("c").alias("fame"))
+    known = members.join(fame, "node")
+    centre = put(known.groupBy("i", "s").agg(F.max(F.struct("fame", (-F.col("node")).alias("m"), F.col("n").alias("cn"))).alias("x")).select("i", "s", (-F.col("x.m")).alias("hub"), F.col("x.cn").alias("hn")))
+    close = lambda x, y: F.least(x, y) + width >= F.greatest(x, y) * least
+    stars = members.join(centre, ["i", "s"]).filter((F.col("node") != F.col("hub")) & close(F.col("n"), F.col("hn"))).select(F.col("hub").alias("a"), F.col("node").alias("b")).distinct()
+    edges = verified(stars, texts, docs, width, least)
     labels = components(edges.select(F.col("a").alias("src"), F.col("b").alias("dst")), [])
     # Second round, inside buckets whose texts are still in different groups; large ones in pieces.
-    placed = members.join(labels.select(F.col("node").alias("rep"), "label"), "rep", "left").withColumn("label", F.coalesce("label", "rep"))
+    placed = members.join(labels.select("node", "label"), "node", "left").withColumn("label", F.coalesce("label", "node"))
     open_ = placed.groupBy("i", "s").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.count("*").alias("c")).filter("lo <> hi").select("i", "s", F.ceil(F.col("c") / PIECE).cast("int").alias("p"))
     rest = put(placed.drop("c").join(open_, ["i", "s"]))
-    own = F.pmod(F.xxhash64("rep"), F.col("p")).cast("int")
-    pieces = (rest.join(texts_of(rest.select(F.col("rep").alias("doc_id")), docs).withColumnRenamed("doc_id", "rep"), "rep").withColumn("own", own).withColumn("with", F.explode(F.expr("sequence(0, p - 1)")))
-              .select("i", "s", "rep", "label", "sketch", "w", "own", F.least("own", "with").alias("lo"), F.greatest("own", "with").alias("hi")))
+    own = F.pmod(F.xxhash64("node"), F.col("p")).cast("int")
+    pieces = (rest.join(texts_of(rest.select("node"), texts, docs), "node").withColumn("own", own).withColumn("with", F.explode(F.expr("sequence(0, p - 1)")))
+              .select("i", "s", "node", "label", "sketch", "w", "own", F.least("own", "with").alias("lo"), F.greatest("own", "with").alias("hi")))
 
     def joined(group: pa.Table) -> pa.Table:
         sketch = np.array(group.column("sketch").to_pylist(), np.int64)
         lo, hi, mine = (group.column(c).to_numpy() for c in ("lo", "hi", "own"))
-        found = joining(group.column("rep").to_numpy(), group.column("label").to_numpy(), sketch, [words_of(w) for w in group.column("w").to_pylist()], group.column("i")[0].as_py(),
+        found = joining(group.column("node").to_numpy(), group.column("label").to_numpy(), sketch, [words_of(w) for w in group.column("w").to_pylist()], group.column("i")[0].as_py(),
                         None if lo[0] == hi[0] else mine == hi[0], width, least)
         return pa.table({"a": pa.array([a for a, _ in found], pa.int64()), "b": pa.array([b for _, b in found], pa.int64())})
 
     extra = put(pieces.groupBy("i", "s", "lo", "hi").applyInArrow(joined, "a bigint, b bigint"))
     if not extra.isEmpty():
         labels = components(edges.unionByName(extra).select(F.col("a").alias("src"), F.col("b").alias("dst")), [])
-    named = texts.select("key", "rep").join(labels.select(F.col("node").alias("rep"), "label"), "rep", "left").select("key", F.coalesce("label", "rep").alias("label"))
-    linked = live.select("doc_id", "key").join(named, "key").select("doc_id", F.col("label").alias("class_id"))
-    alone = table.filter("n = 0 or doc_id is null").select("doc_id", F.col("doc_id").alias("class_id"))
-    return linked.unionByName(alone).withColumn("kept", F.coalesce(F.col("doc_id") == F.col("class_id"), F.lit(True)))
+    named = texts.select("key", "node", "rep").join(labels.select("node", "label"), "node", "left").select("key", "rep", F.coalesce("label", "node").alias("label"))
+    chosen = named.groupBy("label").agg(F.min(F.struct("rep", "key")).alias("m")).select("label", F.col("m.rep").alias("class_id"), F.col("m.key").alias("shown"))
+    linked = live.select("doc_id", "key").join(named.drop("rep").join(chosen, "label"), "key").select("doc_id", "class_id", ((F.col("doc_id") == F.col("class_id")) & (F.col("key") == F.col("shown"))).alias("kept"), "key")
+    alone = table.filter("n = 0 or doc_id is null").select("doc_id", F.col("doc_id").alias("class_id"), F.lit(True).alias("kept"), "key")
+    return linked.unionByName(alone).select("doc_id", "class_id", "kept", F.lower(F.hex("key")).alias("text_key"))
