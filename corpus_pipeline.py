@@ -32,16 +32,19 @@ def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
     model = langid.train(docs)
     if not model.langs:
         return docs
-    said = langid.predictor(model)("text")
-    return docs.withColumn("_said", said).filter((F.col("_said.lang_pred") != langid.UNKNOWN) & (F.col("_said.score") >= min(LEAST_SURE, 1.2 / len(model.langs)))).select(*docs.columns)
+    sure = min(LEAST_SURE, 1.2 / len(model.langs))
+    said = docs.select(F.struct(*docs.columns).alias("row"), langid.predictor(model)("text").alias("said"))  # whatever else the columns are called
+    return said.filter((F.col("said.lang_pred") != langid.UNKNOWN) & (F.col("said.score") >= sure)).select("row.*")
 
 
 def near_copy_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of exact and near copies: the one with the smallest id. Rows that
-    repeat an id leave one; documents without an id stay."""
-    kept = neardup.classes(docs).filter("kept and doc_id is not null").select("doc_id").distinct()
-    named = docs.join(kept, "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    return named.unionByName(docs.filter("doc_id is null"))
+    repeat an id and its text leave one; an id on several texts keeps those that stand for their
+    group; documents without an id stay."""
+    whole = docs.select("doc_id", F.struct(*docs.columns).alias("row"), F.md5(F.coalesce("text", F.lit("")).cast("binary")).alias("text_key"))
+    kept = neardup.classes(docs).filter("kept and doc_id is not null").select("doc_id", "text_key").distinct()
+    named = whole.join(kept, ["doc_id", "text_key"], "left_semi").dropDuplicates(["doc_id", "text_key"])
+    return named.unionByName(whole.filter("doc_id is null").select(*named.columns)).select("row.*")
 
 
 def mixture_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
