@@ -127,6 +127,8 @@ def test_quality_learns_and_scores_all(spark, messy, none):
     assert out[5000]["score"] == out[5001]["score"] and all(0 <= r["score"] <= 1 for r in out.values())
     assert {r["score"] for r in quality.classify(messy, labels.limit(0)).collect()} == {0.5}
     assert quality.classify(none, labels).collect() == []
+    taken = quality.classify(docs.withColumn("score", F.lit("own")).withColumn("score_", F.lit(2)).withColumn("Predicted", F.lit(3)), labels)
+    assert taken.columns[-5:] == ["score__", "score_", "Predicted_", "score", "predicted"] and taken.select("score__").distinct().collect() == [("own",)]
 
 
 def test_gam_uses_pairs():
@@ -272,6 +274,8 @@ def test_language_words_then_grams(spark, messy, none):
     assert all(out[d]["lang_pred"] == lang for d, _, lang in docs)
     assert [out[d]["lang_pred"] for d in (500, 501, 502, 503, 504, 505)] == ["en", "de", "und", "und", "und", "en"]
     assert all(0 <= r["score"] <= 1 for r in out.values())
+    taken = langid.identify(messy.withColumn("score", F.lit("own")).withColumn("said", F.lit(1)).withColumn("row", F.lit(2)))
+    assert taken.select("score_", "score", "said", "row").head()["score_"] == "own"
     odd = langid.identify(messy.drop("n", "label")).collect()
     assert len(odd) == messy.count()
     assert {r["lang_pred"] for r in langid.identify(messy, F.lit(False)).collect()} == {"und"} and langid.identify(none).collect() == []
@@ -286,7 +290,7 @@ def test_hilbert_curve_steps_by_one_cell(spark):
 
 
 def test_hilbert_shards_are_even(spark, messy, none):
-    dims = {"source": hilbert.ordered_number(F.col("source")), "size": F.octet_length("text").cast("bigint")}
+    dims = {"source": F.col("source"), "size": F.octet_length("text").cast("bigint")}
     rows = hilbert.shard(messy, dims, shards=4).collect()
     assert len(rows) == messy.count()
     sizes = Counter(r["shard"] for r in rows)
@@ -295,6 +299,12 @@ def test_hilbert_shards_are_even(spark, messy, none):
         assert sorted(r["slot"] for r in rows if r["shard"] == s) == list(range(sizes[s]))
     assert sorted(r["size"] for r in rows) == sorted(len((r["text"] or "").encode()) + 8 for r in messy.collect())
     assert hilbert.shard(none, dims).collect() == []
+    # Long names with a common beginning lie apart on the curve.
+    years = spark.createDataFrame([(i, "x", f"common_crawl_{2000 + i % 4}") for i in range(400)], "doc_id long, text string, source string")
+    by = {}
+    for r in hilbert.shard(years, {"source": F.col("source")}, shards=4, keep=["source"]).collect():
+        by.setdefault(r["shard"], set()).add(r["source"])
+    assert sorted(map(sorted, by.values())) == [[f"common_crawl_{2000 + i}"] for i in range(4)]
 
 
 def test_topk_equals_brute_force(spark):
@@ -426,3 +436,19 @@ def test_stages_take_odd_rows(spark, messy, none, tmp_path):
     kept = [r["doc_id"] for r in corpus_pipeline.near_copy_stage(spark, messy, "").collect()]
     assert len(kept) == len(set(kept)) and None in kept and 106 not in kept and 5 in kept
     assert {101, 102, 103}.isdisjoint(r["doc_id"] for r in corpus_pipeline.language_stage(spark, messy, "").collect())
+
+
+def test_words_and_other_tokenizers(spark, messy):
+    path = pytest.importorskip("public_tokenizers").path
+    from tokenizers import Tokenizer
+    rng = random.Random(6)
+    marks = [*"abzAZ019.,'!-_\"()<|>", "'s", "'re", chr(0xE9), chr(0xC0), chr(0xD7), chr(0xF7), chr(0xAA), chr(0xB5), chr(0xDF), chr(0x130), chr(0x301), chr(0x65E5), "<|endoftext|>"]
+    words = ["".join(rng.choice(marks) for _ in range(rng.randint(1, 7))) for _ in range(8000)]
+    made, tok = tokens.WordEncoder(path("word_bpe_49k.json")), Tokenizer.from_file(path("word_bpe_49k.json"))
+    for _ in range(2):  # once anew, once remembered
+        ids, sizes = made.table(words)
+        assert [r.tolist() for r in np.split(ids, np.cumsum(sizes)[:-1])] == [tok.encode(w, add_special_tokens=False).ids for w in words]
+    other = Tokenizer.from_file(path("byte_bpe_50k.json"))
+    folder = f"{checkpoint_dir(spark)}/{uuid.uuid4().hex}"
+    tokens.write(messy, folder, path("byte_bpe_50k.json"), end=50256)
+    assert sorted(r["ids"] for r in tokens.documents(spark, folder).collect()) == sorted(other.encode(r["text"] or "", add_special_tokens=False).ids + [50256] for r in messy.collect())

@@ -3,13 +3,14 @@
 from __future__ import annotations
 
 import sys
+from collections.abc import Sequence
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 import zstandard
 from pyspark import cloudpickle
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
@@ -27,6 +28,20 @@ def remainder(doc_id: Column, m: int) -> Column:
     return F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")) % m
 
 
+def aside(docs: DataFrame, names: Sequence[str]) -> DataFrame:
+    """``docs`` with columns that are called like one of ``names`` renamed: underscores are appended
+    until the name is free."""
+    taken = {c.lower() for c in docs.columns} | set(names)
+    for c in docs.columns:
+        if c.lower() in names:
+            free = c + "_"
+            while free.lower() in taken:
+                free += "_"
+            taken.add(free.lower())
+            docs = docs.withColumnRenamed(c, free)
+    return docs
+
+
 def pack(values: np.ndarray) -> bytes:
     """A number column as bytes: equal byte positions side by side, then zstd."""
     values = np.ascontiguousarray(values)

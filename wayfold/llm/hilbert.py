@@ -12,7 +12,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from wayfold.operators.ordered import ordinals
+from wayfold.operators.ordered import ordinals, running
 from wayfold.session import cut
 
 BITS = 5
@@ -20,9 +20,14 @@ BITS = 5
 CELL_ROWS = 50000
 
 
-def ordered_number(value: Column) -> Column:
-    """A string's first seven bytes as a number that keeps its order."""
-    return F.conv(F.hex(F.rpad(F.substring(F.encode(value, "UTF-8"), 1, 7), 7, F.lit(b"\0"))), 16, 10).cast("bigint")
+def ranked(rows: DataFrame, name: str) -> DataFrame:
+    """``rows`` with the values of a string column replaced by their rank by rows: how many rows have a
+    smaller value. Whole values are compared; null stays null."""
+    kinds = rows.filter(F.col(name).isNotNull()).groupBy(name).agg(F.count("*").alias("_n"))
+    # Ranges of the sorted values are summed apart, so no task sees them all.
+    parted = cut(kinds.repartitionByRange(name).select(F.col(name).alias("_value"), "_n", F.lit(1).alias("_one"), F.spark_partition_id().alias("_range")))
+    summed = running(parted, ["_one"], ["_value"], {"_rank": (F.col("_n"), "sum")}, F.col("_range"), exclusive=True)
+    return rows.join(summed.select("_value", "_rank"), F.col(name) == F.col("_value"), "left").drop("_value").withColumn(name, F.col("_rank")).drop("_rank")
 
 
 def index(cells: Sequence[Column], bits: int = BITS) -> Column:
@@ -72,7 +77,8 @@ def curve(rows: DataFrame, dims: Sequence[str], bits: int = BITS) -> DataFrame:
 
 def shard(docs: DataFrame, dims: dict[str, Column], shards: int = 24, doc_id: str = "doc_id", text: str = "text", keep: Sequence[str] = ()) -> DataFrame:
     """One row per row of ``docs``: doc_id, the ``keep`` columns, size (UTF-8 bytes of the text plus
-    8), text_crc32 (null for a null text), shard, slot (from 0 in each shard) and _h.
+    8), text_crc32 (null for a null text), shard, slot (from 0 in each shard) and _h. Dimensions are
+    numbers or strings; whole strings are ranked.
 
     Shards are runs of the curve whose row counts differ by one at most. Rows of one cell are
     ordered by a hash of the id, the id and the text's checksum. With fewer rows than shards some
@@ -81,16 +87,18 @@ def shard(docs: DataFrame, dims: dict[str, Column], shards: int = 24, doc_id: st
     names = [f"_d{i}" for i in range(len(dims))]
     narrow = cut(docs.select(F.col(doc_id).alias("doc_id"), *[F.col(k) for k in keep], size.alias("size"), F.crc32(F.col(text).cast("binary")).alias("text_crc32"),
                              *[c.alias(n) for n, c in zip(names, dims.values())]))
+    for name in [f.name for f in narrow.schema if f.name in names and f.dataType.simpleString() == "string"]:
+        narrow = cut(ranked(narrow, name))
     total = narrow.count()
     placed = cut(curve(narrow, names).drop(*names))
     # At most 2^(bits * dims) cells, whatever the number of rows.
     cells = placed.groupBy("_h").agg(F.count("*").alias("_n"))
     before = F.coalesce(F.sum("_n").over(Window.orderBy("_h").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     offsets = cut(cells.select("_h", before.alias("_before"), F.ceil(F.col("_n") / CELL_ROWS).alias("_parts")))
-    ready = placed.join(offsets, "_h").withColumn("_part", F.pmod(F.xxhash64("doc_id"), F.col("_parts")))
-    ranked = ordinals(ready, ["_h"], ["_part", "doc_id", "text_crc32"], F.col("_part"), "_rank")
+    ready = placed.join(offsets, "_h").withColumn("_part", F.pmod(F.xxhash64("doc_id", "size", "text_crc32"), F.col("_parts")))
+    numbered = ordinals(ready, ["_h"], ["_part", "doc_id", "text_crc32"], F.col("_part"), "_rank")
     place = F.col("_before") + F.col("_rank") - 1
     at = F.floor(place * shards / F.lit(max(total, 1)).cast("decimal(20,0)")).cast("int")
-    return (ranked.withColumn("_place", place.cast("bigint")).withColumn("shard", at)
+    return (numbered.withColumn("_place", place.cast("bigint")).withColumn("shard", at)
             .withColumn("slot", F.expr(f"_place - (shard * {total}L + {shards - 1}) div {shards}").cast("bigint"))
             .select("doc_id", *keep, "size", "text_crc32", "shard", "slot", "_h"))

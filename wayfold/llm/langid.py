@@ -14,7 +14,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from wayfold.llm.arrays import by_value, slices, split_words
+from wayfold.llm.arrays import aside, by_value, slices, split_words
 
 by_value(__name__)
 
@@ -142,7 +142,9 @@ def identify(docs: DataFrame, teach: Column | None = None, **bounds) -> DataFram
     """``docs`` with lang_pred and score (the winner's share, 0 to 1) from the whole text alone.
 
     Learns from the rows where ``teach`` holds and lang is not null. Texts that are null or have
-    no letter get ``und`` and 0, and so does every text when nothing could be learned. ``docs``
-    must have no columns named lang_pred or score."""
+    no letter get ``und`` and 0, and so does every text when nothing could be learned. Columns of
+    ``docs`` called lang_pred or score come back as lang_pred_ and score_."""
     model = train(docs if teach is None else docs.filter(teach), **bounds)
-    return docs.withColumn("_said", predictor(model)("text")).select(*docs.columns, "_said.lang_pred", "_said.score")
+    free = aside(docs, ["lang_pred", "score"])
+    said = free.select(F.struct(*free.columns).alias("row"), predictor(model)("text").alias("said"))
+    return said.select("row.*", "said.lang_pred", "said.score")

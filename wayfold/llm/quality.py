@@ -18,7 +18,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from wayfold.llm.arrays import by_value
+from wayfold.llm.arrays import aside, by_value
 
 by_value(__name__)
 
@@ -197,8 +197,9 @@ def classify(docs: DataFrame, labels: DataFrame, teach: Column | None = None, te
     """``docs`` with the columns score (0 to 1, higher: quality 1 likelier) and predicted (0 or 1).
 
     Learns from the labelled rows where ``teach`` holds (all by default). Every row is scored by
-    its whole text alone; null and empty texts score alike; ``docs`` must have no columns named
-    score or predicted."""
+    its whole text alone; null and empty texts score alike. Columns of ``docs`` called score or
+    predicted come back as score_ and predicted_."""
     taught = docs if teach is None else docs.filter(teach)
     model = train(taught.select("doc_id", F.col(text).alias("text")), labels, sample_rows)
-    return docs.withColumn("score", scorer(model)(text)).withColumn("predicted", (F.col("score") >= 0.5).cast("int"))
+    free = aside(docs, ["score", "predicted"])
+    return free.select("*", scorer(model)(text).alias("score")).withColumn("predicted", (F.col("score") >= 0.5).cast("int"))

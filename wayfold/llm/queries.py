@@ -56,7 +56,7 @@ def op5_language_id(spark, sf_dir):
 
 
 def op6_hilbert_shards(spark, sf_dir):
-    dims = {"source": hilbert.ordered_number(F.col("source")), "lang": hilbert.ordered_number(F.col("lang")), "size": F.octet_length("text").cast("bigint")}
+    dims = {"source": F.col("source"), "lang": F.col("lang"), "size": F.octet_length("text").cast("bigint")}
     out = hilbert.shard(_table(spark, sf_dir, "documents"), dims)
     return out.select("doc_id", "size", F.coalesce("text_crc32", F.crc32(F.lit("").cast("binary"))).alias("text_crc32"), F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"), F.col("_h").alias("curve_index"))
 

@@ -10,11 +10,14 @@ A text is split at white space first; each distinct word of a slice of documents
 
 from __future__ import annotations
 
+import json
 import re
 import zlib
+from array import array
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -23,14 +26,19 @@ from wayfold.session import cut
 
 by_value(__name__)
 
-#: Bytes of coded data in one segment of a file, files at most, remembered pieces of words per worker.
-SEGMENT, FILES, MEMORY = 4 << 20, 4096, 400000
+#: Bytes of coded data in one segment of a file, files at most (two segments each up to 512 GB of
+#: coded data), remembered words per worker, words that go to the library at a time.
+SEGMENT, FILES, MEMORY, BATCH = 4 << 20, 1 << 16, 400000, 4096
 #: Lengths of the four values of a control byte (low bits first), and their sum.
 LENGTHS = (np.arange(256)[:, None] >> np.array([0, 2, 4, 6]) & 3) + 1
 #: Words of these characters need no Unicode normalisation and lower-case letter by letter.
 PLAIN = re.compile("[\x21-\x7e\xc0-\xff]+")
 #: The pieces that this tokenizer's own split rule makes of such a word.
 PIECES = re.compile("'s|'t|'re|'ve|'m|'ll|'d|[a-z\xdf-\xf6\xf8-\xff]+|[0-9]|[^\\sa-z0-9\xdf-\xf6\xf8-\xff]+")
+#: How a file says so, and its normaliser.
+NORMALIZER = {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": r"\s+"}, "content": " "}, {"type": "Lowercase"}]}
+PRE_TOKENIZER = {"type": "Sequence", "pretokenizers": [{"type": "Split", "pattern": {"Regex": r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"}, "behavior": "Removed", "invert": True},
+                                                       {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False}]}
 
 
 def encode(values: np.ndarray, sizes: np.ndarray) -> tuple[list[bytes], list[bytes]]:
@@ -67,41 +75,61 @@ def decode(control: bytes, data: bytes, n: int) -> np.ndarray:
 class WordEncoder:
     """Ids of single words. White space always ends a piece in this tokenizer, so a text's ids are
     those of its words one after the other. Plain words are cut into pieces here and each new piece
-    goes to the library's model; all others take the library's whole path."""
+    goes to the library's model; all others take the library's whole path. Of a file with another
+    normaliser or split rule whole texts take the place of words."""
 
     def __init__(self, file: str):
         from tokenizers import Tokenizer
         self.whole = Tokenizer.from_file(file)
-        self.model, self.memory = self.whole.model, {}
+        self.tokenize, self.memory = self.whole.model.tokenize, {}
+        with open(file, encoding="utf-8") as f:
+            told = json.load(f)
+        self.by_word = told.get("normalizer") == NORMALIZER and told.get("pre_tokenizer") == PRE_TOKENIZER and told.get("post_processor") is None
         byte_chars = [c for c in range(256) if 33 <= c <= 126 or 161 <= c <= 172 or c >= 174]
         table = {c: chr(c) for c in byte_chars} | {c: chr(256 + i) for i, c in enumerate(x for x in range(256) if x not in set(byte_chars))}
         self.letters = {c: "".join(table[b] for b in chr(c).encode()) for c in range(0x21, 0x100)}
 
     def piece(self, text: str) -> bytes:
-        ids = np.array([t.id for t in self.model.tokenize(text.translate(self.letters))], np.uint32).tobytes()
+        ids = array("I", [t.id for t in self.tokenize(text.translate(self.letters))]).tobytes()
         if len(self.memory) < MEMORY:  # what comes first is mostly what comes often
             self.memory[text] = ids
         return ids
 
-    def word(self, word: str) -> bytes:
-        known = self.memory.get(word)
-        if known is not None:
-            return known
-        if not PLAIN.fullmatch(word) or "<|" in word:
-            return np.array(self.whole.encode(word, add_special_tokens=False).ids, np.uint32).tobytes()
-        word = word.lower()
-        get, piece = self.memory.get, self.piece
-        if word.isalpha():
-            return get(word) or piece(word)
-        return b"".join([get(text) or piece(text) for text in PIECES.findall(word)])
+    def word(self, word: str) -> bytes | None:
+        """The ids of a plain word; None for others."""
+        if not (word.isascii() or PLAIN.fullmatch(word)) or "<|" in word:
+            return None
+        low, get, piece = word.lower(), self.memory.get, self.piece
+        if low.isalpha():
+            return get(low) or piece(low)
+        # Mostly letters and one mark or digit, which is a piece of its own.
+        parts = (low[:-1], low[-1]) if low[:-1].isalpha() else PIECES.findall(low)
+        ids = b"".join([get(text) or piece(text) for text in parts])
+        if len(self.memory) < MEMORY:
+            self.memory[word] = ids
+        return ids
 
     def table(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all words on end, and the number of ids of each."""
-        each = list(map(self.word, words))
+        get, word = self.memory.get, self.word
+        each = [get(w) or word(w) for w in words] if self.by_word else [None] * len(words)
+        odd = [i for i, ids in enumerate(each) if ids is None]
+        for a in range(0, len(odd), BATCH):
+            part = odd[a:a + BATCH]
+            for i, e in zip(part, self.whole.encode_batch([words[i] for i in part], add_special_tokens=False)):
+                each[i] = np.array(e.ids, np.uint32).tobytes()
+                if self.by_word and e.ids and len(words[i]) < 64 and len(self.memory) < MEMORY:
+                    self.memory[words[i]] = each[i]
         sizes = np.fromiter(map(len, each), np.int64, len(each)) // 4
         return np.frombuffer(b"".join(each), np.uint32), sizes
 
 
+def whole_texts(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, list[str]]:
+    """As ``split_words``, each text being one word."""
+    coded = pc.fill_null(texts.cast(pa.large_string()), "").dictionary_encode()
+    return np.ones(len(texts), np.int64), coded.indices.to_numpy(zero_copy_only=False).astype(np.int64), coded.dictionary.to_pylist()
+
+
 _ENCODERS: dict = {}
 
 
@@ -114,7 +142,7 @@ def blocks(docs: DataFrame, file: str, end: int) -> DataFrame:
         for batch in batches:
             for part in slices(batch, "text", 20 << 20):
                 # Case is left to the tokenizer: it lowers more than A-Z.
-                sizes, at, known = split_words(part.column("text"), lower=False)
+                sizes, at, known = split_words(part.column("text"), lower=False) if _ENCODERS[file].by_word else whole_texts(part.column("text"))
                 ids, per = _ENCODERS[file].table(known)
                 yield pa.RecordBatch.from_pydict({"doc_ids": [part.column("doc_id").to_pylist()], "sizes": [pack(sizes.astype(np.int32))], "words": [pack(at.astype(np.int32))],
                                                   "ids": [pack(np.append(ids, end).astype(np.uint32))], "per": [pack(np.append(per, 1).astype(np.int32))]}, schema=arrow)
@@ -214,7 +242,7 @@ def write(docs: DataFrame, path: str, file: str, end: int = 1) -> None:
     ranks = {r["id"]: i for i, r in enumerate(counts)}
     total = sum(r["n"] for r in counts)
     files = min(FILES, total // (2 * SEGMENT) + 1)
-    cuts = docs.agg(F.percentile_approx("doc_id", [i / files for i in range(1, files)], 10 * FILES).alias("c")).head()["c"] if files > 1 else []
+    cuts = docs.agg(F.percentile_approx("doc_id", [i / files for i in range(1, files)], 10 * max(files, 4096)).alias("c")).head()["c"] if files > 1 else []
     ordered = coded(table, ranks, sorted(set(cuts or []))).repartition(int(files), "bucket").sortWithinPartitions("bucket", "doc_id", "n", "data")
     spark = docs.sparkSession
     spark.createDataFrame([(i, r["id"], r["n"]) for i, r in enumerate(counts)], "rank int, id bigint, n bigint").coalesce(1).write.parquet(f"{path}/ranks")
