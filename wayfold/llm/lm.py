@@ -19,6 +19,7 @@ import tempfile
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 import zstandard
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
@@ -80,13 +81,12 @@ def _tokenised(docs: DataFrame, shards: int) -> DataFrame:
                 shard = (hashed % np.uint64(shards)).astype(np.int64)
                 block, out = (task << 32) | number, []
                 number += 1
+                order = pc.sort_indices(pa.table({"shard": shard, "word": pa.array(words, pa.large_string())}), sort_keys=[("shard", "ascending"), ("word", "ascending")]).to_numpy()
                 place = np.empty(len(words), np.int32)
-                begin = 0
-                for s, own in _by_shard(shard):
-                    own = own[np.argsort(np.array(words, object)[own], kind="stable")]
-                    place[own] = np.arange(begin, begin + len(own))
-                    begin += len(own)
-                    out.append(("ask", block, s, [zstandard.compress("\n".join([words[i] for i in own]).encode("utf-8", "surrogatepass"), 1), pack(counts[own].astype(np.int64))]))
+                place[order] = np.arange(len(words))
+                edges = np.flatnonzero(np.diff(shard[order])) + 1
+                for own in np.split(order, edges) if len(words) else []:
+                    out.append(("ask", block, int(shard[own[0]]), [zstandard.compress("\n".join([words[i] for i in own.tolist()]).encode("utf-8", "surrogatepass"), 1), pack(counts[own].astype(np.int64))]))
                 ids = part.column("doc_id").to_pylist()
                 held = np.array([d is None for d in ids])
                 out.append(("state", block, None, [pack(v) for v in (np.array([d or 0 for d in ids], np.int64), held.astype(np.uint8), train.astype(np.uint8), sizes.astype(np.int32), place[at])]))
@@ -126,6 +126,13 @@ def _serve_words(shards: int):
     return run
 
 
+def _summed(batches):
+    """Distinct words and words in all of the vocabulary's shards."""
+    for batch in batches:
+        sums = np.array([np.frombuffer(b, np.int64) for b in batch.column(0).to_pylist()]).reshape(-1, 2).sum(0)
+        yield pa.RecordBatch.from_pydict({"kinds": sums[:1], "total": sums[1:]})
+
+
 def _distinct(columns: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
     """Sorted distinct rows of the columns: position of one of each, and the row of each entry."""
     key = columns[0]
@@ -216,7 +223,18 @@ class _Slice:
     """A slice on its way up the levels: for each position the code of its probability so far and
     the known n-gram that ends there."""
 
+    SAVED = ("ids", np.int64), ("null", np.uint8), ("train", np.uint8), ("sizes", np.int32), ("stream", np.int32), ("gid", np.int64), ("base", np.float64), ("known", np.int32), ("code", np.uint16), ("node", np.int32), ("count", np.int64), ("length", np.int32)
+
     def __init__(self, body, total: int, kinds: int, weight: float):
+        if len(body) == len(self.SAVED):  # on a level already
+            for (name, kind), packed in zip(self.SAVED, body):
+                setattr(self, name, unpack(packed, kind))
+            self.gid, self.node, self.length, self.weight = np.cumsum(self.gid), self.node.astype(np.int64), int(self.length[0]), weight
+            ends = np.cumsum(self.sizes + 2)
+            self.first = ends - self.sizes - 2
+            self.starts = np.zeros(len(self.stream), bool)
+            self.starts[self.first] = True
+            return
         kind = (np.int64, np.uint8, np.uint8, np.int32, np.int32, np.int64, np.int64)
         self.ids, self.null, self.train, self.sizes, self.stream, self.gid, self.count = (unpack(b, k) for b, k in zip(body, kind))
         self.gid = np.cumsum(self.gid)
@@ -231,9 +249,13 @@ class _Slice:
         self.code = quantise(log_p)
         self.node = np.where(self.gid[self.stream] >= 0, self.stream, -1).astype(np.int64)
 
-    def question(self, shards: int, hot: int):
+    def save(self) -> list[bytes]:
+        values = {name: getattr(self, name) for name, _ in self.SAVED} | {"gid": np.diff(self.gid, prepend=0), "length": np.array([self.length])}
+        return [pack(values[name].astype(kind)) for name, kind in self.SAVED]
+
+    def question(self, shards: int, hot: int, send: bool = True):
         """Distinct n-grams one longer than those known: the known one that ends before a position,
-        and the word there. Returns the columns to send by shard, and keeps where they came from."""
+        and the word there. Keeps where they came from; returns the columns to ``send`` by shard."""
         context = np.concatenate(([-1], self.node[:-1]))
         context[self.starts] = -1
         self.has = context >= 0
@@ -246,7 +268,8 @@ class _Slice:
         around, parts, order = self.count[context[one]], [], []
         for s, own in _by_shard(_spread(rows, around, shards, hot)):
             # Rows ascend, so differences of the leading ids compress best.
-            parts.append((s, [pack(np.diff(rows[own, j], prepend=0)) for j in range(rows.shape[1])] + [pack(around[own]), pack(counts[own].astype(np.int32)), pack(self.code[one[own]])]))
+            if send:
+                parts.append((s, [pack(np.diff(rows[own, j], prepend=0)) for j in range(rows.shape[1])] + [pack(around[own]), pack(counts[own].astype(np.int32)), pack(self.code[one[own]])]))
             order.append(own)
         self.order = np.concatenate(order) if order else np.empty(0, np.int64)
         self.at = np.full(len(self.stream), -1, np.int64)  # the position's n-gram; they ascend by their ids
@@ -265,28 +288,48 @@ class _Slice:
         backed[found] = codes[self.at[found]]
         self.code, self.node, self.length = backed.astype(np.uint16), np.where(found, self.at, -1), self.length + 1
 
-    def climb(self, answers, level: int, shards: int, hot: int):
-        """Up to ``level`` by the answers of all levels below."""
-        for k in range(2, level + 1):
-            self.question(shards, hot)
-            self.answer([a["body"] for a in sorted((a for a in answers if a["kind"] == f"answer{k}"), key=lambda a: a["shard"])])
+    def climb(self, answers, shards: int, hot: int):
+        """One level up, by the answers to the last question."""
+        self.question(shards, hot, send=False)
+        self.answer([a["body"] for a in sorted(answers, key=lambda a: a["shard"])])
         return self
 
 
-def _asking(level: int, shards: int, hot: int, facts, turn: int, turns: int):
+def _asks(x: _Slice, block: int, shards: int, hot: int, turns: int):
+    """The next question's rows, one batch per turn of shards."""
+    parts = x.question(shards, hot)
+    for turn in range(turns):
+        if own := [(f"ask{turn}", block, s, body) for s, body in parts if s % turns == turn]:
+            yield _rows(own)
+
+
+def _first(shards: int, hot: int, facts):
+    """The slices' first question, about pairs of words."""
+    def run(batches):
+        for batch in batches:
+            for row in batch.to_pylist():
+                yield from _asks(_Slice(row["body"], *facts), row["block"], shards, hot, 1)
+
+    return run
+
+
+def _next(shards: int, hot: int, facts, turns: int):
+    """Slices one level up, and what they ask there."""
     def run(batches):
         for batch in batches:
             for row in batch.to_pylist():
-                yield _rows([("ask", row["block"], s, body) for s, body in _Slice(row["body"], *facts).climb(row["answers"], level - 1, shards, hot).question(shards, hot) if s % turns == turn])
+                x = _Slice(row["body"], *facts).climb(row["answers"], shards, hot)
+                yield _rows([("state", row["block"], None, x.save())])
+                yield from _asks(x, row["block"], shards, hot, turns)
 
     return run
 
 
-def _finish(order: int, shards: int, hot: int, facts):
+def _finish(shards: int, hot: int, facts):
     def run(batches):
         for batch in batches:
             for row in batch.to_pylist():
-                x = _Slice(row["body"], *facts).climb(row["answers"], order, shards, hot)
+                x = _Slice(row["body"], *facts).climb(row["answers"], shards, hot)
                 score = np.add.reduceat(np.where(x.starts, 0.0, restore(x.code)), x.first)
                 yield pa.RecordBatch.from_pydict({"doc_id": pa.array(x.ids, pa.int64(), mask=x.null.astype(bool)), "train": pa.array(x.train.astype(bool)), "n_tokens": pa.array(x.sizes.astype(np.int64) + 1),
                                                   "n_known": pa.array(x.known, pa.int64()), "base_score": pa.array(x.base, pa.float64()), "score": pa.array(score, pa.float64())})
@@ -334,8 +377,8 @@ def score(docs: DataFrame, teach: Column | None = None, order: int = 3, weight:
 
     texts = put(_tokenised(rows, shards), "kind")
     words = answered(texts.filter("kind = 'ask'"), 1, _serve_words(shards))
-    sums = [np.frombuffer(r["s"], np.int64) for r in words.filter("kind = 'model'").select(F.element_at("body", 3).alias("s")).collect()]
-    kinds, total = int(sum(s[0] for s in sums)) + (train_docs > 0), int(sum(s[1] for s in sums)) + train_docs
+    sums = words.filter("kind = 'model'").select(F.element_at("body", 3).alias("s")).mapInArrow(_summed, "kinds bigint, total bigint").agg(F.sum("kinds").alias("kinds"), F.sum("total").alias("total")).head()
+    kinds, total = (sums["kinds"] or 0) + (train_docs > 0), (sums["total"] or 0) + train_docs
     facts = (total, kinds, weight)
     states = put(_joined(texts.filter("kind = 'state'"), [words]).mapInArrow(_with_words(train_docs), SCHEMA))
     drop(texts)
@@ -343,15 +386,22 @@ def score(docs: DataFrame, teach: Column | None = None, order: int = 3, weight:
         drop(words)
     levels, answers = [(1, words)], []
     for level in range(2, order + 1):
+        # Each level climbs once: the slice as it stands there is written, with what it asks next.
         # Longer n-grams are asked about in turns of shards, so fewer of them are on disk at once.
-        below, turns = list(answers), level - 1
+        turns = level - 1
+        asks = put(states.mapInArrow(_first(shards, hot, facts), SCHEMA) if level == 2 else _joined(states, answers).mapInArrow(_next(shards, hot, facts, turns), SCHEMA), "kind")
+        if level > 2:
+            for table in [states if level == 3 else below, *([] if save else answers)]:
+                drop(table)
+            below, states = asks, asks.filter("kind = 'state'").select("block", "body")
+        answers = []
         for turn in range(turns):
-            asks = _joined(states, below).mapInArrow(_asking(level, shards, hot, facts, turn, turns), SCHEMA)
-            answers.append(answered(asks, level, _serve(level, weight), turn, turns))
+            answers.append(answered(asks.filter(F.col("kind") == f"ask{turn}"), level, _serve(level, weight), turn, turns))
             levels.append((level, answers[-1]))
+            drop(asks, f"kind=ask{turn}")
     if save:
         for level, part in levels:
             part.filter("kind = 'model'").withColumn("kind", F.lit(f"level{level}")).write.mode("append").parquet(save)
         spark.createDataFrame([("facts", 0, 0, [str(v).encode() for v in (shards, train_docs, order, weight)])], SCHEMA).write.mode("append").parquet(save)
-    done = _joined(states, answers).mapInArrow(_finish(order, shards, hot, facts), "doc_id bigint, train boolean, n_tokens bigint, n_known bigint, base_score double, score double")
+    done = _joined(states, answers).mapInArrow(_finish(shards, hot, facts), "doc_id bigint, train boolean, n_tokens bigint, n_known bigint, base_score double, score double")
     return done.withColumn("train_tokens", F.lit(total).cast("bigint"))
