@@ -13,48 +13,76 @@ CHECKPOINT_M, CLIMB_SHARE = 30.0, 0.9
 CROSSING_MIN_M, CROSSING_MAX_M = 15.0, 80.0
 CHECKPOINT_CELL = 0.0005
 LANDING_M, LANDING_DLAT, LANDING_DLON = 5_000.0, 0.05, 0.08
-SEGMENT_CELL = 0.02
+#: Cells in which track pieces look for targets before they are cut into points.
+COARSE_CELL = 0.004
 
 
-def _pieces(segs: DataFrame) -> DataFrame:
-    """Segments with the coarse cells they pass, one row per cell of each short piece.
+#: Cell sizes in degrees of the grid's levels. A target lies on the finest level whose cells are at
+#: least as wide as its radius, so few segments meet it that are far away.
+LEVELS = [0.001 * 4 ** i for i in range(8)]
+
+
+def _level(radius: Column) -> Column:
+    """The level of a radius in metres, counted from the finest."""
+    return sum([(radius / 110_000.0 > size).cast("int") for size in LEVELS[:-1]], F.lit(0))
+
+
+def _size(level: Column) -> Column:
+    return F.element_at(F.array(*map(F.lit, LEVELS)), level + 1)
+
+
+def _pieces(segs: DataFrame, levels: list[int]) -> DataFrame:
+    """Segments with the cells they pass on each of ``levels``, one row per cell of each short piece.
 
     Long segments are walked in steps of one cell, so their rows grow with length, not area."""
-    c = SEGMENT_CELL
+    c = F.col("_c")
     steps = F.greatest(F.lit(1), F.ceil(F.greatest(F.abs(F.col("lat2") - F.col("lat")), F.abs(F.col("lon2") - F.col("lon"))) / c).cast("int"))
-    walked = segs.withColumn("_n", steps).withColumn("_i", F.explode(F.sequence(F.lit(0), F.col("_n") - 1)))
+    leveled = segs.withColumn("level", F.explode(F.array(*map(F.lit, levels)))).withColumn("_c", _size(F.col("level")))
+    walked = leveled.withColumn("_n", steps).withColumn("_i", F.explode(F.sequence(F.lit(0), F.col("_n") - 1)))
 
     def at(a, b, i):
         return F.col(a) + (F.col(b) - F.col(a)) * i / F.col("_n")
 
+    def cells(low, high):
+        return F.explode(F.sequence(F.floor(low / c).cast("bigint"), F.floor(high / c).cast("bigint")))
+
     i = F.col("_i")
     ya, yb, xa, xb = at("lat", "lat2", i), at("lat", "lat2", i + 1), at("lon", "lon2", i), at("lon", "lon2", i + 1)
     eps = 1e-9
-    return (walked.withColumn("cy", F.explode(F.sequence(geo.cell(F.least(ya, yb) - eps, c), geo.cell(F.greatest(ya, yb) + eps, c))))
-            .withColumn("cx", F.explode(F.sequence(geo.cell(F.least(xa, xb) - eps, c), geo.cell(F.greatest(xa, xb) + eps, c)))).drop("_n", "_i"))
+    return (walked.withColumn("cy", cells(F.least(ya, yb) - eps, F.greatest(ya, yb) + eps))
+            .withColumn("cx", cells(F.least(xa, xb) - eps, F.greatest(xa, xb) + eps)).drop("_n", "_i", "_c"))
 
 
 def _target_cells(targets: DataFrame) -> DataFrame:
-    """Targets (tlat, tlon, radius) in every coarse cell within their radius."""
-    c = SEGMENT_CELL
+    """Targets (tlat, tlon, radius) in every cell of their level within their radius."""
+    c = F.col("_c")
     dlat = F.col("radius") / 110_000.0
     dlon = F.col("radius") / (110_000.0 * F.greatest(F.cos(F.radians(F.abs("tlat") + dlat)), F.lit(0.01)))
-    return (targets.withColumn("cy", F.explode(F.sequence(geo.cell(F.col("tlat") - dlat, c), geo.cell(F.col("tlat") + dlat, c))))
-            .withColumn("cx", F.explode(F.sequence(geo.cell(F.col("tlon") - dlon, c), geo.cell(F.col("tlon") + dlon, c)))))
 
+    def cells(low, high):
+        return F.explode(F.sequence(F.floor(low / c).cast("bigint"), F.floor(high / c).cast("bigint")))
 
-def near_segments(lines: DataFrame, targets: DataFrame, keys, with_single: bool = True) -> DataFrame:
-    """Rows (keys..., target columns..., metres) of targets within their radius of a segment.
+    leveled = targets.withColumn("level", _level(F.col("radius"))).withColumn("_c", _size(F.col("level")))
+    return leveled.withColumn("cy", cells(F.col("tlat") - dlat, F.col("tlat") + dlat)).withColumn("cx", cells(F.col("tlon") - dlon, F.col("tlon") + dlon)).drop("_c")
 
-    A line of a single point counts by its distance to that point when ``with_single``."""
+
+def near_candidates(lines: DataFrame, targets: DataFrame, keys, with_single: bool = True) -> DataFrame:
+    """Segments and targets that share a cell: what ``near_segments`` measures."""
     shaped = ordered.neighbours(lines, keys, {"lat2": ("lat", 1), "lon2": ("lon", 1), "_before": ("lat", -1)})
     lone = F.col("lat2").isNull() & F.col("_before").isNull()
     kept = shaped.filter(F.col("lat2").isNotNull() | lone) if with_single else shaped.filter("lat2 is not null")
     segs = kept.select(*keys, "lat", "lon", F.coalesce("lat2", "lat").alias("lat2"), F.coalesce("lon2", "lon").alias("lon2"), lone.alias("_lone"))
-    joined = _pieces(segs).join(_target_cells(targets), ["cy", "cx"])
+    levels = sorted(r[0] for r in targets.select(_level(F.col("radius"))).distinct().collect() if r[0] is not None)  # at most all levels
+    return _pieces(segs, levels or [0]).join(_target_cells(targets), ["level", "cy", "cx"]).drop("level")
+
+
+def near_segments(lines: DataFrame, targets: DataFrame, keys, with_single: bool = True) -> DataFrame:
+    """Rows (keys..., target columns..., metres) of targets within their radius of a segment.
+
+    A line of a single point counts by its distance to that point when ``with_single``."""
     metres = (F.when(F.col("_lone"), geo.distance_m("lat", "lon", "tlat", "tlon"))
               .otherwise(geo.segment_distance_m("tlat", "tlon", "lat", "lon", "lat2", "lon2")))
-    return joined.withColumn("metres", metres).filter(F.col("metres") <= F.col("radius")).select(*keys, *targets.columns, "metres")
+    return near_candidates(lines, targets, keys, with_single).withColumn("metres", metres).filter(F.col("metres") <= F.col("radius")).select(*keys, *targets.columns, "metres")
 
 
 def place_visits(points: DataFrame, places: DataFrame, keys=tracks.TRACK) -> DataFrame:
@@ -98,10 +126,43 @@ def near_points(dense: DataFrame, targets: DataFrame, metres: float = CHECKPOINT
     return own.join(cells, ["cy", "cx"]).filter(geo.distance_m("lat", "lon", "tlat", "tlon") <= metres).drop("cy", "cx")
 
 
+def points_near(points: DataFrame, targets: DataFrame, metres: float = CHECKPOINT_M, keys=tracks.TRACK) -> DataFrame:
+    """The points of ``tracks.densify_for_matching`` (keys..., seq, sub, lat, lon) of those pieces of the
+    tracks that pass near a target (tlat, tlon).
+
+    Segments are cut into pieces of at most one coarse cell, each known by the cell of its middle;
+    targets stand in all cells from which such a piece can reach them. Only pieces that meet one
+    are cut into points, so points grow with what is near and not with the tracks."""
+    c = COARSE_CELL
+    spaced = tracks.with_next(points, keys).withColumn("_n", F.coalesce(F.greatest(F.lit(1), F.floor(geo.distance_m("lat", "lon", "lat2", "lon2") / tracks.MATCH_SPACING).cast("int")), F.lit(1)))
+    extent = F.greatest(F.abs(F.col("lat2") - F.col("lat")), F.abs(F.col("lon2") - F.col("lon")))
+    parts = F.coalesce(F.least(F.col("_n"), F.greatest(F.lit(1), F.ceil(extent / c).cast("int"))), F.lit(1))
+    cut_up = spaced.withColumn("_k", parts).withColumn("_j", F.explode(F.sequence(F.lit(0), F.col("_k") - 1)))
+    first, after = F.floor(F.col("_j") * F.col("_n") / F.col("_k")).cast("int"), F.floor((F.col("_j") + 1) * F.col("_n") / F.col("_k")).cast("int")
+    middle = (F.col("_first") + F.col("_after") - 1) / 2 / F.col("_n")
+    placed = cut_up.withColumn("_first", first).withColumn("_after", after).filter("_after > _first")
+    placed = (placed.withColumn("_mlat", F.col("lat") + F.coalesce((F.col("lat2") - F.col("lat")) * middle, F.lit(0.0))).withColumn("_mlon", F.col("lon") + F.coalesce((F.col("lon2") - F.col("lon")) * middle, F.lit(0.0)))
+              .withColumn("cy", geo.cell("_mlat", c)))
+
+    def width(row):  # cells keep their width in metres towards the poles
+        return c / F.greatest(F.cos(F.radians(row * c)), F.lit(0.01))
+
+    placed = placed.withColumn("cx", F.floor(F.col("_mlon") / width(F.col("cy"))))
+    # A piece reaches at most one cell from its middle.
+    dlon = c + metres * 1.05 / (geo.METRES_PER_DEGREE_LON * F.greatest(F.cos(F.radians(F.abs("tlat") + c)), F.lit(0.01)))
+    rows = targets.select("tlat", "tlon", F.explode(F.sequence(geo.cell(F.col("tlat") - c - metres / 110_000.0, c), geo.cell(F.col("tlat") + c + metres / 110_000.0, c))).alias("cy"))
+    around = rows.select("cy", F.explode(F.sequence(F.floor((F.col("tlon") - dlon) / width(F.col("cy"))), F.floor((F.col("tlon") + dlon) / width(F.col("cy"))))).alias("cx")).distinct()
+    near = placed.join(around, ["cy", "cx"], "left_semi")
+    share = F.col("sub") / F.col("_n")
+    return (near.withColumn("sub", F.explode(F.sequence(F.col("_first"), F.col("_after") - 1)))
+            .select(*keys, "seq", "sub", F.when(F.col("sub") == 0, F.col("lat")).otherwise(F.col("lat") + (F.col("lat2") - F.col("lat")) * share).alias("lat"),
+                    F.when(F.col("sub") == 0, F.col("lon")).otherwise(F.col("lon") + (F.col("lon2") - F.col("lon")) * share).alias("lon")))
+
+
 def checkpoint_hits(points: DataFrame, checkpoints: DataFrame, keys=tracks.TRACK) -> DataFrame:
     """(keys..., route_id, idx): checkpoints within 30 m of the track."""
     targets = checkpoints.select("route_id", "idx", F.col("lat").alias("tlat"), F.col("lon").alias("tlon"))
-    dense = tracks.densify_for_matching(points, keys).select(*keys, "lat", "lon")
+    dense = points_near(points, targets, keys=keys).select(*keys, "lat", "lon")
     return near_points(dense, targets).select(*keys, "route_id", "idx").distinct()
 
 
@@ -112,7 +173,7 @@ def climb_matches(points: DataFrame, checkpoints: DataFrame, keys=tracks.TRACK)
     pass of the top; an end that is never passed leaves the coverage to decide."""
     sizes = checkpoints.groupBy("climb_id").agg(F.max("idx").alias("last"), F.count(F.lit(1)).alias("n"))
     targets = checkpoints.select("climb_id", "idx", F.col("lat").alias("tlat"), F.col("lon").alias("tlon"))
-    dense = tracks.densify_for_matching(points, keys).select(*keys, F.struct("seq", "sub").alias("pos"), "lat", "lon")
+    dense = points_near(points, targets, keys=keys).select(*keys, F.struct("seq", "sub").alias("pos"), "lat", "lon")
     passes = near_points(dense, targets).groupBy(*keys, "climb_id", "idx").agg(F.min("pos").alias("first"), F.max("pos").alias("final"))
     climbs = (passes.join(sizes, "climb_id").groupBy(*keys, "climb_id", "n")
               .agg(F.count(F.lit(1)).alias("hit"), F.min(F.when(F.col("idx") == 0, F.col("first"))).alias("bottom"),
