@@ -13,6 +13,8 @@ from wayfold.operators import tracks
 from wayfold.session import cut
 
 AREA_CELL, COUNTRY_CELL = 0.05, 1.0
+#: Edges a cell of the index keeps before it is split, and levels it is split down to.
+CELL_EDGES, DEEPEST = 256, 14
 # Least side in metres of the parts kept of areas and of country outlines.
 AREA_SLIVER_M, COUNTRY_SLIVER_M = 50.0, 1_500.0
 
@@ -20,11 +22,11 @@ RING = ["code", "ordinal", "poly", "ring"]
 
 
 def ring_edges(rings: DataFrame) -> DataFrame:
-    """Edges from each point to the next, closing every ring."""
+    """Edges from each point to the next, closing every ring; ``seq`` numbers them."""
     opened = tracks.with_next(rings, RING)
     firsts = rings.groupBy(*RING).agg(F.min_by(F.struct("lat", "lon"), "seq").alias("f"))
     closed = opened.join(firsts, RING)
-    return closed.select(*RING, F.coalesce("lat2", "f.lat").alias("alat"), F.coalesce("lon2", "f.lon").alias("alon"),
+    return closed.select(*RING, "seq", F.coalesce("lat2", "f.lat").alias("alat"), F.coalesce("lon2", "f.lon").alias("alon"),
                          F.col("lat").alias("blat"), F.col("lon").alias("blon"))
 
 
@@ -35,53 +37,130 @@ def crosses(lat, lon, edge) -> Column:
     return F.coalesce(lon < span, F.lit(False))
 
 
-def cell_index(rings: DataFrame, size: float = AREA_CELL, outer_only: bool = False) -> DataFrame:
-    """One row per grid cell with the areas that can contain a point of the cell, in list order.
+def turns(lat, lon, south, east, edge) -> Column:
+    """Whether an edge changes the parity between a cell's south-east corner and a point of the cell:
+    on the way north along the east side to the point's latitude, or west from there to the point.
 
-    Cells no edge touches are decided once at their centre and carry no edges; only boundary cells
-    keep the edges of their latitude band that a ray to the east can meet. Locating a point is then
-    one equi-join on the cell and an expression over that row."""
+    Rounding of borders is as in ``crosses``: a ray on the east side counts edges strictly east."""
+    a_lat, a_lon, b_lat, b_lon = edge["alat"], edge["alon"], edge["blat"], edge["blon"]
+    at = (b_lat - a_lat) * (east - a_lon) / (b_lon - a_lon) + a_lat
+    rising = (b_lat - a_lat) * (b_lon - a_lon) > 0
+    north = ((a_lon > east) != (b_lon > east)) & F.when(rising, (at >= south) & (at < lat)).otherwise((at > south) & (at <= lat))
+    west = crosses(lat, lon, edge) & ~crosses(lat, east, edge)
+    return F.coalesce(north, F.lit(False)) != west
+
+
+EDGE = ["alat", "alon", "blat", "blon"]
+
+
+def _cells_of_edges(edges: DataFrame, size: float) -> DataFrame:
+    """Edges with every cell they touch; long ones are walked in steps of one cell."""
+    steps = F.greatest(F.lit(1), F.ceil(F.greatest(F.abs(F.col("blat") - F.col("alat")), F.abs(F.col("blon") - F.col("alon"))) / size).cast("int"))
+    walked = edges.withColumn("_n", steps).withColumn("_i", F.explode(F.sequence(F.lit(0), F.col("_n") - 1)))
+
+    def ends(a, b):
+        step = (F.col(b) - F.col(a)) / F.col("_n")
+        return F.col(a) + step * F.col("_i"), F.col(a) + step * (F.col("_i") + 1)
+
+    eps = size * 1e-9
+    (ya, yb), (xa, xb) = ends("alat", "blat"), ends("alon", "blon")
+    return (walked.withColumn("cy", F.explode(F.sequence(geo.cell(F.least(ya, yb) - eps, size), geo.cell(F.greatest(ya, yb) + eps, size))))
+            .withColumn("cx", F.explode(F.sequence(geo.cell(F.least(xa, xb) - eps, size), geo.cell(F.greatest(xa, xb) + eps, size))))
+            .select(*RING, "seq", *EDGE, "cx", "cy").distinct())
+
+
+def _corner_parity(rings: DataFrame, edges: DataFrame, size: float) -> DataFrame:
+    """(ring, cx, cy, odd): whether a ray east from the south-east corner of each cell of a ring's box
+    crosses the ring oddly often. Each edge counts once on every grid line it crosses; the counts are
+    summed from the east along the line."""
+    boxes = rings.groupBy(*RING).agg(F.min("lat").alias("s"), F.max("lat").alias("n"), F.min("lon").alias("w"), F.max("lon").alias("e"))
+    cells = (boxes.withColumn("cy", F.explode(F.sequence(geo.cell("s", size), geo.cell("n", size))))
+             .withColumn("cx", F.explode(F.sequence(geo.cell("w", size), geo.cell("e", size)))).select(*RING, "cx", "cy", F.lit(0).alias("hits")))
+    lines = edges.withColumn("cy", F.explode(F.sequence(geo.cell(F.least("alat", "blat"), size), geo.cell(F.greatest("alat", "blat"), size) + 1)))
+    y = F.col("cy") * size
+    met = lines.filter((F.col("alat") > y) != (F.col("blat") > y)).withColumn("at", (F.col("blon") - F.col("alon")) * (y - F.col("alat")) / (F.col("blat") - F.col("alat")) + F.col("alon"))
+    guess = F.ceil(F.col("at") / size).cast("bigint") - 2  # the last cell whose east side lies west of the crossing
+    last = F.when((guess + 2) * size < F.col("at"), guess + 1).when((guess + 1) * size >= F.col("at"), guess - 1).otherwise(guess)
+    hits = met.select(*RING, last.alias("cx"), "cy").groupBy(*RING, "cx", "cy").agg(F.count("*").cast("int").alias("hits"))
+    from pyspark.sql import Window
+    row = Window.partitionBy(*RING, "cy").orderBy(F.desc("cx")).rangeBetween(Window.unboundedPreceding, 0)
+    both = cells.unionByName(hits).groupBy(*RING, "cx", "cy").agg(F.sum("hits").alias("hits"), F.bool_or(F.col("hits") == 0).alias("own"))
+    return both.withColumn("odd", F.sum("hits").over(row) % 2 == 1).filter("own").select(*RING, "cx", "cy", "odd")
+
+
+def cell_index(rings: DataFrame, size: float = AREA_CELL, outer_only: bool = False, limit: int = CELL_EDGES) -> DataFrame:
+    """One row per quadtree cell (level, cx, cy) with the areas that can contain a point of it, in list
+    order. Cells of level 0 are ``size`` degrees wide, those below half as wide each.
+
+    A cell keeps the edges that touch it and, per ring, the parity of its south-east corner: a point's
+    parity differs from the corner's by the edges between them, which all touch the cell. Cells with
+    more than ``limit`` edges are split in four, down to ``DEEPEST`` levels. Cells no edge touches
+    carry no edges, only whether they lie inside."""
     if outer_only:
         rings = rings.filter("ring = 0")
     edges = cut(ring_edges(rings))
-    lo, hi = F.least("alat", "blat"), F.greatest("alat", "blat")
-    banded = edges.select("*", F.explode(F.sequence(geo.cell(lo, size), geo.cell(hi, size))).alias("cy"))
-    poly = ["code", "ordinal", "poly"]
-    boxes = rings.filter("ring = 0").groupBy(*poly).agg(F.min("lat").alias("s"), F.max("lat").alias("n"), F.min("lon").alias("w"), F.max("lon").alias("e"))
-    cells = (boxes.withColumn("cy", F.explode(F.sequence(geo.cell("s", size), geo.cell("n", size))))
-             .withColumn("cx", F.explode(F.sequence(geo.cell("w", size), geo.cell("e", size)))).select(*poly, "cx", "cy"))
-    west, east = F.col("cx") * size, (F.col("cx") + 1) * size
-    pairs = cells.join(banded, [*poly, "cy"]).filter(F.greatest("alon", "blon") >= west)
-    center = {"alat": F.col("alat"), "alon": F.col("alon"), "blat": F.col("blat"), "blon": F.col("blon")}
-    at_center = crosses((F.col("cy") + 0.5) * size, (F.col("cx") + 0.5) * size, center)
-    per_ring = pairs.groupBy(*poly, "cx", "cy", "ring").agg(
-        F.bool_or(F.least("alon", "blon") <= east).alias("touched"), (F.count_if(at_center) % 2 == 1).alias("odd"))
-    per_cell = per_ring.groupBy(*poly, "cx", "cy").agg(
-        F.bool_or("touched").alias("touched"), F.bool_or((F.col("ring") == 0) & F.col("odd")).alias("inside"),
-        F.bool_or((F.col("ring") > 0) & F.col("odd")).alias("in_hole"))
-    usable = cut(per_cell.filter(F.col("touched") | (F.col("inside") & ~F.col("in_hole"))))
-    parts = (pairs.join(usable.filter("touched").select(*poly, "cx", "cy"), [*poly, "cx", "cy"], "left_semi")
-             .groupBy(*poly, "cx", "cy", "ring").agg(F.collect_list(F.struct("alat", "alon", "blat", "blon")).alias("edges"))
-             .groupBy(*poly, "cx", "cy").agg(F.collect_list(F.struct("ring", "edges")).alias("rings")))
-    return (usable.join(parts, [*poly, "cx", "cy"], "left").groupBy("cx", "cy")
-            .agg(F.array_sort(F.collect_list(F.struct("ordinal", "code", "poly", (~F.col("touched")).alias("full"), "rings"))).alias("areas")))
+    lies = cut(_cells_of_edges(edges, size).withColumn("level", F.lit(0)))
+    odd = cut(_corner_parity(rings, edges, size).withColumn("level", F.lit(0)))
+    cell, leaves = ["level", "cx", "cy"], []
+    for level in range(DEEPEST + 1):
+        wide = lies.groupBy(*cell).agg(F.count("*").alias("n")).filter(F.col("n") > limit).select(*cell)
+        wide = cut(wide) if level < DEEPEST else wide.limit(0)
+        if level == DEEPEST or wide.isEmpty():
+            leaves.append((odd, lies))
+            break
+        leaves.append((odd.join(wide, cell, "left_anti"), lies.join(wide, cell, "left_anti")))
+        half = size / 2 ** (level + 1)
+        quarters = F.explode(F.array(*[F.struct((F.col("cx") * 2 + x).alias("x"), (F.col("cy") * 2 + y).alias("y")) for x in (0, 1) for y in (0, 1)]))
+        south, east = F.col("cy") * (2 * half), (F.col("cx") + 1) * (2 * half)
+        child = [F.lit(level + 1).alias("level"), F.col("q.x").alias("cx"), F.col("q.y").alias("cy")]
+        split = lies.join(wide, cell, "left_semi").withColumn("q", quarters)
+        change = turns(F.col("q.y") * half, (F.col("q.x") + 1) * half, south, east, {c: F.col(c) for c in EDGE})
+        flips = split.groupBy(*RING, "q").agg((F.count_if(change) % 2 == 1).alias("flip"))
+        below = odd.join(wide, cell, "left_semi").withColumn("q", quarters).join(flips, [*RING, "q"], "left")
+        odd = cut(below.select(*RING, (F.col("odd") != F.coalesce("flip", F.lit(False))).alias("odd"), *child))
+        eps = half * 1e-9
+        w, e, s, n = F.col("q.x") * half - eps, (F.col("q.x") + 1) * half + eps, F.col("q.y") * half - eps, (F.col("q.y") + 1) * half + eps
+        boxed = (F.least("alon", "blon") <= e) & (F.greatest("alon", "blon") >= w) & (F.least("alat", "blat") <= n) & (F.greatest("alat", "blat") >= s)
+
+        def side(x, y):  # on which side of the edge a corner lies
+            return (F.col("blon") - F.col("alon")) * (y - F.col("alat")) - (F.col("blat") - F.col("alat")) * (x - F.col("alon"))
+
+        corners = [side(x, y) for x in (w, e) for y in (s, n)]
+        lies = cut(split.filter(boxed & (F.least(*corners) <= 0) & (F.greatest(*corners) >= 0)).select(*RING, "seq", *EDGE, *child))
+    table = None
+    for parity, touching in leaves:
+        kept = touching.groupBy(*RING, *cell).agg(F.collect_list(F.struct(*EDGE)).alias("edges"))
+        part = parity.join(kept, [*RING, *cell], "left").filter(F.col("odd") | F.col("edges").isNotNull())
+        table = part if table is None else table.unionByName(part)
+    whole = (F.size("rings") == 1) & F.col("rings")[0]["edges"].isNull() & (F.col("rings")[0]["ring"] == 0)
+    polys = (table.groupBy("code", "ordinal", "poly", *cell).agg(F.collect_list(F.struct("ring", "odd", "edges")).alias("rings"))
+             .filter(F.exists("rings", lambda r: r["ring"] == 0) & ~F.exists("rings", lambda r: (r["ring"] > 0) & r["odd"] & r["edges"].isNull())))
+    return cut(polys.groupBy(*cell).agg(F.array_sort(F.collect_list(F.struct("ordinal", "code", "poly", whole.alias("full"), F.when(~whole, F.col("rings")).alias("rings")))).alias("areas")))
 
 
 def located(points: DataFrame, index: DataFrame, size: float = AREA_CELL) -> DataFrame:
     """Points inside an area with its ``code``; the first area in list order wins."""
-    lat, lon = F.col("lat"), F.col("lon")
+    lat, lon, half = F.col("lat"), F.col("lon"), F.lit(size) / F.pow(F.lit(2.0), F.col("_level"))
+    south, east = F.col("_cy") * half, (F.col("_cx") + 1) * half
 
     def odd(ring):
-        return F.size(F.filter(ring["edges"], lambda e: crosses(lat, lon, e))) % 2 == 1
+        changes = F.size(F.filter(F.coalesce(ring["edges"], F.array().cast("array<struct<alat:double,alon:double,blat:double,blon:double>>")), lambda e: turns(lat, lon, south, east, e)))
+        return ring["odd"] != (changes % 2 == 1)
 
     def holds(area):
-        rings = F.coalesce(area["rings"], F.array().cast("array<struct<ring:int,edges:array<struct<alat:double,alon:double,blat:double,blon:double>>>>"))
-        return area["full"] | (F.exists(rings, lambda r: (r["ring"] == 0) & odd(r)) & ~F.exists(rings, lambda r: (r["ring"] > 0) & odd(r)))
-
-    first = F.col("areas")[0]
-    code = F.when(first["full"], first["code"]).otherwise(F.try_element_at(F.filter("areas", holds), F.lit(1))["code"])
-    keyed = points.withColumn("cx", geo.cell("lon", size)).withColumn("cy", geo.cell("lat", size))
-    return keyed.join(index, ["cx", "cy"]).withColumn("code", code).drop("cx", "cy", "areas").filter("code is not null")
+        return area["full"] | (F.exists(area["rings"], lambda r: (r["ring"] == 0) & odd(r)) & ~F.exists(area["rings"], lambda r: (r["ring"] > 0) & odd(r)))
+
+    first = F.col("_areas")[0]
+    code = F.when(first["full"], first["code"]).otherwise(F.try_element_at(F.filter("_areas", holds), F.lit(1))["code"])
+    cells = index.select(F.col("level").alias("_level"), F.col("cx").alias("_cx"), F.col("cy").alias("_cy"), F.col("areas").alias("_areas"))
+    wide = F.pow(F.lit(2.0), F.col("_level"))
+    depths = (cells.filter("_level > 0").select(F.floor(F.col("_cx") / wide).alias("_cx"), F.floor(F.col("_cy") / wide).alias("_cy"), "_level")
+              .groupBy("_cx", "_cy").agg(F.collect_set("_level").alias("_levels")))
+    keyed = points.withColumn("_cx", geo.cell("lon", size)).withColumn("_cy", geo.cell("lat", size))
+    # Where a cell was split, a point looks on each level there; only one has a cell around it.
+    deep = keyed.join(depths, ["_cx", "_cy"], "left").withColumn("_level", F.explode(F.concat(F.array(F.lit(0)), F.coalesce("_levels", F.array().cast("array<int>"))))).drop("_levels", "_cx", "_cy")
+    placed = deep.withColumn("_cx", F.floor(lon / half).cast("bigint")).withColumn("_cy", F.floor(lat / half).cast("bigint"))
+    return placed.join(cells, ["_level", "_cx", "_cy"]).withColumn("code", code).drop("_level", "_cx", "_cy", "_areas").filter("code is not null")
 
 
 def track_areas(points: DataFrame, index: DataFrame, size: float = AREA_CELL, keys=tracks.TRACK) -> DataFrame:

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from wayfold.functions import geo
+from wayfold.session import cut
 from wayfold.operators import areas, nearby, tracks
 
 ROUTE = ["athlete_id", "route_id"]
@@ -65,7 +66,8 @@ def place_candidates(targets: DataFrame, key: str = "target_id") -> DataFrame:
 
 
 def area_candidates(rings: DataFrame) -> DataFrame:
-    """Grid points inside each area: 12 x 12, else 24 x 24, else 48 x 48 until 12 lie inside."""
+    """Grid points inside each area: 12 x 12, else 24 x 24, else 48 x 48 until 12 lie inside. An area so
+    thin that no grid point meets it gets one point of its surface (level 3)."""
     boxes = rings.groupBy("code").agg(F.min("lat").alias("s"), F.max("lat").alias("n"), F.min("lon").alias("w"), F.max("lon").alias("e"))
     size = areas.AREA_CELL
     # One cell index per area: ordinals only decide between areas, so candidates keep their code.
@@ -74,10 +76,25 @@ def area_candidates(rings: DataFrame) -> DataFrame:
     points = (boxes.withColumn("k", F.explode(grids)).withColumn("g", F.explode("k.g"))
               .select(F.col("code").alias("want"), F.col("k.level").alias("level"), (F.col("s") + (F.col("n") - F.col("s")) * F.col("g.u")).alias("lat"),
                       (F.col("w") + (F.col("e") - F.col("w")) * F.col("g.v")).alias("lon")))
-    inside = areas.located(points, index, size).filter("code = want").drop("want")
+    inside = cut(areas.located(points, index, size).filter("code = want").drop("want"))
     counts = inside.groupBy("code", "level").agg(F.count(F.lit(1)).alias("n"))
     chosen = counts.groupBy("code").agg(F.min(F.when((F.col("n") >= ENOUGH) | (F.col("level") == len(AREA_GRIDS) - 1), F.col("level"))).alias("level"))
-    return inside.join(chosen, ["code", "level"]).select("code", "level", "lat", "lon")
+    found = inside.join(chosen, ["code", "level"]).select("code", "level", "lat", "lon")
+    thin = rings.join(found.select("code").distinct(), "code", "left_anti")
+    return found.unionByName(surface_points(thin).select("code", F.lit(len(AREA_GRIDS)).alias("level"), "lat", "lon"))
+
+
+def surface_points(rings: DataFrame) -> DataFrame:
+    """(code, lat, lon): a point inside each area, half-way along the westernmost chord at the middle
+    latitude of its first polygon; of an area without height, its first point."""
+    poly = ["code", "ordinal", "poly"]
+    middle = rings.groupBy(*poly).agg(((F.min("lat") + F.max("lat")) / 2).alias("y"))
+    met = areas.ring_edges(rings).join(middle, poly).filter((F.col("alat") > F.col("y")) != (F.col("blat") > F.col("y")))
+    at = (F.col("blon") - F.col("alon")) * (F.col("y") - F.col("alat")) / (F.col("blat") - F.col("alat")) + F.col("alon")
+    chord = met.groupBy(*poly, "y").agg(F.array_sort(F.collect_list(at)).alias("x")).filter(F.size("x") >= 2).select(*poly, F.struct(F.col("y").alias("lat"), ((F.col("x")[0] + F.col("x")[1]) / 2).alias("lon")).alias("p"))
+    first = rings.groupBy("code").agg(F.min(F.struct("poly", "ring", "seq", F.struct("lat", "lon").alias("p"))).alias("f"))
+    best = chord.groupBy("code").agg(F.min_by("p", "poly").alias("p"))
+    return first.join(best, "code", "left").select("code", F.coalesce("p.lat", "f.p.lat").alias("lat"), F.coalesce("p.lon", "f.p.lon").alias("lon"))
 
 
 def corridor_cells(stops: DataFrame, cells: DataFrame, margin_m: float, candidates: DataFrame | None = None) -> DataFrame:
