@@ -35,7 +35,7 @@ by_value(__name__)
 START, END, FIRST = 0, 1, 2
 #: Weight of the longer context, bytes of text in a slice, text bytes per shard, and the count
 #: above which a context is split.
-WEIGHT, SLICE, SHARD, HOT = 0.15, 9 << 20, 10 << 20, 2_000_000
+WEIGHT, SLICE, SHARD, HOT = 0.15, 7 << 20, 10 << 20, 2_000_000
 MODEL = -1
 SCHEMA = "kind string, block bigint, shard int, body array<binary>"
 ARROW = pa.schema([("kind", pa.string()), ("block", pa.int64()), ("shard", pa.int32()), ("body", pa.list_(pa.binary()))])
@@ -253,9 +253,10 @@ class _Slice:
         values = {name: getattr(self, name) for name, _ in self.SAVED} | {"gid": np.diff(self.gid, prepend=0), "length": np.array([self.length])}
         return [pack(values[name].astype(kind)) for name, kind in self.SAVED]
 
-    def question(self, shards: int, hot: int, send: bool = True):
+    def question(self, shards: int, hot: int, send=None):
         """Distinct n-grams one longer than those known: the known one that ends before a position,
-        and the word there. Keeps where they came from; returns the columns to ``send`` by shard."""
+        and the word there. Keeps where they came from; returns the columns for each shard that
+        ``send`` accepts (none by default)."""
         context = np.concatenate(([-1], self.node[:-1]))
         context[self.starts] = -1
         self.has = context >= 0
@@ -268,7 +269,7 @@ class _Slice:
         around, parts, order = self.count[context[one]], [], []
         for s, own in _by_shard(_spread(rows, around, shards, hot)):
             # Rows ascend, so differences of the leading ids compress best.
-            if send:
+            if send and send(s):
                 parts.append((s, [pack(np.diff(rows[own, j], prepend=0)) for j in range(rows.shape[1])] + [pack(around[own]), pack(counts[own].astype(np.int32)), pack(self.code[one[own]])]))
             order.append(own)
         self.order = np.concatenate(order) if order else np.empty(0, np.int64)
@@ -290,37 +291,28 @@ class _Slice:
 
     def climb(self, answers, shards: int, hot: int):
         """One level up, by the answers to the last question."""
-        self.question(shards, hot, send=False)
+        self.question(shards, hot)
         self.answer([a["body"] for a in sorted(answers, key=lambda a: a["shard"])])
         return self
 
 
-def _asks(x: _Slice, block: int, shards: int, hot: int, turns: int):
-    """The next question's rows, one batch per turn of shards."""
-    parts = x.question(shards, hot)
-    for turn in range(turns):
-        if own := [(f"ask{turn}", block, s, body) for s, body in parts if s % turns == turn]:
-            yield _rows(own)
-
-
-def _first(shards: int, hot: int, facts):
-    """The slices' first question, about pairs of words."""
+def _asking(shards: int, hot: int, facts, turn: int = 0, turns: int = 1):
+    """The slices' next question, as far as it goes to this turn's shards."""
     def run(batches):
         for batch in batches:
             for row in batch.to_pylist():
-                yield from _asks(_Slice(row["body"], *facts), row["block"], shards, hot, 1)
+                if own := [("ask", row["block"], s, body) for s, body in _Slice(row["body"], *facts).question(shards, hot, lambda s: s % turns == turn)]:
+                    yield _rows(own)
 
     return run
 
 
-def _next(shards: int, hot: int, facts, turns: int):
-    """Slices one level up, and what they ask there."""
+def _next(shards: int, hot: int, facts):
+    """Slices one level up."""
     def run(batches):
         for batch in batches:
             for row in batch.to_pylist():
-                x = _Slice(row["body"], *facts).climb(row["answers"], shards, hot)
-                yield _rows([("state", row["block"], None, x.save())])
-                yield from _asks(x, row["block"], shards, hot, turns)
+                yield _rows([("state", row["block"], None, _Slice(row["body"], *facts).climb(row["answers"], shards, hot).save())])
 
     return run
 
@@ -386,19 +378,17 @@ def score(docs: DataFrame, teach: Column | None = None, order: int = 3, weight:
         drop(words)
     levels, answers = [(1, words)], []
     for level in range(2, order + 1):
-        # Each level climbs once: the slice as it stands there is written, with what it asks next.
-        # Longer n-grams are asked about in turns of shards, so fewer of them are on disk at once.
-        turns = level - 1
-        asks = put(states.mapInArrow(_first(shards, hot, facts), SCHEMA) if level == 2 else _joined(states, answers).mapInArrow(_next(shards, hot, facts, turns), SCHEMA), "kind")
+        # Each level climbs once, and slices are written as they stand there. Longer n-grams are
+        # asked about in turns of shards, so fewer of them are on disk at once.
         if level > 2:
-            for table in [states if level == 3 else below, *([] if save else answers)]:
+            higher = put(_joined(states, answers).mapInArrow(_next(shards, hot, facts), SCHEMA))
+            for table in [states, *([] if save else answers)]:
                 drop(table)
-            below, states = asks, asks.filter("kind = 'state'").select("block", "body")
-        answers = []
+            states, answers = higher, []
+        turns = level - 1
         for turn in range(turns):
-            answers.append(answered(asks.filter(F.col("kind") == f"ask{turn}"), level, _serve(level, weight), turn, turns))
+            answers.append(answered(states.mapInArrow(_asking(shards, hot, facts, turn, turns), SCHEMA), level, _serve(level, weight), turn, turns))
             levels.append((level, answers[-1]))
-            drop(asks, f"kind=ask{turn}")
     if save:
         for level, part in levels:
             part.filter("kind = 'model'").withColumn("kind", F.lit(f"level{level}")).write.mode("append").parquet(save)
