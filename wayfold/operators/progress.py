@@ -5,21 +5,27 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from wayfold.functions import activity as fa
 from wayfold.operators import ordered
 
 
 def pending(activities: DataFrame, challenges: DataFrame, results: DataFrame) -> DataFrame:
-    """(athlete_id, activity_id, challenge_id, key) still to check on on-map ``activities``.
+    """(athlete_id, activity_id, challenge_id, key) still to check on ``activities``; where these say so
+    (is_virtual, n_points), only those on the map are.
 
     The live challenges (a user's files) travel as one array per row instead of a cross join."""
+    if {"is_virtual", "n_points"} <= set(activities.columns):
+        activities = activities.filter(fa.is_on_map("is_virtual", "n_points"))
     live = challenges.agg(F.collect_list(F.struct("challenge_id", "key"))).scalar()
     wanted = activities.select("athlete_id", "activity_id", F.explode(live).alias("c")).select("athlete_id", "activity_id", "c.challenge_id", "c.key")
-    return wanted.join(results.select("activity_id", "challenge_id", "key"), ["activity_id", "challenge_id", "key"], "left_anti")
+    keys = [*(["athlete_id"] if "athlete_id" in results.columns else []), "activity_id", "challenge_id", "key"]
+    return wanted.join(results.select(*keys), keys, "left_anti")
 
 
 def upsert(results: DataFrame, new: DataFrame, live: DataFrame) -> DataFrame:
     """Stored results with ``new`` ones in place of older keys; dropped challenges leave."""
-    kept = results.join(new.select("activity_id", "challenge_id").distinct(), ["activity_id", "challenge_id"], "left_anti")
+    pair = [*(["athlete_id"] if "athlete_id" in results.columns else []), "activity_id", "challenge_id"]
+    kept = results.join(new.select(*pair).distinct(), pair, "left_anti")
     return kept.unionByName(new).join(live.select("challenge_id"), "challenge_id", "left_semi")
 
 

@@ -4,12 +4,12 @@ from pyspark.sql import functions as F
 
 from wayfold.functions import geo
 from wayfold.operators import areas, library, messages, nearby, progress, routes, tiles, tracks
-from wayfold.plans import review
+from wayfold.plans import challenge_results, review
 from wayfold.session import cut
 from workload import fixtures as fx
 from workload.q_activities import SAME, TIMED_SQL
 from workload.q_areas import INSIDE
-from workload.q_nearby import HIT_CTES, VISITS_SQL
+from workload.q_nearby import CROSS_SQL, HIT_CTES, VISITS_SQL
 from workload.registry import query
 
 P, A, AR = fx.POINTS_SQL, fx.ACTIVITIES_SQL, fx.AREAS_SQL
@@ -390,3 +390,45 @@ def agg_year_in_review(spark, sf):
 @query("agg_review_years", fx.oracle("SELECT DISTINCT athlete_id, year(start_ts)::INTEGER AS year FROM fx_activities", A))
 def agg_review_years(spark, sf):
     return review.years(fx.activities(spark, sf))
+
+
+PLAN_ACTS_SQL = """acts AS (SELECT *, (['Cycling', 'Running', 'Walking'])[activity_id % 3 + 1] AS kind_of FROM fx_point_activities WHERE activity_id % 11 <> 0),
+plan_lines AS (SELECT DISTINCT route_id FROM fx_crossings)"""
+
+
+def plan_activities(spark, sf):
+    k = F.col("activity_id")
+    return fx.point_activities(spark, sf).withColumn("sport", F.element_at(F.array(*map(F.lit, ["Cycling", "Running", "Walking"])), (k % 3 + 1).cast("int"))).withColumn("is_virtual", k % 11 == 0)
+
+
+@query("plan_challenges", fx.oracle(f"""
+SELECT athlete_id, challenge_id, coalesce(done, 0) AS done, CASE WHEN done IS NOT NULL THEN total END AS total, checked FROM (
+  SELECT athlete_id, challenge_id, count(*) AS checked FROM acts, (VALUES ('places'), ('ferries'), ('trails')) c(challenge_id) GROUP BY ALL) LEFT JOIN (
+  SELECT v.athlete_id, 'places' AS challenge_id, count(DISTINCT item_id) AS done, (SELECT count(*) FROM supplier) AS total FROM fx_visits v JOIN acts USING (athlete_id, activity_id) GROUP BY 1
+  UNION ALL SELECT athlete_id, 'ferries', count(DISTINCT route_id), (SELECT count(*) FROM part) FROM (
+    SELECT p.athlete_id, p.activity_id, route_id FROM fx_dense_next p JOIN acts USING (athlete_id, activity_id) JOIN anchors pl ON abs(p.lat - pl.lat) < 0.01 AND {fx.d_segment_distance("pl.lat", "pl.lon", "p.lat", "p.lon", "p.lat2", "p.lon2")} <= pl.radius
+    WHERE lat2 IS NOT NULL AND kind_of = 'Cycling' GROUP BY 1, 2, 3 HAVING count(DISTINCT k) = 3) GROUP BY 1
+  UNION ALL SELECT athlete_id, 'trails', count(*), (SELECT count(*) FROM part) FROM (
+    SELECT h.athlete_id, route_id FROM fx_hits h JOIN acts USING (athlete_id, activity_id) JOIN (SELECT route_id, count(*) AS total FROM fx_checkpoints GROUP BY 1) USING (route_id)
+    WHERE kind_of <> 'Running' GROUP BY 1, 2 HAVING count(DISTINCT idx) >= 0.5e0 * any_value(total)) GROUP BY 1) USING (athlete_id, challenge_id)""",
+    *HIT_CTES, fx.DENSE_TILES, fx.PLACES_SQL, VISITS_SQL, fx.CROSSINGS_SQL, CROSS_SQL, PLAN_ACTS_SQL))
+def plan_challenges(spark, sf):
+    """Half of the activities and another set of challenges first, then everything: results that are
+    stored and still hold are not matched again."""
+    acts, points = cut(plan_activities(spark, sf)), fx.points(spark, sf)
+    r = F.col("r_regionkey")
+
+    def pick(*values):
+        return F.element_at(F.array(*[F.lit(v) for v in values]), r + 1)
+
+    both = fx.table(spark, sf, "region").select(pick("places", "ferries", "trails", "gone", "unused").alias("challenge_id"), pick("k2", "k1", "k1", "k1", "k1").alias("key"), pick("locations", "routes", "routes", "locations", "locations").alias("kind"),
+                                                pick("cover", "cross", "cover", "cover", "cover").alias("complete"), F.lit(50.0).alias("spacing"), F.lit(0.5).alias("coverage"),
+                                                F.when(r == 1, F.array(F.lit("Cycling"))).when(r == 2, F.array(F.lit("Cycling"), F.lit("Walking"))).alias("sports"))
+    places = fx.places(spark, sf)
+    places = places.unionByName(places.withColumn("challenge_id", F.lit("gone")))
+    lines = (fx.crossings(spark, sf).select(F.lit("ferries").alias("challenge_id"), F.col("route_id").alias("item_id"), F.lit(0).alias("piece"), "seq", "lat", "lon")
+             .unionByName(fx.routes(spark, sf).select(F.lit("trails").alias("challenge_id"), F.col("route_id").alias("item_id"), "piece", "seq", "lat", "lon")))
+    before = both.filter("challenge_id <> 'unused'").withColumn("key", F.lit("k1"))
+    first = challenge_results.update(challenge_results.empty(spark), acts.filter("activity_id % 2 = 0"), points, before, places, lines)
+    now = both.filter("challenge_id not in ('gone', 'unused')")
+    return challenge_results.standing(challenge_results.update(first, acts, points, now, places, lines), now, places, lines)
