@@ -4,12 +4,12 @@ from pyspark.sql import functions as F
 
 from wayfold.functions import geo
 from wayfold.operators import areas, library, messages, nearby, progress, routes, tiles, tracks
-from wayfold.plans import challenge_results, review
+from wayfold.plans import challenge_results, refresh, review
 from wayfold.session import cut
 from workload import fixtures as fx
 from workload.q_activities import SAME, TIMED_SQL
 from workload.q_areas import INSIDE
-from workload.q_nearby import CROSS_SQL, HIT_CTES, VISITS_SQL
+from workload.q_nearby import CLIMB_MATCH_SQL, CROSS_SQL, HIT_CTES, VISITS_SQL
 from workload.registry import query
 
 P, A, AR = fx.POINTS_SQL, fx.ACTIVITIES_SQL, fx.AREAS_SQL
@@ -432,3 +432,33 @@ def plan_challenges(spark, sf):
     first = challenge_results.update(challenge_results.empty(spark), acts.filter("activity_id % 2 = 0"), points, before, places, lines)
     now = both.filter("challenge_id not in ('gone', 'unused')")
     return challenge_results.standing(challenge_results.update(first, acts, points, now, places, lines), now, places, lines)
+
+
+@query("plan_refresh", fx.oracle("""
+SELECT athlete_id, activities, files, coalesce(tiles, 0) AS tiles, coalesce(areas, 0) AS areas, coalesce(square, 0) AS square, coalesce(cluster, 0) AS cluster, coalesce(climbs, 0) AS climbs, coalesce(eddington, 0) AS eddington FROM (
+  SELECT athlete_id, count(*) AS activities, (count(*) + count(*) FILTER (activity_id % 4 = 0))::BIGINT AS files FROM fx_point_activities GROUP BY 1)
+LEFT JOIN (SELECT athlete_id, count(*) AS tiles FROM lib_tiles GROUP BY 1) USING (athlete_id)
+LEFT JOIN (SELECT athlete_id, count(DISTINCT code) AS areas FROM fx_dense p JOIN fx_area_rects r ON """ + INSIDE + """ WHERE activity_id % 7 <> 0 GROUP BY 1) USING (athlete_id)
+LEFT JOIN (SELECT athlete_id, max(side)::BIGINT AS square FROM squares GROUP BY 1) USING (athlete_id)
+LEFT JOIN (SELECT athlete_id, max(size)::BIGINT AS cluster FROM (SELECT athlete_id, label, count(*) AS size FROM (SELECT i.athlete_id, i.x, i.y, min(r.tx * 100000 + r.ty) AS label FROM inner_tiles i JOIN reach r USING (athlete_id, x, y) GROUP BY ALL) GROUP BY ALL) GROUP BY 1) USING (athlete_id)
+LEFT JOIN (SELECT athlete_id, count(DISTINCT climb_id) AS climbs FROM (""" + CLIMB_MATCH_SQL + """) WHERE activity_id % 7 <> 0 GROUP BY 1) USING (athlete_id)
+LEFT JOIN (SELECT athlete_id, max(least(km, n))::BIGINT AS eddington FROM (SELECT athlete_id, floor(k) AS km, count(*) OVER (PARTITION BY athlete_id ORDER BY floor(k) DESC) AS n FROM (
+  SELECT athlete_id, (start_ts + to_seconds(CASE WHEN activity_id % 4 = 0 THEN 60 ELSE 0 END))::DATE AS day, sum(activity_id * 7919 % 90000 / 1000e0) AS k FROM fx_point_activities GROUP BY 1, 2)) GROUP BY 1) USING (athlete_id)""",
+    *HIT_CTES, AR, fx.ACTIVITY_TILES_SQL, """lib_tiles AS (SELECT DISTINCT athlete_id, tile_key // 4294967296 AS x, tile_key % 4294967296 AS y FROM fx_activity_tiles WHERE activity_id % 7 <> 0),
+squares AS (SELECT a.athlete_id, s.s AS side, a.x, a.y FROM lib_tiles a CROSS JOIN range(1, 9) s(s) JOIN lib_tiles b ON b.athlete_id = a.athlete_id AND b.x BETWEEN a.x - s.s + 1 AND a.x AND b.y BETWEEN a.y - s.s + 1 AND a.y
+  GROUP BY ALL HAVING count(*) = s.s * s.s),
+inner_tiles AS (SELECT t.* FROM lib_tiles t WHERE (SELECT count(*) FROM lib_tiles n WHERE n.athlete_id = t.athlete_id AND abs(n.x - t.x) + abs(n.y - t.y) = 1) = 4),
+reach AS (SELECT athlete_id, x, y, x AS tx, y AS ty FROM inner_tiles UNION SELECT r.athlete_id, n.x, n.y, r.tx, r.ty FROM reach r JOIN inner_tiles n ON n.athlete_id = r.athlete_id AND abs(n.x - r.x) + abs(n.y - r.y) = 1)""", recursive=True))
+def plan_refresh(spark, sf):
+    """A fourth of the tracks has a second file a minute later; new names make a seventh virtual."""
+    k = F.col("activity_id")
+    acts = fx.point_activities(spark, sf).select(
+        "athlete_id", "activity_id", "start_ts", "sport", (k * 7919 % 90000).cast("double").alias("distance_m"), F.lit(3600.0).alias("elapsed_s"), F.lit(None).cast("double").alias("moving_s"), F.lit(None).cast("double").alias("ascent_m"),
+        F.lit(None).cast("double").alias("descent_m"), F.lit(None).cast("double").alias("avg_power_w"), F.lit(1).alias("quality"), "is_virtual", F.lit(False).alias("is_zwift"), F.lit("ride").alias("name"), F.lit("feed").alias("source"),
+        "n_points", k.cast("string").alias("file_name"))
+    again = acts.filter(k % 4 == 0).withColumn("start_ts", F.timestamp_micros(F.unix_micros("start_ts") + 60_000_000)).withColumn("quality", F.lit(2)).withColumn("source", F.lit("file")).withColumn("file_name", F.concat(F.lit("again "), "file_name")).withColumn("activity_id", k + 1_000_000_000)
+    points = fx.points(spark, sf)
+    points = points.unionByName(points.filter(k % 4 == 0).withColumn("activity_id", k + 1_000_000_000))
+    names = acts.filter(k % 7 == 0).select("file_name", F.lit("Zwift - evening").alias("new_name"))
+    marks = nearby.route_checkpoints(fx.routes(spark, sf), 50.0).withColumnRenamed("route_id", "climb_id")
+    return refresh.summary(refresh.refresh(acts.unionByName(again), points, names, fx.area_rings(spark, sf), marks))
