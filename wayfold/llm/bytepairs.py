@@ -2,8 +2,8 @@
 
 The ids are those the tokenizers library gives for the file. Where the file describes a plain
 byte-level tokenizer whose merges rank like their ids, the same merges run in tiktoken, which needs
-a third of the time and no memory of words; the tests hold both to the same ids. Files set up
-otherwise, and texts that hold one of a file's added tokens, go to the tokenizers library itself."""
+less time; the tests hold both to the same ids. Files set up otherwise, and texts that hold one of
+a file's added tokens, go to the tokenizers library itself."""
 
 from __future__ import annotations
 
