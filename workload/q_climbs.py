@@ -166,18 +166,33 @@ def top_climbs(spark, sf):
     return climbs.ranked(keyed).select("line_id", "reverse", F.col("start").cast("bigint").alias("start"), "cat", "rank")
 
 
-@query("trk_ascent", fx.oracle("""
-SELECT line_id, round(coalesce(max(total) FILTER (k = n), 0), 4) AS ascent FROM fold RIGHT JOIN (SELECT DISTINCT line_id FROM heights) USING (line_id) GROUP BY 1""", ROADS_SQL, SAMPLES_SQL, HEIGHTS_SQL, """
-meaned AS (SELECT line_id, list(v ORDER BY i) AS m, count(*) AS n FROM (SELECT line_id, i, avg(elev) OVER w AS v, count(*) OVER w AS c, count(*) OVER (PARTITION BY line_id) AS size
+ASCENT_SQL = """meaned AS (SELECT line_id, list(v ORDER BY i) AS m, count(*) AS n FROM (SELECT line_id, i, avg(elev) OVER w AS v, count(*) OVER w AS c, count(*) OVER (PARTITION BY line_id) AS size
   FROM heights WHERE elev IS NOT NULL WINDOW w AS (PARTITION BY line_id ORDER BY i ROWS BETWEEN CURRENT ROW AND 2 FOLLOWING)) WHERE c = 3 AND size >= 4 GROUP BY 1),
 fold(line_id, m, n, k, total, low) AS (SELECT line_id, m, n, 1::BIGINT, 0e0, m[1] FROM meaned
-  UNION ALL SELECT line_id, m, n, k + 1, CASE WHEN m[k + 1] - low > 3 THEN total + m[k + 1] - low ELSE total END, CASE WHEN m[k + 1] - low > 3 OR m[k + 1] < low THEN m[k + 1] ELSE low END FROM fold WHERE k < n)""", recursive=True))
+  UNION ALL SELECT line_id, m, n, k + 1, CASE WHEN m[k + 1] - low > 3 THEN total + m[k + 1] - low ELSE total END, CASE WHEN m[k + 1] - low > 3 OR m[k + 1] < low THEN m[k + 1] ELSE low END FROM fold WHERE k < n)"""
+ASCENT = "SELECT line_id, round(coalesce(max(total) FILTER (k = n), 0), 4) AS ascent FROM fold RIGHT JOIN (SELECT DISTINCT line_id FROM heights) USING (line_id) GROUP BY 1"
+
+
+@query("trk_ascent", fx.oracle(ASCENT, ROADS_SQL, SAMPLES_SQL, HEIGHTS_SQL, ASCENT_SQL, recursive=True))
 def trk_ascent(spark, sf):
     samples = sampled(spark, sf)
     heights = climbs.with_elevation(samples, elevation(spark, sf, samples), RASTER, drop_lines=False)
     return climbs.ascent(heights).withColumn("ascent", F.round("ascent", 4))
 
 
+ROUTE_SAMPLES_SQL = """samples AS (SELECT line_id, seq * 1000 + k AS i, CASE WHEN lat2 IS NULL THEN lat ELSE lat + (lat2 - lat) * k / n END AS lat, CASE WHEN lon2 IS NULL THEN lon ELSE lon + (lon2 - lon) * k / n END AS lon, flat, name FROM (
+  SELECT *, unnest(range(n)) AS k FROM (SELECT *, coalesce(greatest(1, floor(sqrt(pow((lat2 - lat) * 110574e0, 2) + pow((lon2 - lon) * 111320e0 * cos(radians(lat)), 2)) / 30)), 1)::BIGINT AS n FROM (
+    SELECT *, lead(lat) OVER w AS lat2, lead(lon) OVER w AS lon2 FROM roads WINDOW w AS (PARTITION BY line_id ORDER BY seq)))))"""
+
+
+@query("trk_ascent_route", fx.oracle(ASCENT, ROADS_SQL, ROUTE_SAMPLES_SQL, HEIGHTS_SQL, ASCENT_SQL, recursive=True))
+def trk_ascent_route(spark, sf):
+    """Ascent of whole routes, sampled every 30 m as a route catalogue does."""
+    samples = cut(climbs.route_samples(road_points(spark, sf)))
+    heights = climbs.with_elevation(samples, elevation(spark, sf, samples), RASTER, drop_lines=False)
+    return climbs.ascent(heights).withColumn("ascent", F.round("ascent", 4))
+
+
 @query("trk_checkpoints_climb", fx.oracle("""
 SELECT climb_id, (row_number() OVER (PARTITION BY climb_id ORDER BY seq) - 1)::INTEGER AS idx, round(lat, 6) AS lat, round(lon, 6) AS lon FROM (
   SELECT climb_id, seq, lat, lon FROM acc WHERE hit OR seq = 0 OR seq = n - 1)""", """
