@@ -387,6 +387,32 @@ def agg_year_in_review(spark, sf):
                       "eddington_before", "eddington_after", "new_areas")
 
 
+def _first_year(name, facts, column):
+    """Oracle: ids whose first activity lies in 2024."""
+    return f"LEFT JOIN (SELECT athlete_id, count(*) FILTER (first >= TIMESTAMP '2024-01-01') AS {name} FROM (SELECT f.athlete_id, {column}, min(start_ts) AS first FROM ({facts}) f JOIN review_acts USING (athlete_id, activity_id) GROUP BY 1, 2) GROUP BY 1) USING (athlete_id)"
+
+
+@query("agg_year_new", fx.oracle("SELECT athlete_id, coalesce(new_countries, 0) AS new_countries, coalesce(new_climbs, 0) AS new_climbs, coalesce(new_items, 0) AS new_items, coalesce(new_routes, 0) AS new_routes, coalesce(cluster_before, 0) AS cluster_before, coalesce(cluster_after, 0) AS cluster_after FROM (SELECT DISTINCT athlete_id FROM review_acts WHERE year(start_ts) = 2024) "
+    + _first_year("new_countries", "SELECT DISTINCT athlete_id, activity_id, split_part(code, ':', 1) AS country FROM fx_points p JOIN fx_area_rects r ON " + INSIDE.replace("r.holed", "false"), "country")
+    + _first_year("new_climbs", CLIMB_MATCH_SQL, "climb_id") + _first_year("new_items", "SELECT athlete_id, activity_id, item_id FROM fx_visits", "item_id") + """
+LEFT JOIN (SELECT athlete_id, count(*) FILTER (at_end >= 0.9e0 * total AND at_start < 0.9e0 * total) AS new_routes FROM (SELECT athlete_id, route_id, count(DISTINCT idx) AS at_end, count(DISTINCT idx) FILTER (start_ts < TIMESTAMP '2024-01-01') AS at_start
+  FROM fx_hits JOIN review_acts USING (athlete_id, activity_id) WHERE start_ts < TIMESTAMP '2025-01-01' GROUP BY 1, 2) JOIN (SELECT route_id, count(*) AS total FROM fx_checkpoints GROUP BY 1) USING (route_id) GROUP BY 1) USING (athlete_id)
+LEFT JOIN (SELECT athlete_id, max(size) FILTER (NOT after)::BIGINT AS cluster_before, max(size) FILTER (after)::BIGINT AS cluster_after FROM (SELECT athlete_id, after, label, count(*) AS size FROM (
+  SELECT i.athlete_id, i.after, i.x, i.y, min(r.tx * 100000 + r.ty) AS label FROM inner_tiles i JOIN reach r USING (athlete_id, after, x, y) GROUP BY ALL) GROUP BY ALL) GROUP BY 1) USING (athlete_id)""",
+    *HIT_CTES, AR, fx.ACTIVITY_TILES_SQL, fx.PLACES_SQL, VISITS_SQL, REVIEW_ACTS, """at_cut AS (SELECT DISTINCT athlete_id, true AS after, tile_key // 4294967296 AS x, tile_key % 4294967296 AS y FROM fx_activity_tiles UNION
+  SELECT DISTINCT athlete_id, false, tile_key // 4294967296, tile_key % 4294967296 FROM fx_activity_tiles JOIN review_acts USING (athlete_id, activity_id) WHERE start_ts < TIMESTAMP '2024-01-01'),
+inner_tiles AS (SELECT t.* FROM at_cut t WHERE (SELECT count(*) FROM at_cut n WHERE n.athlete_id = t.athlete_id AND n.after = t.after AND abs(n.x - t.x) + abs(n.y - t.y) = 1) = 4),
+reach AS (SELECT athlete_id, after, x, y, x AS tx, y AS ty FROM inner_tiles UNION SELECT r.athlete_id, r.after, n.x, n.y, r.tx, r.ty FROM reach r JOIN inner_tiles n ON n.athlete_id = r.athlete_id AND n.after = r.after AND abs(n.x - r.x) + abs(n.y - r.y) = 1)""", recursive=True))
+def agg_year_new(spark, sf):
+    """What the year brought: countries, climbs, items and routes that were new, and the cluster's growth."""
+    points, acts = fx.points(spark, sf), review_activities(spark, sf)
+    marks = cut(nearby.route_checkpoints(fx.routes(spark, sf), 50.0))
+    countries = areas.track_countries(points, areas.cell_index(fx.area_rings(spark, sf), areas.COUNTRY_CELL, outer_only=True))
+    out = review.year_in_review(acts, cut(tracks.tiles(points)), 2024, activity_countries=cut(countries), activity_climbs=nearby.climb_matches(points, marks.withColumnRenamed("route_id", "climb_id")),
+                                challenge_hits=nearby.place_visits(points, fx.places(spark, sf)), checkpoint_hits=nearby.checkpoint_hits(points, marks), checkpoint_counts=marks.groupBy("route_id").agg(F.count("*").alias("total")))
+    return out.select("athlete_id", "new_countries", "new_climbs", "new_items", "new_routes", F.col("cluster_before").cast("bigint").alias("cluster_before"), F.col("cluster_after").cast("bigint").alias("cluster_after"))
+
+
 @query("agg_review_years", fx.oracle("SELECT DISTINCT athlete_id, year(start_ts)::INTEGER AS year FROM fx_activities", A))
 def agg_review_years(spark, sf):
     return review.years(fx.activities(spark, sf))

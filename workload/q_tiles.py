@@ -2,9 +2,11 @@
 
 from pyspark.sql import functions as F
 
+from wayfold.functions import activity as fa
 from wayfold.functions import geo
-from wayfold.operators import tiles, tracks
+from wayfold.operators import areas, tiles, tracks
 from workload import fixtures as fx
+from workload.q_areas import INSIDE
 from workload.registry import query
 
 T, P = fx.TILES_SQL, fx.POINTS_SQL
@@ -16,6 +18,17 @@ def agg_visited(spark, sf):
     return seen.groupBy("athlete_id").agg(F.count(F.lit(1)).alias("tiles"))
 
 
+@query("agg_visited_on_map", fx.oracle(f"""SELECT athlete_id, tiles, coalesce(areas, 0) AS areas FROM (SELECT athlete_id, count(DISTINCT tile_key) AS tiles FROM fx_activity_tiles WHERE activity_id % 11 <> 0 GROUP BY 1)
+LEFT JOIN (SELECT athlete_id, count(DISTINCT code) AS areas FROM fx_dense p JOIN fx_area_rects r ON {INSIDE} WHERE activity_id % 11 <> 0 GROUP BY 1) USING (athlete_id)""", P, fx.ACTIVITY_TILES_SQL, fx.AREAS_SQL))
+def agg_visited_on_map(spark, sf):
+    """Tiles and areas of activities on the map; every eleventh is virtual."""
+    points = fx.points(spark, sf)
+    on_map = fx.point_activities(spark, sf).withColumn("is_virtual", F.col("activity_id") % 11 == 0).filter(fa.is_on_map("is_virtual", "n_points"))
+    seen = tiles.visited(tracks.tiles(points), on_map).groupBy("athlete_id").agg(F.count("*").alias("tiles"))
+    inside = tiles.visited(areas.track_areas(points, areas.cell_index(fx.area_rings(spark, sf))), on_map, ("code",)).groupBy("athlete_id").agg(F.count("*").alias("areas"))
+    return seen.join(inside, "athlete_id", "left").select("athlete_id", "tiles", F.coalesce("areas", F.lit(0)).alias("areas"))
+
+
 HISTORY_SQL = f"""reached AS (
   SELECT athlete_id, activity_id, {fx.d_tile_key('lat', 'lon')} AS tile_key, min((seq, sub)) AS pos FROM fx_walk GROUP BY ALL),
 fx_history AS (
