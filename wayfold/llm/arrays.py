@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import sys
 from collections.abc import Sequence
 
@@ -28,6 +29,15 @@ def remainder(doc_id: Column, m: int) -> Column:
     return F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")) % m
 
 
+def release() -> None:
+    """Gives freed memory back to the system, so that a worker's next stage starts small."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):  # another C library
+        pass
+
+
 def aside(docs: DataFrame, names: Sequence[str]) -> DataFrame:
     """``docs`` with columns that are called like one of ``names`` renamed: underscores are appended
     until the name is free."""

@@ -25,7 +25,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from wayfold.llm.arrays import by_value, pack, slices, split_words, unpack
+from wayfold.llm.arrays import by_value, pack, release, slices, split_words, unpack
 from wayfold.llm.storage import drop, put
 from wayfold.llm.trie import GRID, Trie, quantise, restore
 
@@ -35,7 +35,7 @@ by_value(__name__)
 START, END, FIRST = 0, 1, 2
 #: Weight of the longer context, bytes of text in a slice, text bytes per shard, and the count
 #: above which a context is split.
-WEIGHT, SLICE, SHARD, HOT = 0.15, 7 << 20, 10 << 20, 2_000_000
+WEIGHT, SLICE, SHARD, HOT = 0.15, 7 << 20, 7 << 20, 2_000_000
 MODEL = -1
 SCHEMA = "kind string, block bigint, shard int, body array<binary>"
 ARROW = pa.schema([("kind", pa.string()), ("block", pa.int64()), ("shard", pa.int32()), ("body", pa.list_(pa.binary()))])
@@ -91,6 +91,8 @@ def _tokenised(docs: DataFrame, shards: int) -> DataFrame:
                 held = np.array([d is None for d in ids])
                 out.append(("state", block, None, [pack(v) for v in (np.array([d or 0 for d in ids], np.int64), held.astype(np.uint8), train.astype(np.uint8), sizes.astype(np.int32), place[at])]))
                 yield _rows(out)
+                del out, words, at, hashed, shard, order, place
+                release()
 
     return docs.mapInArrow(run, SCHEMA)
 
@@ -190,6 +192,8 @@ def _serve(order: int, weight: float):
             begin += n
             out.append((f"answer{order}", block, s, [pack(codes[own]), pack(counts[own])]))
         out.append(("model", MODEL, s, given))
+        del rows, columns, inverse, first, codes, counts, place, there
+        release()
         return pa.Table.from_batches([_rows(out)])
 
     return run
@@ -303,6 +307,8 @@ def _asking(shards: int, hot: int, facts, turn: int = 0, turns: int = 1):
             for row in batch.to_pylist():
                 if own := [("ask", row["block"], s, body) for s, body in _Slice(row["body"], *facts).question(shards, hot, lambda s: s % turns == turn)]:
                     yield _rows(own)
+                own = None
+                release()
 
     return run
 
@@ -313,6 +319,7 @@ def _next(shards: int, hot: int, facts):
         for batch in batches:
             for row in batch.to_pylist():
                 yield _rows([("state", row["block"], None, _Slice(row["body"], *facts).climb(row["answers"], shards, hot).save())])
+                release()
 
     return run
 
