@@ -35,7 +35,7 @@ by_value(__name__)
 START, END, FIRST = 0, 1, 2
 #: Weight of the longer context, bytes of text in a slice, text bytes per shard, and the count
 #: above which a context is split.
-WEIGHT, SLICE, SHARD, HOT = 0.15, 7 << 20, 7 << 20, 2_000_000
+WEIGHT, SLICE, SHARD, HOT = 0.15, 6 << 20, 7 << 20, 2_000_000
 MODEL = -1
 SCHEMA = "kind string, block bigint, shard int, body array<binary>"
 ARROW = pa.schema([("kind", pa.string()), ("block", pa.int64()), ("shard", pa.int32()), ("body", pa.list_(pa.binary()))])
