@@ -6,7 +6,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from wayfold.functions import activity as fa
-from wayfold.operators import ordered
+from wayfold.operators import nearby, ordered
+from wayfold.session import cut
 
 
 def pending(activities: DataFrame, challenges: DataFrame, results: DataFrame) -> DataFrame:
@@ -48,6 +49,14 @@ def route_coverage(hits: DataFrame, counts: DataFrame) -> DataFrame:
     return passed.join(known, "route_id").select("athlete_id", "route_id", F.least(F.lit(1.0), F.col("passed") / F.col("total")).alias("share"))
 
 
+def tracks_coverage(points: DataFrame, checkpoints: DataFrame) -> DataFrame:
+    """``route_coverage`` of tracks; routes with the same checkpoints (route_id, idx, lat, lon) are matched once."""
+    twins = cut(nearby.same_checkpoints(checkpoints))
+    once = checkpoints.join(twins.filter("route_id = same").select("route_id"), "route_id", "left_semi")
+    shares = route_coverage(nearby.checkpoint_hits(points, once), once.groupBy("route_id").agg(F.count(F.lit(1)).alias("total")))
+    return shares.withColumnRenamed("route_id", "same").join(twins, "same").select("athlete_id", "route_id", "share")
+
+
 def challenge_done(shares: DataFrame, items: DataFrame, visits: DataFrame, challenges: DataFrame) -> DataFrame:
     """Items done and items in all per athlete and challenge.
 

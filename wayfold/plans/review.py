@@ -62,8 +62,10 @@ def year_in_review(activities: DataFrame, activity_tiles: DataFrame, year: int,
         if facts is not None:
             out = out.join(_new_ids(facts, activities, column, year, tz, name), "athlete_id", "left").withColumn(name, F.coalesce(name, F.lit(0)))
     if checkpoint_hits is not None and checkpoint_counts is not None:
+        # ``copies``: how many routes have these checkpoints, where only one of them was matched.
+        copies = F.col("copies") if "copies" in checkpoint_counts.columns else F.lit(1).cast("bigint")
         dated = _cuts(checkpoint_hits.join(activities.select("athlete_id", "activity_id", "start_ts"), ["athlete_id", "activity_id"]), year, tz)
-        passed = dated.groupBy(*CUT, "route_id").agg(F.count_distinct("idx").alias("n")).join(checkpoint_counts, "route_id").filter(F.col("n") >= coverage * F.col("total"))
-        done = passed.groupBy("athlete_id", "route_id").agg(F.bool_or(~F.col("after")).alias("earlier")).filter("not earlier").groupBy("athlete_id").agg(F.count(F.lit(1)).alias("new_routes"))
+        passed = dated.groupBy(*CUT, "route_id").agg(F.count_distinct("idx").alias("n")).join(checkpoint_counts.withColumn("_copies", copies), "route_id").filter(F.col("n") >= coverage * F.col("total"))
+        done = passed.groupBy("athlete_id", "route_id", "_copies").agg(F.bool_or(~F.col("after")).alias("earlier")).filter("not earlier").groupBy("athlete_id").agg(F.sum("_copies").alias("new_routes"))
         out = out.join(done, "athlete_id", "left").withColumn("new_routes", F.coalesce("new_routes", F.lit(0)))
     return out
