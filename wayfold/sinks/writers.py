@@ -112,6 +112,14 @@ def write_gpx(lines: DataFrame, path: str) -> None:
      .write.mode("overwrite").partitionBy("route_id").text(path))
 
 
+def write_gpx_bundles(lines: DataFrame, path: str) -> None:
+    """All routes in a few large text files, one whole document after another.
+
+    A file a route costs some file system calls each, which for many short routes outweigh the rest;
+    ``gpx.read_gpx`` reads both (``bundled``)."""
+    lines.repartition("route_id").sortWithinPartitions("route_id", "part", "seq").select("line").write.mode("overwrite").text(path)
+
+
 def snapshot_tiles(tiles: DataFrame, path: str) -> DataFrame:
     """Rewrites an athlete's visited tiles only where they changed; returns the changed athletes.
 

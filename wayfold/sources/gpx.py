@@ -15,14 +15,24 @@ def _read(spark: SparkSession, path: str) -> DataFrame:
             .withColumn("file", F.element_at(F.split(F.col("_metadata.file_path"), "/"), -1)))
 
 
+def _read_bundles(spark: SparkSession, path: str) -> DataFrame:
+    """Files of one document after another, such as the sink's: cut at the closing tags, so one file is
+    read by many tasks. ``file`` names the document: its file and a number."""
+    texts = spark.read.option("lineSep", "</gpx>").text(path).withColumn("file", F.element_at(F.split(F.col("_metadata.file_path"), "/"), -1))
+    numbered = texts.withColumn("start", F.locate("<gpx", F.col("value"))).withColumn("file", F.concat_ws("#", "file", F.monotonically_increasing_id().cast("string")))
+    document = F.concat(F.substr("value", "start"), F.lit("</gpx>"))
+    return numbered.filter("start > 0").withColumn("gpx", F.from_xml(document, SCHEMA)).select("gpx.*", "file")
+
+
 def _points(groups: Column, pick) -> Column:
     points = F.flatten(F.transform(F.coalesce(groups, F.array()), lambda g: F.coalesce(pick(g), F.array())))
     return F.filter(points, lambda p: p["_lat"].isNotNull() & p["_lon"].isNotNull())
 
 
-def read_gpx(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
-    """(points, waypoints) of each file: track points, else route points, else waypoints."""
-    docs = _read(spark, path)
+def read_gpx(spark: SparkSession, path: str, bundled: bool = False) -> tuple[DataFrame, DataFrame]:
+    """(points, waypoints) of each file, or each document of ``bundled`` files: track points, else
+    route points, else waypoints."""
+    docs = _read_bundles(spark, path) if bundled else _read(spark, path)
     track = _points(F.col("trk"), lambda t: F.flatten(F.transform(t["trkseg"], lambda s: F.coalesce(s["trkpt"], F.array()))))
     route = _points(F.col("rte"), lambda r: r["rtept"])
     way = F.filter(F.coalesce("wpt", F.array()), lambda p: p["_lat"].isNotNull() & p["_lon"].isNotNull())
