@@ -57,14 +57,19 @@ def tracks_coverage(points: DataFrame, checkpoints: DataFrame) -> DataFrame:
     return shares.withColumnRenamed("route_id", "same").join(twins, "same").select("athlete_id", "route_id", "share")
 
 
-def challenge_done(shares: DataFrame, items: DataFrame, visits: DataFrame, challenges: DataFrame) -> DataFrame:
+def challenge_done(shares: DataFrame, items: DataFrame, visits: DataFrame, challenges: DataFrame, copies: DataFrame | None = None) -> DataFrame:
     """Items done and items in all per athlete and challenge.
 
     ``shares`` (athlete_id, challenge_id, route_id, share) decide cover challenges; any visit
-    decides the others."""
+    decides the others. ``items`` are rows (challenge_id, item_id) or totals (challenge_id, total). With
+    ``copies`` (challenge_id, item_id, copies) an item stands for that many."""
     covered = (shares.join(challenges.filter("is_cover").select("challenge_id", "coverage"), "challenge_id").filter("share >= coverage")
                .select("athlete_id", "challenge_id", F.col("route_id").alias("item_id")))
     seen = visits.join(challenges.filter("not is_cover").select("challenge_id"), "challenge_id").select("athlete_id", "challenge_id", "item_id")
-    done = covered.unionByName(seen).distinct().groupBy("athlete_id", "challenge_id").agg(F.count(F.lit(1)).alias("done"))
-    totals = items.groupBy("challenge_id").agg(F.count_distinct("item_id").alias("total"))
+    done = covered.unionByName(seen).distinct()
+    weight = F.lit(1)
+    if copies is not None:
+        done, weight = done.join(copies, ["challenge_id", "item_id"], "left"), F.coalesce("copies", F.lit(1))
+    done = done.groupBy("athlete_id", "challenge_id").agg(F.sum(weight).alias("done"))
+    totals = items if "total" in items.columns else items.groupBy("challenge_id").agg(F.count_distinct("item_id").alias("total"))
     return done.join(totals, "challenge_id").select("athlete_id", "challenge_id", "done", "total")
