@@ -47,3 +47,14 @@ def test_exploded_rows_are_not_broadcast_on_a_guess(spark, tmp_path):
     spark.range(200_000).withColumnRenamed("id", "p_partkey").coalesce(1).write.parquet(str(tmp_path / "part.parquet"))
     plan = q_climbs.trk_resample(measured_broadcasts(spark), str(tmp_path))._jdf.queryExecution().executedPlan().toString()
     assert "SortMergeJoin" in plan and "BroadcastHashJoin" not in plan
+
+
+def test_places_of_one_spot_are_not_exchanged_again(spark):
+    pts = spark.createDataFrame([(1, k, i, 52.0 + 0.001 * i, 5.0) for k in (1, 2) for i in range(3)], "athlete_id long, activity_id long, seq int, lat double, lon double")
+    here, there = (52.0005, 5.0, 200.0), (52.0015, 5.0, 200.0)
+    rows = [("c", 1, *here), ("c", 1, *here), ("c", 2, *here), ("c", 3, *here), ("c", 3, *there), ("d", 3, *there), (None, 4, *there), ("c", 5, 40.0, 5.0, 200.0)]
+    got = nearby.place_visits(pts, spark.createDataFrame(rows, "challenge_id string, item_id long, lat double, lon double, radius double"))
+    want = [(k, c, i) for k in (1, 2) for c, i in (("c", 1), ("c", 2), ("c", 3), ("d", 3), (None, 4))]
+    assert sorted(map(str, got.select("activity_id", "challenge_id", "item_id").toLocalIterator())) == sorted(f"Row(activity_id={k}, challenge_id={c!r}, item_id={i})" for k, c, i in want)
+    plan = got._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.startswith("Union") and plan.count("Aggregate [") == 1
