@@ -1,6 +1,7 @@
 """Targets and lines that stand on one spot are met once, and guessed sizes don't decide on broadcasts."""
 
 from wayfold.operators import nearby, progress, routes
+from wayfold.plans import challenge_results
 from wayfold.session import measured_broadcasts
 from workload import q_climbs
 
@@ -58,3 +59,15 @@ def test_places_of_one_spot_are_not_exchanged_again(spark):
     assert sorted(map(str, got.select("activity_id", "challenge_id", "item_id").toLocalIterator())) == sorted(f"Row(activity_id={k}, challenge_id={c!r}, item_id={i})" for k, c, i in want)
     plan = got._jdf.queryExecution().optimizedPlan().toString()
     assert plan.startswith("Union") and plan.count("Aggregate [") == 1
+
+
+def test_visits_of_places_of_one_spot(spark):
+    places = spark.createDataFrame([("c", i, 52.0, 5.0, 200.0) for i in (1, 2)] + [("c", 3, 53.0, 5.0, 200.0), ("d", 1, 52.0, 5.0, 200.0)], "challenge_id string, item_id long, lat double, lon double, radius double")
+    same = challenge_results.same_items(places)
+    first = {(r.challenge_id, r.item_id) for r in challenge_results.first_items(places, same).collect()}
+    assert first == {("c", 1), ("c", 3), ("d", 1)}
+    hits = spark.createDataFrame([(1, k, c, i, "k") for k in (10, 11) for c, i in (("c", 1), ("d", 1))], "athlete_id long, activity_id long, challenge_id string, item_id long, key string")
+    acts = spark.createDataFrame([(1, k, k * 100000) for k in (10, 11)], "athlete_id long, activity_id long, t long").selectExpr("athlete_id", "activity_id", "timestamp_seconds(t) as start_ts")
+    live = spark.createDataFrame([("c", "k"), ("d", "k")], "challenge_id string, key string")
+    got = progress.visit_dates(hits, live, acts, same).selectExpr("challenge_id", "item_id", "ord", "unix_seconds(visit_ts) as t").collect()
+    assert sorted(map(tuple, got)) == [(c, i, n, t) for c, i in (("c", "1"), ("c", "2"), ("d", "1")) for n, t in ((1, 1100000), (2, 1000000))]

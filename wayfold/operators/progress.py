@@ -30,16 +30,21 @@ def upsert(results: DataFrame, new: DataFrame, live: DataFrame) -> DataFrame:
     return kept.unionByName(new).join(live.select("challenge_id"), "challenge_id", "left_semi")
 
 
-def visit_dates(hits: DataFrame, challenges: DataFrame, activities: DataFrame) -> DataFrame:
+def visit_dates(hits: DataFrame, challenges: DataFrame, activities: DataFrame, same: DataFrame | None = None) -> DataFrame:
     """Visits of each item, newest first: (athlete_id, challenge_id, item_id, ord, visit_ts).
 
     Only results with the challenge's current key count. Rows instead of arrays keep a place that
-    everybody visits spread over tasks."""
+    everybody visits spread over tasks. With ``same`` (challenge_id, item_id, same) the hits name the
+    first of the items that lie together; the others are added by a last join."""
     current = hits.join(challenges.select("challenge_id", "key"), ["challenge_id", "key"])
     dated = current.join(activities.select("athlete_id", "activity_id", "start_ts"), ["athlete_id", "activity_id"])
     keys = ["athlete_id", "challenge_id", "item_id"]
     rows = dated.select(*keys, "activity_id", F.col("start_ts").alias("visit_ts"))
-    return ordered.ordinals(rows, keys, [F.desc_nulls_last("visit_ts"), "activity_id"], F.coalesce(F.unix_date(F.to_date("visit_ts")), F.lit(-(10 ** 6))), "ord", descending=True)
+    out = ordered.ordinals(rows, keys, [F.desc_nulls_last("visit_ts"), "activity_id"], F.coalesce(F.unix_date(F.to_date("visit_ts")), F.lit(-(10 ** 6))), "ord", descending=True)
+    if same is None:
+        return out
+    first = cut(out.withColumn("same", F.col("item_id").cast("string")).drop("item_id"))
+    return first.join(same, ["challenge_id", "same"]).select(*out.columns)
 
 
 def route_coverage(hits: DataFrame, counts: DataFrame) -> DataFrame:

@@ -32,13 +32,14 @@ def empty(spark) -> Results:
     return Results(spark.createDataFrame([], CHECKED), spark.createDataFrame([], CHECKED + ", item_id STRING, idx BIGINT"))
 
 
-def same_items(places: DataFrame, lines: DataFrame) -> DataFrame:
+def same_items(places: DataFrame, lines: DataFrame | None = None) -> DataFrame:
     """(challenge_id, item_id, same): for each item the first of its challenge with the same geometry.
 
     Items are compared by two sums of 64-bit hashes over their rows, so none is gathered in one value."""
     own = ["challenge_id", F.col("item_id").cast("string").alias("item_id")]
-    marks = (places.select(*own, F.xxhash64("lat", "lon", "radius").alias("a"), F.xxhash64(F.lit("second"), "lat", "lon", "radius").alias("b")).distinct().withColumn("line", F.lit(False))
-             .unionByName(lines.select(*own, F.xxhash64("piece", "seq", "lat", "lon").alias("a"), F.xxhash64(F.lit("second"), "piece", "seq", "lat", "lon").alias("b")).withColumn("line", F.lit(True))))
+    marks = places.select(*own, F.xxhash64("lat", "lon", "radius").alias("a"), F.xxhash64(F.lit("second"), "lat", "lon", "radius").alias("b")).distinct().withColumn("line", F.lit(False))
+    if lines is not None:
+        marks = marks.unionByName(lines.select(*own, F.xxhash64("piece", "seq", "lat", "lon").alias("a"), F.xxhash64(F.lit("second"), "piece", "seq", "lat", "lon").alias("b")).withColumn("line", F.lit(True)))
     sums = cut(marks.groupBy("challenge_id", "item_id").agg(F.struct(*[F.sum(F.col(c).cast("decimal(20,0)")) for c in ("a", "b")], F.count(F.lit(1)), F.count_if("line")).alias("shape")))
     first = sums.groupBy("challenge_id", "shape").agg(F.min("item_id").alias("same"))
     return sums.join(first, ["challenge_id", "shape"]).select("challenge_id", "item_id", "same")
@@ -50,7 +51,8 @@ def hits_of_items(results: Results, same: DataFrame) -> DataFrame:
     return hits.join(same, ["challenge_id", "same"]).select(*results.hits.columns)
 
 
-def _firsts(items: DataFrame, same: DataFrame) -> DataFrame:
+def first_items(items: DataFrame, same: DataFrame) -> DataFrame:
+    """The rows of places or lines of the first items."""
     first = same.filter("item_id = same").select("challenge_id", F.col("same").alias("_item"))
     return items.join(first, (items["challenge_id"] == first["challenge_id"]) & (items["item_id"].cast("string") == first["_item"]), "left_semi")
 
@@ -63,7 +65,7 @@ def update(stored: Results, activities: DataFrame, points: DataFrame, challenges
     challenges that are gone leave. ``places`` have (challenge_id, item_id, lat, lon, radius),
     ``lines`` (challenge_id, item_id, piece, seq, lat, lon)."""
     same = cut(same_items(places, lines))
-    places, lines = _firsts(places, same), _firsts(lines, same)
+    places, lines = first_items(places, same), first_items(lines, same)
     on_map = activities.filter(fa.is_on_map("is_virtual", "n_points"))
     wanted = cut(progress.pending(on_map, challenges, stored.checked).select("athlete_id", "activity_id", "challenge_id", "key"))
     facts = on_map.select("athlete_id", "activity_id", "sport")
@@ -107,7 +109,7 @@ def standing(results: Results, challenges: DataFrame, places: DataFrame, lines:
     same = cut(same_items(places, lines))
     totals = same.groupBy("challenge_id").agg(F.count(F.lit(1)).alias("total"))
     copies = same.groupBy("challenge_id", F.col("same").alias("item_id")).agg(F.count(F.lit(1)).alias("copies"))
-    lines = _firsts(lines, same)
+    lines = first_items(lines, same)
     now = results.hits.join(challenges.select("challenge_id", "key"), ["challenge_id", "key"], "left_semi")
     cover = challenges.select("challenge_id", ((F.col("kind") == "routes") & (F.col("complete") == "cover")).alias("is_cover"), "coverage", "spacing")
     marks = None
