@@ -1,6 +1,8 @@
 """What a task holds or looks through doesn't grow faster than its input."""
 
-from wayfold.operators import climbs
+from datetime import datetime, timedelta
+
+from wayfold.operators import climbs, merge
 
 
 def _plan(df):
@@ -25,3 +27,19 @@ def test_gaps_of_a_block_are_not_sought_sample_by_sample(spark):
     assert "filter(" not in _plan(blocks)[0]
     elev = {(r.brow, r.bcol): r.elev for r in blocks.collect()}[0, 0]
     assert [i for i, e in enumerate(elev) if e is None] == [0, 3 * 17 + 4, 288] and elev[18] == 7.0 and elev[2 * 17 + 5] == 205.0
+
+
+def test_grouping_reads_its_input_a_few_times(spark):
+    """Equal activities were gathered anew for every kind of link."""
+    begin, reads = datetime(2024, 1, 1, 9, 0, 0), spark.sparkContext.accumulator(0)
+    starts = [0, 100, 219, 340, 3590, 3601, 3700, 7000, 7199, 7200, 7330]  # 340 and 7330 follow 121 s and more later
+    rows = [(1, i, begin + timedelta(seconds=s), 10.0, "Cycling") for i, s in enumerate(starts)]
+
+    def told(row):
+        reads.add(1)
+        return row
+
+    acts = spark.createDataFrame(spark.sparkContext.parallelize(rows, 2).map(told), "athlete_id long, activity_id long, start_ts timestamp, elapsed_s double, sport string")
+    got = {r.activity_id: r.group_id for r in merge.duplicate_groups(acts).collect()}
+    assert got == {0: 0, 1: 0, 2: 0, 3: 3, 4: 4, 5: 4, 6: 4, 7: 7, 8: 8, 9: 8, 10: 10}
+    assert reads.value <= 5 * len(rows)

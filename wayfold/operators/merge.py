@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from wayfold.functions import activity as fa
 from wayfold.operators import graph
+from wayfold.session import cut
 
 # Seconds between starts that always mean one workout, and the overlap shares.
 TOLERANCE_S = 120
@@ -14,7 +15,7 @@ SAME_OVERLAP, SAME_KIND_OVERLAP = 0.8, 0.5
 
 _US = 1_000_000
 _BUCKET_US = 4 * 3600 * _US
-_SLOT_US = 60 * _US
+_HOUR_US = 3600 * _US
 
 
 def _timed(activities: DataFrame) -> DataFrame:
@@ -65,22 +66,20 @@ def duplicate_groups(activities: DataFrame) -> DataFrame:
     In start order an activity joins the first group with a same-workout member, which is the group
     of its smallest ancestor along same-workout links, so labels are propagated over links:
     * identical (start, elapsed, kind) rows collapse to their first and last id beforehand;
-    * the "starts within 120 s" rule needs only links between neighbours of one-minute slots and to
-      the last row of the two slots before, because labels never grow within a slot;
+    * the "starts within 120 s" rule needs only links between neighbours in start order: whatever lies
+      between two such rows is linked to the next one too;
     * the overlap rule is an equi-join on four-hour buckets, each later start in one bucket only.
     ``group_id`` is the id of the group's first member; undated activities stand alone."""
     rows = _timed(activities)
-    classes = rows.groupBy("athlete_id", "start_us", "elapsed", "kind").agg(F.min("activity_id").alias("first"), F.max("activity_id").alias("last"))
+    classes = cut(rows.groupBy("athlete_id", "start_us", "elapsed", "kind").agg(F.min("activity_id").alias("first"), F.max("activity_id").alias("last")))
     nodes = classes.select("athlete_id", "start_us", "elapsed", "kind", "first", "last",
                            F.explode(F.array_distinct(F.array("first", "last"))).alias("activity_id"))
-    rank = F.struct("start_us", "activity_id")
-    slot = F.floor(F.col("start_us") / _SLOT_US)
-    slotted = nodes.select("athlete_id", "start_us", slot.alias("slot"), rank.alias("dst"))
-    chain = slotted.select("athlete_id", "dst", F.lag("dst").over(Window.partitionBy("athlete_id", "slot").orderBy("dst")).alias("src"))
-    span = slotted.groupBy("athlete_id", "slot").agg(F.min("dst").alias("head"), F.max("dst").alias("src"))
-    ahead = span.select("athlete_id", "src", F.explode(F.array(F.col("slot") + 1, F.col("slot") + 2)).alias("slot"))
-    near = (span.select("athlete_id", "slot", F.col("head").alias("dst")).join(ahead, ["athlete_id", "slot"])
-            .filter(F.col("dst.start_us") - F.col("src.start_us") <= TOLERANCE_S * _US).select("athlete_id", "dst", "src"))
+    # Rows near the end of an hour also stand in the next one, as what its first row may follow.
+    home, slack = F.floor(F.col("start_us") / _HOUR_US), TOLERANCE_S * _US
+    hours = F.when(F.pmod(F.col("start_us"), F.lit(_HOUR_US)) >= _HOUR_US - slack, F.array(home, home + 1)).otherwise(F.array(home))
+    placed = nodes.select("athlete_id", F.struct("start_us", "activity_id").alias("dst"), home.alias("home"), F.explode(hours).alias("hour"))
+    chain = (placed.withColumn("src", F.lag("dst").over(Window.partitionBy("athlete_id", "hour").orderBy("dst")))
+             .filter((F.col("hour") == F.col("home")) & (F.col("dst.start_us") - F.col("src.start_us") <= slack)).select("athlete_id", "dst", "src"))
     timed = F.struct("activity_id", "start_us", "elapsed", "kind")
     earlier = (nodes.filter((F.col("activity_id") == F.col("last")) & (F.col("elapsed") > 0))
                .select("athlete_id", timed.alias("a"), _buckets(F.col("start_us"), _end_us()).alias("bucket")))
@@ -90,7 +89,7 @@ def duplicate_groups(activities: DataFrame) -> DataFrame:
                .filter((F.col("b.start_us") - F.col("a.start_us") > TOLERANCE_S * _US) & _overlap_rule("a", "b"))
                .select("athlete_id", F.struct(F.col("b.start_us").alias("start_us"), F.col("b.activity_id").alias("activity_id")).alias("dst"),
                        F.struct(F.col("a.start_us").alias("start_us"), F.col("a.activity_id").alias("activity_id")).alias("src")))
-    edges = chain.filter("src is not null").unionByName(near).unionByName(overlap)
+    edges = chain.unionByName(overlap)
     labels = graph.propagate_min(edges, ["athlete_id"])
     # A row's label is the label of the last node at or before it; that differs from its class's
     # last node only while other rows of the very same start come in between.
