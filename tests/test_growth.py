@@ -3,6 +3,7 @@
 from datetime import datetime, timedelta
 
 from wayfold.operators import climbs, merge
+from wayfold.sinks import writers
 
 
 def _plan(df):
@@ -43,3 +44,12 @@ def test_grouping_reads_its_input_a_few_times(spark):
     got = {r.activity_id: r.group_id for r in merge.duplicate_groups(acts).collect()}
     assert got == {0: 0, 1: 0, 2: 0, 3: 3, 4: 4, 5: 4, 6: 4, 7: 7, 8: 8, 9: 8, 10: 10}
     assert reads.value <= 5 * len(rows)
+
+
+def test_snapshot_has_one_file_an_athlete(spark, tmp_path):
+    """Tiles 200 columns apart lay in several files of every athlete."""
+    tiles = spark.createDataFrame([(a, (8400 + 40 * i) * 2 ** 32 + 5400) for a in (1, 2) for i in range(6)], "athlete_id long, tile_key long")
+    path = str(tmp_path / "tiles")
+    assert writers.snapshot_tiles(tiles, path).count() == 2
+    assert [len(list((tmp_path / "tiles" / f"athlete_id={a}").glob("*.parquet"))) for a in (1, 2)] == [1, 1]
+    assert sorted(map(tuple, spark.read.parquet(path).select("athlete_id", "tile_key").collect())) == sorted(map(tuple, tiles.collect()))

@@ -120,6 +120,10 @@ def write_gpx_bundles(lines: DataFrame, path: str) -> None:
     lines.repartition("route_id").sortWithinPartitions("route_id", "part", "seq").select("line").write.mode("overwrite").text(path)
 
 
+# Fixed value: columns of tiles that make a file of a snapshot; few athletes have more than one.
+SNAPSHOT_COLUMNS = 1024
+
+
 def snapshot_tiles(tiles: DataFrame, path: str) -> DataFrame:
     """Rewrites an athlete's visited tiles only where they changed; returns the changed athletes.
 
@@ -134,6 +138,6 @@ def snapshot_tiles(tiles: DataFrame, path: str) -> DataFrame:
         changed = sides.groupBy("athlete_id", "tile_key").agg(F.sum("side").alias("sides")).filter("sides <> 3").select("athlete_id").join(now.select("athlete_id").distinct(), "athlete_id", "left_semi")
     from wayfold.session import cut
     changed = cut(changed.distinct())
-    (now.join(changed, "athlete_id", "left_semi").repartition("athlete_id", F.floor(geo.key_x("tile_key") / 64)).sortWithinPartitions("athlete_id", "tile_key")
+    (now.join(changed, "athlete_id", "left_semi").repartition("athlete_id", F.floor(geo.key_x("tile_key") / SNAPSHOT_COLUMNS)).sortWithinPartitions("athlete_id", "tile_key")
      .write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("athlete_id").parquet(path))
     return changed
