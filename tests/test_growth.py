@@ -1,9 +1,11 @@
 """What a task holds or looks through doesn't grow faster than its input."""
 
+import hashlib
 from datetime import datetime, timedelta
 
 from wayfold.operators import climbs, merge
 from wayfold.sinks import writers
+from wayfold.sources import collections
 
 
 def _plan(df):
@@ -53,3 +55,14 @@ def test_snapshot_has_one_file_an_athlete(spark, tmp_path):
     assert writers.snapshot_tiles(tiles, path).count() == 2
     assert [len(list((tmp_path / "tiles" / f"athlete_id={a}").glob("*.parquet"))) for a in (1, 2)] == [1, 1]
     assert sorted(map(tuple, spark.read.parquet(path).select("athlete_id", "tile_key").collect())) == sorted(map(tuple, tiles.collect()))
+
+
+def test_digest_sorts_packed_pieces(spark, tmp_path):
+    """The task that takes a document's SHA-256 sorted all its pieces, each with its place."""
+    whole = '{"features":[' + ",".join('{"id":%d,"geometry":{"type":"Point"}}' % i for i in range(6000)) + "]}\n"
+    (tmp_path / "a.geojson").write_text(whole)
+    (tmp_path / "b.geojson").write_text('{"é":{}} ')
+    rows = collections.pieces(spark, str(tmp_path), ".geojson")
+    assert {r.file: r.digest for r in collections.digests(rows).collect()} == {f: hashlib.sha256((tmp_path / f).read_bytes()).hexdigest() for f in ("a.geojson", "b.geojson")}
+    runs = collections.packed(rows).collect()
+    assert rows.count() > 12_000 and len(runs) < 20 and sum(len(r.data) for r in runs) < len(whole) / 3

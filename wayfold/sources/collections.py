@@ -12,6 +12,7 @@ from __future__ import annotations
 
 import hashlib
 import sys
+import zlib
 from dataclasses import dataclass
 
 import pyarrow as pa
@@ -25,6 +26,8 @@ from wayfold.session import cut
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 STRING = r'"[^"\\]*+(?:\\.[^"\\]*+)*+"'
+#: Bytes of text that are packed for a digest.
+PACK_BYTES = 1 << 20
 #: Text up to a brace outside strings.
 PLAIN = rf'[^"{{]*+(?:{STRING}[^"{{]*+)*+'
 
@@ -84,20 +87,50 @@ def structure(rows: DataFrame) -> DataFrame:
     return sums(deep.withColumn("ends", ends.cast("bigint")), {"member": F.col("ends")})
 
 
+def packed(rows: DataFrame) -> DataFrame:
+    """(file, at, data): runs of pieces as compressed bytes, at most ``PACK_BYTES`` and one piece each.
+
+    Many tasks sort and pack blocks of pieces; ``at`` is that of a run's first piece."""
+    rows_a_block = ordered.BLOCK  # a number: tasks have no modules of this library
+
+    def run(batches):
+        held, first, own, size = [], None, None, 0
+        for batch in batches:
+            done = []
+            for file, part, start, n, text, closed in zip(*(batch.column(c).to_pylist() for c in ("file", "part", "start", "n", "text", "closed"))):
+                block = (file, part, start, n // rows_a_block)
+                if held and (block != own or size >= PACK_BYTES):
+                    done.append((*first, zlib.compress(b"".join(held), 1)))
+                    held, size = [], 0
+                if not held:
+                    first, own = (file, part, start, n), block
+                held.append(text.encode() + (b"}" if closed else b""))
+                size += len(held[-1])
+            yield table(done)
+        if held:
+            yield table([(*first, zlib.compress(b"".join(held), 1))])
+
+    def table(found):
+        kinds = {"file": pa.string(), "part": pa.string(), "start": pa.int64(), "n": pa.int64(), "data": pa.binary()}
+        return pa.RecordBatch.from_pydict({name: pa.array([f[k] for f in found], kind) for k, (name, kind) in enumerate(kinds.items())})
+
+    flat = rows.select("file", "at.part", "at.start", "at.n", "text", "closed")
+    sorted_blocks = flat.repartition("file", "part", "start", F.floor(F.col("n") / rows_a_block)).sortWithinPartitions("file", "part", "start", "n")
+    return sorted_blocks.mapInArrow(run, "file STRING, part STRING, start BIGINT, n BIGINT, data BINARY").select("file", F.struct("part", "start", "n").alias("at"), "data")
+
+
 def digests(rows: DataFrame) -> DataFrame:
-    """(file, digest): SHA-256 of each document; its pieces stream through one task in order."""
+    """(file, digest): SHA-256 of each document; its packed pieces stream through one task in order."""
     def run(batches):
         file, state = None, None
         for batch in batches:
             done = []
-            for name, text, closed in zip(batch.column("file").to_pylist(), batch.column("text").to_pylist(), batch.column("closed").to_pylist()):
+            for name, data in zip(batch.column("file").to_pylist(), batch.column("data").to_pylist()):
                 if name != file:
                     if state:
                         done.append((file, state.hexdigest()))
                     file, state = name, hashlib.sha256()
-                state.update(text.encode())
-                if closed:
-                    state.update(b"}")
+                state.update(zlib.decompress(data))
             yield table(done)
         if state:
             yield table([(file, state.hexdigest())])
@@ -105,7 +138,7 @@ def digests(rows: DataFrame) -> DataFrame:
     def table(found):
         return pa.RecordBatch.from_pydict({"file": pa.array([f for f, _ in found], pa.string()), "digest": pa.array([d for _, d in found], pa.string())})
 
-    return rows.repartition("file").sortWithinPartitions("file", "at").select("file", "text", "closed").mapInArrow(run, "file STRING, digest STRING")
+    return packed(rows).repartition("file").sortWithinPartitions("file", "at").select("file", "data").mapInArrow(run, "file STRING, digest STRING")
 
 
 def joined(column: str, what: Column) -> Column:
