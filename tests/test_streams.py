@@ -156,3 +156,16 @@ def test_health_over_batches(spark, tmp_path, runs):
     rng.shuffle(rows)
     ev.health_stream(feed(spark, f"{tmp_path}/in", schema, [rows[i::runs] for i in range(runs)]), f"{tmp_path}/out", f"{tmp_path}/ck").awaitTermination()
     assert sorted(map(tuple, ev.health_now(spark, f"{tmp_path}/out").collect())) == sorted(map(tuple, ev.health_latest(spark.createDataFrame(rows, schema)).collect()))
+
+
+def test_values_per_key_run_without_python(spark, tmp_path):
+    schema, low = "name STRING, changed_at BIGINT, writer BIGINT", -2 ** 63
+    parts = [[("a", 5, 0), ("b", 7, 0), ("e", low, 0)], [("a", 4, 0), ("b", -7, 0), ("c", -1, 0), ("c", 1, -1)], [("a", -6, 0), ("b", 7, None), ("e", 2 ** 63 - 1, 0)]]
+    seen = []
+    query = ev.tombstone_stream(feed(spark, f"{tmp_path}/in", schema, parts), f"{tmp_path}/ck", lambda batch, i: seen.append({r["name"]: r["changed_at"] for r in batch.collect()}))
+    query.awaitTermination()
+    # An equal rank leaves what is there; a batch hands on only what it changed.
+    assert [s for s in seen if s] == [{"a": 5, "b": 7, "e": low}, {"c": 1}, {"a": -6}]
+    assert {r["name"]: r["changed_at"] for r in ev.tombstones_now(spark, f"{tmp_path}/ck").collect()} == {"a": -6, "b": 7, "c": 1, "e": low}
+    plan = query._jsq.explainInternal(False)
+    assert "StateStoreSave" in plan and "InPandas" not in plan and "Python" not in plan

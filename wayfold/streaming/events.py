@@ -121,7 +121,10 @@ def tombstone_stream(log: DataFrame, checkpoint: str, sink=None):
     """Last change per name (name, changed_at, writer): the largest |changed_at|, at equal times the first
     writer. A batch touches only the names it holds; ``sink`` gets those whose change took effect."""
     rows = log.withColumn("writer", F.col("writer").cast("bigint") if "writer" in log.columns else F.lit(0).cast("bigint")).filter("changed_at is not null")
-    return state.keep_latest(rows, ["name"], ["changed_at", "writer"], lambda r: (abs(r[0]), -(r[1] or 0)), checkpoint, sink)
+    at = F.col("changed_at")
+    # ~x falls as x rises and knows no overflow: |changed_at| - 1, then the writers backwards.
+    rank = [F.bitwise_not(F.when(at < 0, at).otherwise(-at)).alias("size"), F.bitwise_not(F.coalesce("writer", F.lit(0))).alias("first")]
+    return state.keep_latest(rows, ["name"], ["changed_at", "writer"], rank, checkpoint, sink)
 
 
 def tombstones_now(spark: SparkSession, checkpoint: str) -> DataFrame:
@@ -130,7 +133,7 @@ def tombstones_now(spark: SparkSession, checkpoint: str) -> DataFrame:
 
 def names_stream(log: DataFrame, checkpoint: str, sink=None):
     """Current name per (athlete_id, file_name); the last arrival wins, at equal arrivals the larger name."""
-    return state.keep_latest(log.filter("arrival is not null"), ["athlete_id", "file_name"], ["arrival", "new_name"], lambda r: (r[0], r[1] is not None, r[1] or ""), checkpoint, sink)
+    return state.keep_latest(log.filter("arrival is not null"), ["athlete_id", "file_name"], ["arrival", "new_name"], [F.col("arrival").alias("last"), F.col("new_name").alias("name")], checkpoint, sink)
 
 
 def names_now(spark: SparkSession, checkpoint: str) -> DataFrame:
