@@ -21,3 +21,18 @@ def test_edges_are_tested_only_inside_an_areas_box(spark):
     moved = index.withColumn("areas", F.transform("areas", lambda a: F.when(a["ordinal"] == 4, a.withField("box", a["box"].withField("s", F.lit(80.0)))).otherwise(a)))
     rest = {r["id"]: r["code"] for r in areas.located(points, moved, 1.0).collect()}
     assert rest == {i: c for i, c in found.items() if c != "C0:4"} and len(rest) < len(found)
+
+
+def test_visited_areas_are_computed_once_for_all_rounds(spark):
+    met = spark.sparkContext.accumulator(0)
+
+    @F.udf("string")
+    def seen(code):
+        met.add(1)
+        return code
+
+    visited = spark.createDataFrame([(1, "C0:0"), (1, "C1:1"), (7, "C0:2")], "athlete_id BIGINT, code STRING").withColumn("code", seen("code"))
+    starts = spark.createDataFrame([(1, 1, 50.2, 4.2), (2, 2, 50.2, 4.2), (1, 3, 58.0, 20.0)], "athlete_id BIGINT, location_id BIGINT, lat DOUBLE, lon DOUBLE")
+    got = {r["location_id"]: r["code"] for r in areas.nearest_unvisited_area(starts, squares(spark), visited).collect()}
+    assert got == {1: "C1:3", 2: "C0:0", 3: "C1:5"}
+    assert met.value <= 3
