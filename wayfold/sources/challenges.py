@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from wayfold.functions import activity as fa
+from wayfold.session import cut
 from wayfold.sources import collections
 
 # Format version, id pattern, and (default, least, most) of the numeric settings.
@@ -33,11 +34,27 @@ def parse(found: collections.Collections, header: str = "challenge") -> tuple[Da
 
     A file fails with the first problem of its header; its features that can't be used are
     reported per reason. Of files sharing an id the first by name counts. A feature beyond the size
-    of a variant is reported as too large, the others of its file are read."""
+    of a variant is reported as too large, the others of its file are read. Features are parsed once:
+    what is read of them is stored, as are the checked heads."""
     h = f"$.{header}"
     doc = F.col("doc")
     features = found.features.withColumn("f", F.try_parse_json("feature")).withColumn("large", F.octet_length("feature") > LARGEST)
-    torn = features.filter("f is null and not large").select("file").distinct().withColumn("torn", F.lit(True))
+    f = F.col("f")
+    given = [F.coalesce(F.when(_kind(f, p) == "STRING", F.nullif(F.try_variant_get(f, p, "string"), F.lit(""))), F.when(_is_number(_kind(f, p)), F.try_variant_get(f, p, "string"))) for p in ("$.id", "$.properties.id")]
+    geometry = F.try_variant_get(f, "$.geometry.type", "string")
+    at = F.try_variant_get(f, "$.geometry.coordinates", "array<double>")
+    line = F.try_variant_get(f, "$.geometry.coordinates", "array<array<double>>")
+    many = F.try_variant_get(f, "$.geometry.coordinates", "array<array<array<double>>>")
+
+    def valid(p):
+        return (F.size(p) >= 2) & F.coalesce(p[0].between(-180.0, 180.0) & p[1].between(-90.0, 90.0), F.lit(False))
+
+    pieces = F.when(geometry == "LineString", F.array(line)).when(geometry == "MultiLineString", many)
+    usable = F.filter(pieces, lambda piece: (F.size(piece) >= 2) & F.forall(piece, valid))
+    told = cut(features.select("file", "pos", "large", (f.isNull() & ~F.col("large")).alias("unread"), F.coalesce(*given).alias("item_id"), _text(f, "$.properties.name").alias("name"), _text(f, "$.properties.subtitle").alias("subtitle"),
+                               F.try_variant_get(f, "$.properties.difficulty", "string").alias("difficulty"), F.try_variant_get(f, "$.type", "string").alias("type"), geometry.alias("geometry"),
+                               F.when((geometry == "Point") & F.coalesce(valid(at), F.lit(False)), at).alias("at"), usable.alias("pieces")))
+    torn = told.filter("unread").select("file").distinct().withColumn("torn", F.lit(True))
     raw = found.documents.join(torn, "file", "left").withColumn("doc", F.when(F.col("torn").isNull(), F.try_parse_json("head")))
 
     def has(name):
@@ -61,25 +78,10 @@ def parse(found: collections.Collections, header: str = "challenge") -> tuple[Da
         numbers[field] = F.coalesce(value, F.lit(default))
     problem = problem.when(has("sports") & (F.coalesce(F.size(sports), F.lit(0)) <= 0), "invalid sports")
     key = F.concat(F.lit(f"x{RESULT_VERSION}-"), F.substring("digest", 1, 12))
-    heads = raw.select("file", "doc", problem.alias("problem"), own_id.alias("challenge_id"), name.alias("name"), F.coalesce(_text(doc, f"{h}.tab"), name).alias("tab"), _text(doc, f"{h}.icon").alias("icon"),
-                       kind.alias("kind"), complete.alias("complete"), *[v.alias(k) for k, v in numbers.items()], sports.alias("sports"), key.alias("key"))
+    heads = cut(raw.select("file", problem.alias("problem"), own_id.alias("challenge_id"), name.alias("name"), F.coalesce(_text(doc, f"{h}.tab"), name).alias("tab"), _text(doc, f"{h}.icon").alias("icon"),
+                       kind.alias("kind"), complete.alias("complete"), *[v.alias(k) for k, v in numbers.items()], sports.alias("sports"), key.alias("key")))
 
-    good = features.join(heads.filter("problem is null").select("file", "challenge_id", "kind", "complete"), "file")
-    f = F.col("f")
-    given = [F.coalesce(F.when(_kind(f, p) == "STRING", F.nullif(F.try_variant_get(f, p, "string"), F.lit(""))), F.when(_is_number(_kind(f, p)), F.try_variant_get(f, p, "string"))) for p in ("$.id", "$.properties.id")]
-    geometry = F.try_variant_get(f, "$.geometry.type", "string")
-    at = F.try_variant_get(f, "$.geometry.coordinates", "array<double>")
-    line = F.try_variant_get(f, "$.geometry.coordinates", "array<array<double>>")
-    many = F.try_variant_get(f, "$.geometry.coordinates", "array<array<array<double>>>")
-
-    def valid(p):
-        return (F.size(p) >= 2) & F.coalesce(p[0].between(-180.0, 180.0) & p[1].between(-90.0, 90.0), F.lit(False))
-
-    pieces = F.when(geometry == "LineString", F.array(line)).when(geometry == "MultiLineString", many)
-    usable = F.filter(pieces, lambda piece: (F.size(piece) >= 2) & F.forall(piece, valid))
-    shaped = good.select("file", "challenge_id", "kind", "complete", "pos", "large", F.coalesce(*given).alias("item_id"), _text(f, "$.properties.name").alias("name"), _text(f, "$.properties.subtitle").alias("subtitle"),
-                         F.try_variant_get(f, "$.properties.difficulty", "string").alias("difficulty"), F.try_variant_get(f, "$.type", "string").alias("type"), geometry.alias("geometry"),
-                         F.when((geometry == "Point") & F.coalesce(valid(at), F.lit(False)), at).alias("at"), usable.alias("pieces"))
+    shaped = told.drop("unread").join(heads.filter("problem is null").select("file", "challenge_id", "kind", "complete"), "file")
     size = F.coalesce(F.size("pieces"), F.lit(0))
     located = F.when(F.col("kind") == "locations", F.col("at").isNotNull()).otherwise((size > 0) & ((F.col("complete") == "cover") | (size == 1)))
     reason = (F.when(F.col("large"), "too large").when(~F.coalesce(F.col("type") == "Feature", F.lit(False)) | F.col("geometry").isNull(), "not a feature").when(F.col("item_id").isNull(), "no id").when(F.col("name").isNull(), "no name").when(~located, "wrong geometry"))
@@ -91,9 +93,9 @@ def parse(found: collections.Collections, header: str = "challenge") -> tuple[Da
                .withColumn("n", F.lit(1)).unionByName(found.strays.join(heads.filter("problem is null").select("file"), "file", "left_semi").select("file", F.lit("not a feature").alias("reason"), "n"))
                .groupBy("file", "reason").agg(F.sum("n").cast("bigint").alias("n")))
     counts = items.groupBy("file").agg(F.count(F.lit(1)).alias("items"))
-    checked = heads.drop("doc").join(counts, "file", "left").withColumn("problem", F.coalesce("problem", F.when(F.col("items").isNull(), "noItems")))
+    checked = heads.join(counts, "file", "left").withColumn("problem", F.coalesce("problem", F.when(F.col("items").isNull(), "noItems")))
     lead = checked.filter("problem is null").groupBy("challenge_id").agg(F.min("file").alias("_lead"))
-    ranked = checked.join(lead, "challenge_id", "left").withColumn("problem", F.coalesce("problem", F.when(F.col("file") != F.col("_lead"), "duplicate challenge id")))
+    ranked = cut(checked.join(lead, "challenge_id", "left").withColumn("problem", F.coalesce("problem", F.when(F.col("file") != F.col("_lead"), "duplicate challenge id"))))
     challenges = ranked.filter("problem is null").drop("problem", "_lead")
     live = items.join(challenges.select("file"), "file", "left_semi")
     lines = (live.filter("kind = 'routes'").select("challenge_id", "item_id", F.posexplode("pieces").alias("piece", "l")).select("challenge_id", "item_id", "piece", F.posexplode("l").alias("seq", "p"))
