@@ -2,6 +2,7 @@
 
 from pyspark.sql import functions as F
 
+from wayfold.operators import climbs
 from wayfold.plans.climb_list import climb_list
 
 
@@ -16,3 +17,11 @@ def test_one_climb_from_two_pieces(spark):
     assert len(rows) == 1
     r = rows[0]
     assert (r["name"], r["place"], r["cat"]) == ("Col Road", "Top", "3") and 3200 <= r["length"] <= 3340 and 170 <= r["gain"] <= 182 and 5.2 <= r["avg"] <= 5.6 and r["line"]
+
+
+def test_climbs_without_a_named_road_are_kept(spark):
+    found = spark.createDataFrame([(1, False, 0, 3, 4), (1, True, 0, 3, 4), (2, False, 1, 3, 4)], "line_id long, reverse boolean, start int, top int, size int")
+    names = {1: ["A", "A", "A", "B"], 2: ["C", None, None, None]}
+    samples = spark.createDataFrame([(k, i, n) for k, row in names.items() for i, n in enumerate(row)], "line_id long, i int, name string")
+    got = {(r.line_id, r.reverse, r.start): r.name for r in climbs.dominant_names(found, samples).collect()}
+    assert got == {(1, False, 0): "A", (1, True, 0): "A", (2, False, 1): None}
