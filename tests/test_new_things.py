@@ -45,3 +45,15 @@ def test_edges_of_a_cell_are_tested_once_a_point(spark):
     plan = found._jdf.queryExecution().optimizedPlan().toString()
     assert not [row for row in plan.splitlines() if "Filter" in row.split("(")[0] and "exists(" in row]
     assert found.count() == 6
+
+
+def test_climbs_count_and_own_tracks_are_known(spark):
+    up = [(52.0 + 0.0005 * i, 5.0) for i in range(5)]
+    marks = spark.createDataFrame([(c, i, a, o + x) for c, x in ((7, 0.0), (8, 0.0), (9, 1.0)) for i, (a, o) in enumerate(up)], "climb_id long, idx long, lat double, lon double")
+    # Athlete 1 passed one of the two spots of place 3 and that of place 5, no climb; athlete 2 rode the far road.
+    own = spark.createDataFrame([(1, 5, i, 52.003 + 0.0005 * i, 5.0) for i in range(2)] + [(2, 6, i, 52.0 + 0.001 * i, 6.0) for i in range(3)], "athlete_id long, activity_id long, seq int, lat double, lon double")
+    known = spark.createDataFrame([(1, "climb", "8")], "athlete_id long, kind string, id string")
+    passed, new = (sorted(map(tuple, df.filter("kind <> 'tile'").collect())) for df in routes.new_things(lines(spark), known, None, marks, places(spark), own))
+    climbed = [(a, 10 * a + k, "climb", c) for a in (1, 2) for k, c in ((0, "7"), (0, "8"), (1, "9"))]
+    assert passed == sorted(climbed + [(a, 10 * a, "place", i) for a in (1, 2) for i in "1235"])
+    assert new == sorted([r for r in climbed if (r[0], r[3]) not in {(1, "8"), (2, "9")}] + [(1, 10, "place", i) for i in "12"] + [(2, 20, "place", i) for i in "1235"])
