@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from wayfold.operators import climbs, lines, nearby, polyline, tracks
+from wayfold.operators import climbs, lines, nearby, polyline, profiles, tracks
 from wayfold.session import cut
 
 # Fixed value: metres by which climb lines are thinned.
@@ -18,14 +18,14 @@ def climb_list(roads: DataFrame, elevation: DataFrame, places: DataFrame, rows_p
     Every stage that is read more than once is written to the shared checkpoint folder."""
     joined = cut(lines.stitch(cut(lines.chain(roads))))
     keys = joined.groupBy("way_id").agg(F.any_value("key").alias("key")).withColumnRenamed("way_id", "line_id")
-    samples = cut(climbs.resample(joined.withColumnRenamed("way_id", "line_id")))
-    profile = cut(climbs.smooth(climbs.fill_flat(climbs.with_elevation(samples, elevation, rows_per_cell))))
-    found = cut(climbs.distinct_climbs(climbs.metrics(cut(climbs.find(profile)), profile), ["line_id", "reverse", "start"]))
+    roads = joined.withColumnRenamed("way_id", "line_id")
+    profile = profiles.profile(cut(profiles.gather(roads, "flat", "name")), elevation, rows_per_cell)
+    found = cut(climbs.distinct_climbs(cut(climbs.metrics(profiles.find(profile))), ["line_id", "reverse", "start"]))
     at = [F.format_string("%.4f", c) for c in ("lat0", "lon0", "lat1", "lon1")]
-    named = (found.join(climbs.dominant_names(found, profile), ["line_id", "reverse", "start"], "left").join(keys, "line_id", "left")
+    named = (found.join(keys, "line_id", "left")
              .withColumn("id", F.substring(F.sha1(F.concat_ws(",", *at)), 1, 10)).withColumn("name", F.coalesce("name", "key")))
     near = nearby.nearest_top_place(named.select("id", F.col("lat1").alias("lat"), F.col("lon1").alias("lon")).dropDuplicates(["id"]), places).withColumnRenamed("name", "place")
-    shape = climbs._climb_samples(named.select("id", "line_id", "reverse", "size", "start", "top"), profile, "lat", "lon").select("id", (F.col("j") - F.col("start")).alias("seq"), "lat", "lon")
+    shape = climbs._climb_samples(named.select("id", "line_id", "reverse", "size", "start", "top"), climbs.resample(roads), "lat", "lon").select("id", (F.col("j") - F.col("start")).alias("seq"), "lat", "lon")
     thin = tracks.reindex(tracks.simplify(cut(shape), LINE_TOLERANCE_M, ["id"]), ["id"])
     text = polyline.encode(thin, ["id"]).withColumnRenamed("encoded", "line")
     return (named.join(near, "id", "left").join(text, "id", "left")
