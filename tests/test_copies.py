@@ -1,7 +1,7 @@
 """Targets and lines that stand on one spot are met once, and guessed sizes don't decide on broadcasts."""
 
 from wayfold.operators import nearby, progress, routes
-from wayfold.plans import challenge_results
+from wayfold.plans import challenge_results, review
 from wayfold.session import measured_broadcasts
 from workload import q_climbs
 
@@ -71,3 +71,22 @@ def test_visits_of_places_of_one_spot(spark):
     live = spark.createDataFrame([("c", "k"), ("d", "k")], "challenge_id string, key string")
     got = progress.visit_dates(hits, live, acts, same).selectExpr("challenge_id", "item_id", "ord", "unix_seconds(visit_ts) as t").collect()
     assert sorted(map(tuple, got)) == [(c, i, n, t) for c, i in (("c", "1"), ("c", "2"), ("d", "1")) for n, t in ((1, 1100000), (2, 1000000))]
+
+
+def test_coverage_of_the_first_of_equal_routes(spark):
+    track = spark.createDataFrame([(1, 1, 0, 50.0, 5.0), (1, 1, 1, 50.0006, 5.0)], POINT)
+    marks = _marks(spark, [3, 4, 9])
+    shares = progress.first_coverage(track, marks, nearby.same_checkpoints(marks))
+    assert sorted(map(tuple, shares.collect())) == [(1, 3, 0.5)]
+    challenge = spark.createDataFrame([("r", True, 0.5)], "challenge_id string, is_cover boolean, coverage double")
+    named = shares.selectExpr("athlete_id", "'r' as challenge_id", "string(route_id) as route_id", "share")
+    copies = spark.createDataFrame([("r", "3", 2), ("r", "9", 1)], "challenge_id string, item_id string, copies long")
+    none = spark.createDataFrame([], "athlete_id long, challenge_id string, item_id string")
+    assert list(map(tuple, progress.challenge_done(named, spark.createDataFrame([("r", 3)], "challenge_id string, total long"), none, challenge, copies).collect())) == [(1, "r", 2, 3)]
+
+
+def test_new_ids_count_their_copies(spark):
+    acts = spark.createDataFrame([(1, 1, "2023-05-01"), (1, 2, "2024-05-01"), (1, 3, "2024-06-01")], "athlete_id long, activity_id long, t string").selectExpr("athlete_id", "activity_id", "timestamp(t) as start_ts")
+    facts = spark.createDataFrame([(1, 1, 7, 4), (1, 2, 7, 4), (1, 2, 8, 3), (1, 3, 8, 3), (1, 3, 9, 1)], "athlete_id long, activity_id long, climb_id long, copies long")
+    assert review._new_ids(facts, acts, "climb_id", 2024, "UTC", "n").collect() == [(1, 4)]
+    assert review._new_ids(facts.drop("copies"), acts, "climb_id", 2024, "UTC", "n").collect() == [(1, 2)]

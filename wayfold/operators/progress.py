@@ -57,11 +57,16 @@ def route_coverage(hits: DataFrame, counts: DataFrame) -> DataFrame:
 def tracks_coverage(points: DataFrame, checkpoints: DataFrame) -> DataFrame:
     """``route_coverage`` of tracks; routes with the same checkpoints (route_id, idx, lat, lon) are matched once."""
     twins = cut(nearby.same_checkpoints(checkpoints))
-    once = checkpoints.join(twins.filter("route_id = same").select("route_id"), "route_id", "left_semi")
-    shares = route_coverage(nearby.checkpoint_hits(points, once), once.groupBy("route_id").agg(F.count(F.lit(1)).alias("total")))
+    shares = first_coverage(points, checkpoints, twins)
     return shares.withColumnRenamed("route_id", "same").join(twins, "same").select("athlete_id", "route_id", "share")
 
 
+def first_coverage(points: DataFrame, checkpoints: DataFrame, twins: DataFrame) -> DataFrame:
+    """``tracks_coverage`` of the first of the routes with equal checkpoints; ``twins`` (route_id, same) tell the others."""
+    once = checkpoints.join(twins.filter("route_id = same").select("route_id"), "route_id", "left_semi")
+    return route_coverage(nearby.checkpoint_hits(points, once), once.groupBy("route_id").agg(F.count(F.lit(1)).alias("total")))
+
+
 def challenge_done(shares: DataFrame, items: DataFrame, visits: DataFrame, challenges: DataFrame, copies: DataFrame | None = None) -> DataFrame:
     """Items done and items in all per athlete and challenge.
 

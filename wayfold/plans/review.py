@@ -25,10 +25,11 @@ def _cuts(df: DataFrame, year: int, tz: str, ts: str = "start_ts") -> DataFrame:
 
 
 def _new_ids(facts: DataFrame, activities: DataFrame, column: str, year: int, tz: str, name: str) -> DataFrame:
-    """Distinct ids whose first activity lies in the year."""
+    """Distinct ids whose first activity lies in the year; an id stands for ``copies``, where facts say so."""
+    copies = F.col("copies") if "copies" in facts.columns else F.lit(1)
     y = F.coalesce(F.year(fa.local_time("start_ts", tz)), F.lit(-1))
-    firsts = facts.join(activities.select("athlete_id", "activity_id", "start_ts"), ["athlete_id", "activity_id"]).groupBy("athlete_id", column).agg(F.min(y).alias("y"))
-    return firsts.filter(F.col("y") == year).groupBy("athlete_id").agg(F.count(F.lit(1)).alias(name))
+    firsts = facts.join(activities.select("athlete_id", "activity_id", "start_ts"), ["athlete_id", "activity_id"]).groupBy("athlete_id", column).agg(F.min(y).alias("y"), F.max(copies).alias("_copies"))
+    return firsts.filter(F.col("y") == year).groupBy("athlete_id").agg(F.sum("_copies").alias(name))
 
 
 def year_in_review(activities: DataFrame, activity_tiles: DataFrame, year: int, activity_areas: DataFrame | None = None, activity_countries: DataFrame | None = None,
